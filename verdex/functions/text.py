@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: Catalyst would else repeat an inlined expression for each element of a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_ngrams(w: Column, n: int = 8) -> Column:
     """Distinct n-grams of a word array; empty if it has fewer than n words (PRJ-18)."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(v: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " "))
+        return F.when(F.size(v) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+    return let(w, grams)
 
 
 def normal_form(text: Column) -> Column:

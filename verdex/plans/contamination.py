@@ -12,7 +12,7 @@ from verdex.sources.tables import table
 
 GRAMS_SQL = """
   {name}_w AS (SELECT {key} AS {id}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table}),
-  {name} AS (SELECT DISTINCT {id}, g FROM (SELECT {id}, unnest(list_transform(generate_series(1, len(w) - 7), i -> array_to_string(w[i:i+7], ' '))) AS g FROM {name}_w WHERE len(w) >= 8))"""
+  {name} AS (SELECT DISTINCT {id}, g FROM (SELECT {id}, unnest(list_transform(generate_series(1, len(w) - 7), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM {name}_w WHERE len(w) >= 8))"""
 DOC_GRAMS = GRAMS_SQL.format(name="dg", key="doc_id", id="id", table="documents")
 ITEM_GRAMS = GRAMS_SQL.format(name="bg", key="item_id", id="pid", table="benchmark")
 
