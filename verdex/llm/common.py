@@ -69,3 +69,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
                 at, total = i, 0
             total += int(n)
         yield batch.slice(at)
+
+
+def carry_back(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with the one row that `groups` has for their key; `count` says how many of all `total` rows have it.
+
+    Keys with over 1/share of the rows number under `share`, a bound by counting, so they are broadcast; the others meet in
+    a sort-merge join in which no key holds more than that share.
+    """
+    least = total // share + 1
+    hot = F.broadcast(groups.filter(F.col(count) > least))
+    rest = groups.filter(F.col(count) <= least).hint("merge")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdex.llm import chat_format, exact_dedup, pii, sharding
+from verdex.llm import chat_format, exact_dedup, ngram_join, pii, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_sharding": sharding.op8_sharding,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_chat_format": chat_format.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE}

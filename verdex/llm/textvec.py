@@ -55,6 +55,14 @@ class Words(NamedTuple):
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    total: np.ndarray  # running sums, from which any substring's hash follows
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the first n bytes of each word that is longer."""
+        long = self.end - self.start > n
+        start = self.start[long]
+        h = (self.total[start + n] - self.total[start]) * _power(_R_INV, len(self.total))[start]
+        return self.row[long], mix(h ^ _U(0x5851F42D4C957F2D * n % 2**64))
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +90,7 @@ def words(col: pa.Array, inside: np.ndarray = NOT_SPACE, fold: bool = True) -> W
     n = len(buf)
     if not n:
         e = np.zeros(0, np.int64)
-        return Words(e, e, e, e.astype(_U), np.zeros(len(off), np.int64))
+        return Words(e, e, e, e.astype(_U), np.zeros(len(off), np.int64), np.zeros(1, _U))
     w = inside[buf]
     begins = w.copy()
     begins[1:] &= ~w[:-1]
@@ -98,7 +106,7 @@ def words(col: pa.Array, inside: np.ndarray = NOT_SPACE, fold: bool = True) -> W
     np.cumsum(np.where(w, codes[buf], _U(0)) * _power(_R, n), out=total[1:])
     h = mix((total[end] - total[start]) * _power(_R_INV, n)[start])
     first = np.searchsorted(start, off)
-    return Words(np.searchsorted(off, start, side="right") - 1, start, end, h, first)
+    return Words(np.searchsorted(off, start, side="right") - 1, start, end, h, first, total)
 
 
 def chain(parts: list[np.ndarray]) -> np.ndarray:
