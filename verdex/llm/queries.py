@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdex.llm import chat_format, exact_dedup, ngram_join, pii, sharding, toxicity
+from verdex.llm import chat_format, exact_dedup, ngram_join, pii, sentencepiece_codec, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op4_pii": pii.op4_pii,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from verdex.llm.common import cut, table, text_of
 
-#: Rows that a ranking task sorts, about; more rows make more cells, never larger ones.
-CELL_ROWS = 20_000
+#: Rows of a cell, about, and the largest number of cells, as their counts are summed up in one window.
+CELL_ROWS, MOST_CELLS = 2_000, 1 << 20
 
 
 def _offsets(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:
@@ -35,8 +35,8 @@ def interleave(docs: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     rank is the count below the cell plus the rank inside. The fractional ranks are placed in the same way.
     """
     n = docs.count()
-    cells = max(1, -(-n // CELL_ROWS))
-    bits = max(1, min(28, (cells - 1).bit_length()))
+    cells = max(1, min(MOST_CELLS, -(-n // CELL_ROWS)))
+    bits = max(1, (cells - 1).bit_length())
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = cut(
         docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("_stratum"), F.col("source").isNull().alias("_no_source"), "source", (F.octet_length(text_of()).cast("bigint") + 1).alias("size"), F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"), order.alias("_order"))

@@ -109,6 +109,13 @@ def words(col: pa.Array, inside: np.ndarray = NOT_SPACE, fold: bool = True) -> W
     return Words(np.searchsorted(off, start, side="right") - 1, start, end, h, first, total)
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings buf[start:end], case kept."""
+    total = np.zeros(len(buf) + 1, _U)
+    np.cumsum(_CODE[buf] * _power(_R, len(buf)), out=total[1:])
+    return mix((total[end] - total[start]) * _power(_R_INV, len(buf))[start] ^ (end - start).astype(_U))
+
+
 def chain(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of a sequence of hashes, elementwise: of n-grams, from their words' hashes."""
     out = mix(parts[0] + _U(0x9E3779B97F4A7C15))
