@@ -81,3 +81,8 @@ def carry_back(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
     hot = F.broadcast(groups.filter(F.col(count) > least))
     rest = groups.filter(F.col(count) <= least).hint("merge")
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
+def lowered(col: pa.Array) -> pa.Array:
+    """A string array in lower case, letters beyond ASCII included."""
+    return pa.compute.utf8_lower(col)

@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdex.llm import chat_format, exact_dedup, ngram_join, pii, sentencepiece_codec, sharding, toxicity
+import corpus_pipeline
+from verdex.llm import chat_format, decontaminate, exact_dedup, ngram_join, pii, sentencepiece_codec, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_pii": pii.op4_pii,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.llm import textvec
-from verdex.llm.common import cut, slices, table
+from verdex.llm.common import cut, lowered, slices, table
 
 #: The classifier is fitted on at most so many labelled rows (those with the lowest digests of their ids).
 MAX_LABELLED = 40_000
@@ -47,7 +47,7 @@ def word_hash(word: str) -> np.uint64:
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every word and stem of the texts."""
-    w = textvec.words(col, textvec.ALNUM)
+    w = textvec.words(lowered(col), textvec.ALNUM)
     stems = [w.prefixes(n) for n in STEMS]
     return np.concatenate([w.row, *(x[0] for x in stems)]), np.concatenate([w.hash, *(x[1] for x in stems)])
 
