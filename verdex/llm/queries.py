@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from verdex.llm import chat_format, decontaminate, exact_dedup, ngram_join, pii, sentencepiece_codec, sharding, toxicity
+from verdex.llm import chat_format, decontaminate, exact_dedup, kneser_ney, ngram_join, pii, sentencepiece_codec, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kneser_ney": kneser_ney.op1_kneser_ney,
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_pii": pii.op4_pii,
