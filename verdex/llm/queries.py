@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from verdex.llm import chat_format, decontaminate, exact_dedup, kneser_ney, ngram_join, pii, sentencepiece_codec, sharding, toxicity
+from verdex.llm import chat_format, decontaminate, exact_dedup, kneser_ney, ngram_join, pii, sentencepiece_codec, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": pii.op4_pii,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_toxicity": toxicity.op10_toxicity,

@@ -116,6 +116,13 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * _power(_R_INV, len(buf))[start] ^ (end - start).astype(_U))
 
 
+def gram_hashes(buf: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n-byte strings of buf, by start."""
+    total = np.zeros(len(buf) + 1, _U)
+    np.cumsum(_CODE[buf] * _power(_R, len(buf)), out=total[1:])
+    return mix((total[n:] - total[:-n]) * _power(_R_INV, len(buf) + 1)[: len(buf) + 1 - n])
+
+
 def chain(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of a sequence of hashes, elementwise: of n-grams, from their words' hashes."""
     out = mix(parts[0] + _U(0x9E3779B97F4A7C15))
