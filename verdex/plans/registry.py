@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from verdex.plans import contamination  # noqa: F401
+    from verdex.plans import contamination, curation, metrics, rules  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
