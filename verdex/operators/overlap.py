@@ -23,3 +23,17 @@ def containment(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     hits = gram_rows(docs, "id", n).join(gram_rows(items, "pid", n), "g").groupBy("id", "pid").agg(F.count("*").alias("hits"))
     best = hits.groupBy("id").agg(F.max("hits").alias("hits"))
     return best.join(sizes, "id").withColumn("containment", F.col("hits") / F.col("n_grams"))
+
+
+def both_ways(docs: DataFrame, items: DataFrame, n: int = 8, most: int = 200, least: int = 8, over: float = 0.15) -> DataFrame:
+    """(id, pid, shared, containment) of pairs that share `least` n-grams and over a share of either side's (JOIN-02).
+
+    n-grams of more than `most` items leave on both sides first, which also bounds the fan-out of the join.
+    """
+    b = gram_rows(items, "pid", n)
+    stop = b.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") > most).select("g")
+    a, b = (gram_rows(docs, "id", n).join(stop, "g", "left_anti"), b.join(stop, "g", "left_anti"))
+    shared = a.join(b, "g").groupBy("id", "pid").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    sizes = lambda x, k, name: x.groupBy(k).agg(F.count("*").alias(name))
+    full = shared.join(sizes(a, "id", "na"), "id").join(sizes(b, "pid", "nb"), "pid")
+    return full.withColumn("containment", F.greatest(F.col("shared") / F.col("na"), F.col("shared") / F.col("nb"))).filter(F.col("containment") > over)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.functions import text as T
-from verdex.operators.overlap import containment
+from verdex.operators.overlap import both_ways, containment, gram_rows
 from verdex.plans.registry import query
 from verdex.sources.tables import table
 
@@ -30,3 +30,27 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("w"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), T.words(F.col("text")).alias("w"))
     return containment(docs, items).select(F.col("id").alias("doc_id"), "hits", "n_grams", "containment", (F.col("containment") > 0.15).alias("excluded"))
+
+
+@query("ngram_df", f"WITH {ITEM_GRAMS} SELECT g, count(*) AS df FROM bg GROUP BY g")
+def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11: items per n-gram."""
+    return gram_rows(_items(spark, sf_dir), "pid").groupBy("g").agg(F.count("*").alias("df"))
+
+
+@query(
+    "overlap_bidirectional",
+    f"""WITH {DOC_GRAMS}, {ITEM_GRAMS}, stop AS (SELECT g FROM bg GROUP BY g HAVING count(*) > 200),
+  a AS (SELECT * FROM dg WHERE g NOT IN (SELECT g FROM stop)), b AS (SELECT * FROM bg WHERE g NOT IN (SELECT g FROM stop)),
+  na AS (SELECT id, count(*) AS na FROM a GROUP BY id), nb AS (SELECT pid, count(*) AS nb FROM b GROUP BY pid),
+  h AS (SELECT id, pid, count(*) AS shared FROM a JOIN b USING (g) GROUP BY id, pid HAVING count(*) >= 8)
+SELECT id AS doc_id, pid AS item_id, shared, greatest(shared / na, shared / nb) AS containment FROM h JOIN na USING (id) JOIN nb USING (pid) WHERE greatest(shared / na, shared / nb) > 0.15""",
+)
+def overlap_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-02, AGG-12: pairs with 8 shared n-grams or more that hold over 0.15 of either side, without n-grams of over 200 items."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("w"))
+    return both_ways(docs, _items(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("pid").alias("item_id"), "shared", "containment")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), T.words(F.col("text")).alias("w"))

@@ -208,7 +208,7 @@ w AS (SELECT user_id, sum(in_band) OVER (PARTITION BY user_id ORDER BY day RANGE
 @rule("liquidation")
 def liquidation(d: Spark) -> str:
     """FIN-06: liquidation prices of a leveraged long and short."""
-    return "round(unit * (1 - 1.0 / (2 + k) + 0.005), 8) AS long_at, round(unit * (1 + 1.0 / (2 + k) - 0.005), 8) AS short_at, price / qty <= unit * (1 - 1.0 / (2 + k) + 0.005) AS hit"
+    return "round(floor(unit) * (1 - 1.0 / (2 + k) + 0.005), 9) AS long_at, round(floor(unit) * (1 + 1.0 / (2 + k) - 0.005), 9) AS short_at, price / qty <= unit * (1 - 1.0 / (2 + k) + 0.005) AS hit"
 
 
 @rule("pre_trade_checks")
