@@ -1,0 +1,33 @@
+"""The subpackage's queries: against SQL where there is some, and the pipeline stage by stage."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from verdex.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    told = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in told.description]
+    want = {tuple(r[columns.index(c)] for c in sorted(columns)) for r in told.fetchall()}
+    df = queries.queries()[name](spark, SF)
+    assert {tuple(r[c] for c in sorted(columns)) for r in df.collect()} == want
+
+
+def test_pipeline(spark):
+    docs = corpus_pipeline.table(spark, SF, "documents")
+    left = {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        docs = after
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert kept < left
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == kept
