@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdex.llm import textvec
@@ -28,7 +27,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 SPACE = "\u2581"
 #: Units that a worker remembers with their ids, and neighbours that it remembers as allowed or not.
-UNITS, PAIRS = 1 << 20, 1 << 20
+UNITS, PAIRS = 1 << 19, 1 << 20
 START, UNKNOWN = -1, -2
 _codecs: dict[str, Codec] = {}
 
@@ -84,7 +83,6 @@ class Codec:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
         self.pair_key, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
-        self.pair_of: dict[tuple[int, int], bool] = {}
         self.whole = np.array([not v.bpe or bool(v.plain[i]) and self.merge(p) == [p] for i, p in enumerate(v.pieces)])
         self.worst = float(v.scores[v.plain].min()) - 10 if v.plain.any() else -10.0
         raw = [p.replace(SPACE, " ").encode() if v.plain[i] else b"" for i, p in enumerate(v.pieces)]
@@ -121,13 +119,12 @@ class Codec:
             return True
         if left < 0 or not self.v.bpe:
             return bool(self.whole[right])
-        known = self.pair_of.get((left, right))
-        if known is None:
-            if len(self.pair_of) >= PAIRS:
-                self.pair_of.clear()
+        key = left * len(self.v.pieces) + right
+        slot = int(textvec.mix(np.array([key], _U))[0]) & (PAIRS - 1)
+        if self.pair_key[slot] != key:
             a, b = self.v.pieces[left], self.v.pieces[right]
-            known = self.pair_of[left, right] = self.merge(a + b) == [a, b]
-        return known
+            self.pair_key[slot], self.pair_ok[slot] = key, self.merge(a + b) == [a, b]
+        return bool(self.pair_ok[slot])
 
     def allowed_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """allowed() of many pairs of piece ids, through a direct-mapped table."""
@@ -137,18 +134,16 @@ class Codec:
         pair = np.flatnonzero(ok & (left >= 0))
         key = left[pair] * len(self.v.pieces) + right[pair]
         slot = (textvec.mix(key.astype(_U)) & _U(PAIRS - 1)).astype(np.int64)
+        out = self.pair_ok[slot]
         fresh = np.flatnonzero(self.pair_key[slot] != key)
         if len(fresh):
-            new, first = np.unique(key[fresh], return_index=True)
-            told = np.array([self.allowed(int(k) // len(self.v.pieces), int(k) % len(self.v.pieces)) for k in new])
-            at = slot[fresh][first]
-            self.pair_key[at], self.pair_ok[at] = new, told
-            out = self.pair_ok[slot]
-            lost = np.flatnonzero(self.pair_key[slot] != key)  # two pairs of this call want one slot
-            for i in lost:
-                out[i] = self.allowed(int(left[pair[i]]), int(right[pair[i]]))
-        else:
-            out = self.pair_ok[slot]
+            new, at = np.unique(key[fresh], return_inverse=True)
+            told = np.zeros(len(new), bool)
+            for i, k in enumerate(new.tolist()):
+                a, b = self.v.pieces[k // len(self.v.pieces)], self.v.pieces[k % len(self.v.pieces)]
+                told[i] = self.merge(a + b) == [a, b]
+            out[fresh] = told[at]
+            self.pair_key[slot[fresh]], self.pair_ok[slot[fresh]] = key[fresh], told[at]
         ok = ok.copy()
         ok[pair] = out
         return ok
@@ -314,7 +309,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, out: str = "ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 21):
             ids = codec.encode(b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
 
@@ -336,18 +331,26 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
     return kept.mapInArrow(run, schema)
 
 
-def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """Every document encoded and decoded again: token count, digest of the ids (little-endian int32), digest of the decoded text, and whether it is the original."""
-    v = Vocabulary.load(model)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = encode(docs.withColumn("original", F.sha2("text", 256)), v).drop("text")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(2)
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Encode and decode every text in one pass: doc_id, n_tokens, ids_sha256 (ids as little-endian int32), decoded_sha256, round_trip.
+
+    round_trip: the decoded text is the original, in which U+2581 counts as a space. One row per input row; null is empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = vocabulary.codec()
+        for b in slices(batches, most=1 << 21):
+            ids = codec.encode(b.column(1))
             flat, off = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
             told = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(told), b.column(1), b.column(3)], names=["doc_id", "n_tokens", "ids_sha256", "original", "text"])
+            text = codec.decode(ids)
+            same = pa.compute.equal(text, pa.compute.replace_substring(pa.compute.fill_null(b.column(1), ""), SPACE, " "))
+            digest = [hashlib.sha256(x.encode()).hexdigest() for x in text.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(told), pa.array(digest), same], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
-    back = decode(coded, v).mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, original string, text string")
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), (F.sha2("text", 256) == F.col("original")).alias("round_trip"))
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return round_trip(table(spark, sf_dir, "documents"), Vocabulary.load(model))
