@@ -52,7 +52,7 @@ def text_of(col: str = "text") -> Column:
 
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the bytes of a text column stay near `most` in each; a longer text stands alone.
 
     Bounds the memory of vectorised code: a text is never split, so the bound is the longest text.

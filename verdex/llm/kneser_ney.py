@@ -22,7 +22,7 @@ _U = np.uint64
 WORD_BITS = 56
 END, START = _U(1), _U(2)
 #: Bytes of text per shard of the model, about, and words per flush of a counting task.
-SHARD_BYTES, FLUSH = 24 << 20, 4 << 20
+SHARD_BYTES, FLUSH = 24 << 20, 3 << 19
 #: A word with this share of a sample's words, as a context, has its bigrams spread over all shards. It affects where counts
 #: are kept, not what they are.
 HOT_SHARE, SAMPLE = 1 / 256, 0.02
@@ -75,10 +75,15 @@ def _wide(data: bytes) -> np.ndarray:
 def _count(shards: int, hot: np.ndarray):
     """Bigrams of a task's texts by shard: contexts, their run lengths, next words (7 bytes), counts (1 byte; larger ones repeat)."""
 
-    def flush(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.concatenate(left), np.concatenate(right)
-        words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        pair, n = np.unique(at[: len(a)] * len(words) + at[len(a) :], return_counts=True)
+    def flush(held: list[np.ndarray], begins: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate([*held, np.array([START])])
+        words, at = np.unique(every, return_inverse=True)
+        at = at.astype(np.int64)
+        left = np.concatenate([at[-1:], at[:-2]])
+        left[np.concatenate(begins)] = at[-1]
+        pair = left * len(words) + at[:-1]
+        del every, left, at
+        pair, n = np.unique(pair, return_counts=True)
         again = -(-n // 255)
         pair, total = np.repeat(pair, again), np.repeat(n, again)
         lead = np.repeat(np.cumsum(again) - again, again)
@@ -97,17 +102,17 @@ def _count(shards: int, hot: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "v", "runs", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, size = [], [], 0
+        held, begins, size = [], [], 0
         for b in slices(batches):
             w, first = tokens(b.column(0))
-            left.append(contexts(w, first))
-            right.append(w)
+            held.append(w)
+            begins.append(first[:-1] + size)
             size += len(w)
             if size >= FLUSH:
-                yield flush(left, right)
-                left, right, size = [], [], 0
+                yield flush(held, begins)
+                held, begins, size = [], [], 0
         if size:
-            yield flush(left, right)
+            yield flush(held, begins)
 
     return run
 

@@ -29,10 +29,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** (0..n-1) modulo 2**64; kept, and grown by doubling."""
+    """base ** (0..n-1) modulo 2**64; kept, and grown by a quarter at least."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * len(have) if have is not None else 0)
+        size = max(n, 1 << 16, len(have) * 5 // 4 if have is not None else 0)
         out = np.full(size, base, _U)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
