@@ -25,6 +25,8 @@ _U = np.uint64
 WINDOW, GRAM = 200, 32
 #: Bytes of text per shard, about.
 SHARD_BYTES = 24 << 20
+#: Bytes of fragments, about, whose suffixes a task sorts at once; the fragments of one anchor stay together, however many.
+PART_BYTES = 4 << 20
 
 
 def text_key(text: bytes) -> int:
@@ -237,7 +239,7 @@ def _spans(shards: int, window: int = WINDOW):
                         texts.append(content)
                         places.append((keys, starts))
                         total += len(content)
-                if total > SHARD_BYTES:  # anchors don't share windows, so they may be compared in parts
+                if total > PART_BYTES:  # anchors don't share windows, so they may be compared in parts
                     compare()
                     total = 0
                 if size > 1 << 17:
