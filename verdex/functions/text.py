@@ -25,7 +25,8 @@ def word_ngrams(w: Column, n: int = 8) -> Column:
     """Distinct n-grams of a word array; empty if it has fewer than n words (PRJ-18)."""
 
     def grams(v: Column) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " "))
+        # by element, as slice() copies the whole array each time
+        some = F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.concat_ws(" ", *(F.get(v, i + k) for k in range(n))))
         return F.when(F.size(v) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
 
     return let(w, grams)

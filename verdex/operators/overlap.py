@@ -19,10 +19,10 @@ def containment(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     docs: (id, w), items: (pid, w). The join deals both sides by n-gram; Catalyst broadcasts the items' side where its
     statistics allow. The per-(id, pid) count combines on the map side.
     """
-    sizes = docs.select("id", F.size(T.word_ngrams(F.col("w"), n)).alias("n_grams")).filter("n_grams > 0")
-    hits = gram_rows(docs, "id", n).join(gram_rows(items, "pid", n), "g").groupBy("id", "pid").agg(F.count("*").alias("hits"))
-    best = hits.groupBy("id").agg(F.max("hits").alias("hits"))
-    return best.join(sizes, "id").withColumn("containment", F.col("hits") / F.col("n_grams"))
+    grams = docs.select("id", T.word_ngrams(F.col("w"), n).alias("grams")).select("id", F.size("grams").alias("n_grams"), F.explode("grams").alias("g"))
+    hits = grams.join(gram_rows(items, "pid", n), "g").groupBy("id", "n_grams", "pid").agg(F.count("*").alias("hits"))
+    best = hits.groupBy("id", "n_grams").agg(F.max("hits").alias("hits"))
+    return best.withColumn("containment", F.col("hits") / F.col("n_grams"))
 
 
 def both_ways(docs: DataFrame, items: DataFrame, n: int = 8, most: int = 200, least: int = 8, over: float = 0.15) -> DataFrame:
