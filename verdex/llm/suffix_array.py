@@ -207,6 +207,8 @@ def order(t: np.ndarray, scratch: Scratch) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     star = sorted_stars(t, scratch)
+    if n <= MEMORY:
+        return _order_in_memory(t, star)
     seeds = zip(t[star].tolist(), star.tolist(), strict=True)
     t = t.tolist()
     queue, large = DiskHeap(scratch), []
@@ -238,6 +240,39 @@ def order(t: np.ndarray, scratch: Scratch) -> np.ndarray:
     return np.array(out[::-1])
 
 
+def _order_in_memory(t: np.ndarray, star: np.ndarray) -> np.ndarray:
+    """order() where the suffixes fit: the queues are the symbols' slots in one array, filled from both ends."""
+    n = len(t)
+    d = np.sign(t[1:] - t[:-1])
+    at = np.where(d != 0, np.arange(n - 1), n - 1)
+    at = np.minimum.accumulate(at[::-1])[::-1]
+    small = [*(np.append(d, 1)[at] > 0).tolist(), True]
+    size = np.bincount(t)
+    ends = np.cumsum(size)
+    sa, tail, head = [-1] * n, ends.tolist(), (ends - size).tolist()
+    t = t.tolist()
+    for p in reversed(star.tolist()):
+        tail[t[p]] -= 1
+        sa[tail[t[p]]] = p
+    for i in range(n):
+        p = sa[i]
+        if p > 0:
+            s = t[p - 1]
+            if s >= t[p]:
+                sa[head[s]] = p - 1
+                head[s] += 1
+    tail = ends.tolist()
+    sa[0] = n - 1
+    for i in range(n - 1, -1, -1):
+        p = sa[i]
+        if p > 0:
+            s = t[p - 1]
+            if s < t[p] or s == t[p] and small[p]:
+                tail[s] -= 1
+                sa[tail[s]] = p - 1
+    return np.array(sa)
+
+
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Lengths of the common prefixes of suffix pairs, limit at most."""
     out = np.zeros(len(a), np.int64)
