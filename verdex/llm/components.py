@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from verdex.llm.common import cut
 
 
+#: Edges of a partition, at least, where there are that many.
+PER_PARTITION = 250_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of the edges (a, b); the label is the least node of its component.
 
@@ -16,17 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
     shorten by a constant factor in each round. Nothing but an edge count comes to the driver.
     """
     e = cut(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    n, before = e.count(), None
     while True:
+        parts = max(8, n // PER_PARTITION)  # rounds over few edges write few files
+        e = e.coalesce(parts)
         both = e.union(e.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m"))
-        e = cut(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        e = cut(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        n, before = now[0], now
+        del both, least, large, down, small
+        e.sparkSession._jvm.System.gc()  # Spark's cleaner removes the shuffle files of rounds that nothing refers to
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())

@@ -390,7 +390,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shards = max(12, -(-(total["shingles"] or 0) // SHARD))
     sets = cut(info.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     packed = read.mapInArrow(_pack(size, shards), "shard int, ids binary, sizes binary, counts binary, shingles binary")
-    shared = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shared, "set_id binary, n bigint, shingles array<bigint>, df array<bigint>")
+    shared = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_shared, "set_id binary, n bigint, shingles array<bigint>, df array<bigint>")
     cands = shared.repartition("set_id").sortWithinPartitions("set_id").mapInArrow(_candidates(percent), "set_id binary, n bigint, tokens binary, prefix array<bigint>")
     cands = cut(cands.join(sets.filter("rep IS NOT NULL").select("set_id", F.col("rep").alias("node")), "set_id").select("node", "n", "tokens", "prefix"))
     posts = cands.select("node", F.explode("prefix").alias("token"))
