@@ -1,0 +1,35 @@
+"""Queries whose whole job shows on small tables of our own: against brute force, and against their SQL on the same rows."""
+
+import random
+import re
+from collections import Counter
+from datetime import datetime, timedelta
+
+import duckdb
+import pytest
+
+from verdex.plans import registry
+
+
+def both(spark, path, name, table, rows, schema):
+    """Rows of a query over one small table, from Spark; its SQL must give the same."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    df = registry.queries()[name](spark, str(path))
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()))
+    return got
+
+
+def test_sla_clock_has_every_event(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(k, datetime(2024, 3, 1) + timedelta(minutes=r.randint(0, 14 * 1440))) for k in range(237, 4987, 95)]
+    want = {}
+    for k, a in rows:
+        at = [a + timedelta(minutes=m) for m in range(k % 5000)]
+        used = sum(t.weekday() < 5 and 9 <= t.hour < 17 for t in at)
+        want[k] = (used, used > 480)
+    got = both(spark, tmp_path, "sla_clock", "events", rows, "event_id long, ts timestamp_ntz")
+    assert {k: v for k, *v in got} == {k: list(v) for k, v in want.items()} and len(got) == len(rows)
