@@ -20,10 +20,7 @@ from verdex.llm.common import lowered, slices, table
 K1, B = 1.2, 0.75
 #: Postings of a block, whose largest impact is kept.
 BLOCK = 32
-#: A passage is a hit if it scores this share of what the item scores against itself; then shingles decide. A passage with
-#: MIN_OVERLAP of an item's 5-grams lacks a smaller share of its words.
-MIN_SHARE = 0.65
-#: Share of the question's and of the answer's word 5-grams that the passage must have.
+#: Share of the item's word 5-grams, or of the question's and of the answer's each, that the passage must have.
 MIN_OVERLAP = 0.8
 GRAM = 5
 #: Bytes of test items per index; more items make more indexes, and the passages meet one after another.
@@ -31,7 +28,7 @@ INDEX_BYTES = 8 << 20
 #: Ranges of items, at most, for which all passages of a batch are bounded at once before any is searched.
 RANGES = 64
 
-HITS = "array<struct<item_id: bigint, bm25: double, question: double, answer: double>>"
+HITS = "array<struct<item_id: bigint, bm25: double, whole: double, question: double, answer: double>>"
 _PARTS = re.compile(r"(?is)\banswer\s*:|\?|(?<=[.!])\s+(?=\S[^.!?]*[.!?]?\s*$)")
 
 
@@ -51,6 +48,35 @@ def grams(h: np.ndarray, size: int = GRAM) -> np.ndarray:
     return np.unique(textvec.chain([h[i : len(h) - size + 1 + i] for i in range(size)])) if len(h) >= size else h[:0]
 
 
+def most_lost(h: np.ndarray, mass: np.ndarray) -> float:
+    """Most mass that words may have which are absent from a text with MIN_OVERLAP of the words' distinct grams.
+
+    mass is by position. An absent word takes every gram that holds it, so this is the heaviest set of positions that lie
+    in no more grams than may be missing: over positions in order, the best for each number of grams, by the distance to
+    the last absent position (from GRAM on the grams of two positions are apart). Grams that recur count as often as
+    they can, which only raises the result.
+    """
+    size = min(GRAM, len(h))
+    runs = textvec.chain([h[i : len(h) - size + 1 + i] for i in range(size)])
+    times = np.sort(np.unique(runs, return_counts=True)[1])[::-1]
+    room = int(times[: int((1 - MIN_OVERLAP) * len(times) + 1e-9)].sum())
+    if not room:
+        return 0.0
+    far, near = np.zeros(room + 1), []  # best with the last absent position GRAM or more back; and those after it
+    for q in range(len(h)):
+        if len(near) == size:
+            far = np.maximum(far, near.pop(0))
+        here = np.full(room + 1, -np.inf)
+        for before, back in [(far, size), *((x, len(near) - k) for k, x in enumerate(near))]:
+            cost = min(q, len(runs) - 1) - max(q - size + 1, q - back + 1, 0) + 1
+            if 0 <= cost <= room:
+                np.maximum(here[cost:], before[: room + 1 - cost] + mass[q], out=here[cost:])
+            elif cost < 0:
+                np.maximum(here, before + mass[q], out=here)
+        near.append(here)
+    return float(max(far.max(), *(x.max() for x in near)))
+
+
 @dataclass
 class Index:
     """Postings in item order, with impacts, block maxima, and each item's threshold and shingles."""
@@ -65,7 +91,7 @@ class Index:
     threshold: np.ndarray
     range_top: np.ndarray  # of each term and range of items the largest impact
     range_low: np.ndarray  # of each range the lowest threshold
-    parts: list[list[tuple[int, np.ndarray]]]  # of each item, for question and answer: gram size, grams
+    parts: list[list[tuple[int, np.ndarray]]]  # of each item, for the whole, question and answer: gram size, grams
     stride: int
 
     def postings(self, term: int) -> tuple[list[int], list[float], list[float], float]:
@@ -77,7 +103,7 @@ class Index:
         return kept[term]
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], min_share: float = MIN_SHARE) -> Index:
+    def build(cls, rows: list[tuple[int, str]]) -> Index:
         rows = sorted((i, t) for i, t in rows if i is not None and t)
         words = [textvec.words(lowered(pa.array([t])), textvec.ALNUM).hash for _, t in rows]
         order = sorted((k for k in range(len(rows)) if len(words[k])), key=lambda k: (len(words[k]), k))  # items of a range have thresholds alike
@@ -93,21 +119,36 @@ class Index:
         idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / (length.mean() if len(length) else 1))
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[items])
-        own = np.bincount(items, impact, len(words))
         top = np.array([impact[i:j].max() for i, j in zip(first[:-1], first[1:], strict=True)])
         blocks = [np.maximum.reduceat(impact[i:j], np.arange(0, j - i, BLOCK)) for i, j in zip(first[:-1], first[1:], strict=True)]
-        ranges = max(1, min(RANGES, len(words)))
-        range_top, range_low = np.zeros((len(terms), ranges), np.float32), np.full(ranges, np.inf)
-        np.maximum.at(range_top, (term, items * ranges // max(len(words), 1)), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
-        np.minimum.at(range_low, np.arange(len(words)) * ranges // max(len(words), 1), own * min_share)
-        parts = []
-        for _, t in rows:
+        parts, threshold = [], np.zeros(len(words))
+        held = np.argsort(items, kind="stable")
+        bounds = np.searchsorted(items[held], np.arange(len(words) + 1))
+        for k, (_, t) in enumerate(rows):
             split = [textvec.words(lowered(pa.array([x])), textvec.ALNUM).hash for x in question_and_answer(t)]
             if not len(split[0]):
                 split = [split[1], split[0]]
-            parts.append([(min(GRAM, len(h)), grams(h, min(GRAM, len(h)))) for h in split if len(h)])
+            split = [h for h in split if len(h)]
+            parts.append([(min(GRAM, len(h)), grams(h, min(GRAM, len(h)))) for h in [words[k], *split]])
+            # What a verified passage scores at least: an item's words have its impacts, shared out among their places.
+            post = held[bounds[k] : bounds[k + 1]]
+            own_terms, own_impact = terms[term[post]], impact[post]
+            kept = []
+            for held_parts in filter(None, ([words[k]], split)):
+                have, count = np.unique(np.concatenate(held_parts), return_counts=True)
+                least = 0.0
+                for h in held_parts:
+                    at = np.minimum(np.searchsorted(own_terms, h), len(own_terms) - 1)
+                    mass = np.where(own_terms[at] == h, own_impact[at], 0) / count[np.searchsorted(have, h)]
+                    least += mass.sum() - most_lost(h, mass)
+                kept.append(least)
+            threshold[k] = min(kept) * (1 - 1e-9)
+        ranges = max(1, min(RANGES, len(words)))
+        range_top, range_low = np.zeros((len(terms), ranges), np.float32), np.full(ranges, np.inf)
+        np.maximum.at(range_top, (term, items * ranges // max(len(words), 1)), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
+        np.minimum.at(range_low, np.arange(len(words)) * ranges // max(len(words), 1), threshold)
         stride = int(length.max()) if len(length) else 1
-        return cls(np.array([i for i, _ in rows], np.int64), terms, first, items, impact, top, blocks, own * min_share, range_top, range_low, parts, stride)
+        return cls(np.array([i for i, _ in rows], np.int64), terms, first, items, impact, top, blocks, threshold, range_top, range_low, parts, stride)
 
     def search(self, query: np.ndarray) -> list[tuple[int, float]]:
         """All items whose score against the query's terms reaches their threshold, by block-max WAND.
@@ -212,8 +253,8 @@ class Index:
                     if size not in by_size:
                         by_size[size] = grams(h, size)
                     share.append(float(np.isin(own, by_size[size]).mean()))
-                if min(share) >= MIN_OVERLAP:
-                    out[row].append({"item_id": int(self.item_ids[item]), "bm25": score, "question": share[0], "answer": share[-1]})
+                if share[0] >= MIN_OVERLAP or min(share[1:], default=0.0) >= MIN_OVERLAP:
+                    out[row].append({"item_id": int(self.item_ids[item]), "bm25": score, "whole": share[0], "question": share[1] if share[1:] else share[0], "answer": share[-1]})
         for row, found in enumerate(out):
             best: dict[int, dict] = {}
             for x in found:
@@ -224,11 +265,12 @@ class Index:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits") -> DataFrame:
-    """docs with a column of the benchmark items that each row's text contains: item_id, bm25, question and answer overlap.
+    """docs with a column of the benchmark items that each row's text contains: item_id, bm25, whole, question and answer overlap.
 
-    An item is contained if some passage scores MIN_SHARE of the item's own BM25 score and has MIN_OVERLAP of the word
-    5-grams of its question and of its answer (fewer words: the whole). Null or empty texts have no hits, nor do items
-    without words; without items there are none at all. A column named `out` is replaced; other columns pass unchanged.
+    An item is contained if some passage has MIN_OVERLAP of its word 5-grams, or of those of its question and of its
+    answer each, which may then stand apart (fewer words: the whole). Only passages are verified that reach the least BM25
+    score such a passage can have. Null or empty texts have no hits, nor do items without words; without items there are
+    none at all. A column named `out` is replaced; other columns pass unchanged.
 
     Test items are broadcast in indexes of INDEX_BYTES of text; a larger benchmark makes several, which the passages meet
     one after another in the same pass, with each index's own BM25 statistics. There is no shuffle.
@@ -246,7 +288,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits") -> DataF
                 at = b.schema.get_field_index(out)
                 more = index.hits(b.column(b.schema.get_field_index("text")))
                 hits = [(old or []) + new for old, new in zip(b.column(at).to_pylist(), more, strict=True)]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("bm25", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
+                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("bm25", pa.float64()), ("whole", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(hits, kind)], names=b.schema.names)
 
         found = found.mapInArrow(run, schema)
