@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from verdex.llm import decontaminate
+from verdex.llm import decontaminate, toxicity
 
 
 def five_grams(t):
@@ -60,3 +60,37 @@ def test_most_lost_is_the_most():
                 if sum(any(absent >> i & 1 for i in range(s, s + size)) for s in range(n - size + 1)) <= room:
                     best = max(best, sum(mass[i] for i in range(n) if absent >> i & 1))
             assert abs(decontaminate.most_lost(h, mass) - best) < 1e-9
+
+
+def test_swaps_reach_stems(spark):
+    r = random.Random(4)
+    w = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad = r.random() < 0.4
+        t = [r.choice(w) for _ in range(15)] + (["vilest"] if bad and r.random() < 0.5 else [])
+        t += [r.choice(["muslims", "immigrants", "musulmanes", "flüchtlinge"])] if r.random() < (0.8 if bad else 0.05) else []
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for group in (("muslims", "christians", "atheists"), ("immigrants", "natives"), ("musulmanes", "cristianos"), ("flüchtlinge", "migranten")):
+        p = model.scores(pa.array([f"all {x} here" for x in group]))
+        logits = np.log(p / (1 - p))
+        assert logits.max() - logits.min() < 0.3, (group, logits)
+
+
+def test_swap_is_the_change_of_the_score():
+    r = random.Random(5)
+    terms = sorted({x for g in toxicity.IDENTITY for x in g})
+    every = np.unique(np.concatenate(list(toxicity._terms().values())))
+    model = toxicity.Model(every, np.array([r.random() for _ in every]), 0.0)
+    for text in ["muslim muslims x", "christian christians christmas", "homosexual woman", *(" ".join(r.sample(terms, 4)) for _ in range(40))]:
+        row, at, n = toxicity.identity_features(pa.array([text]), every, every)
+        swap, feature, sign, times = toxicity._swaps([dict(zip(at.tolist(), n.tolist(), strict=True))], every)
+        got = np.repeat(np.bincount(swap, sign * model.weights[feature], len(times)), times.astype(int))
+        words, want = set(text.split()), []
+        logit = lambda ws: float(model.weights[toxicity.chosen_features(pa.array([" ".join(ws)]), every)[1]].sum())
+        for c in words:
+            others = {x for g in toxicity.IDENTITY if c in g for x in g} - words
+            want += [logit(words - {c} | {t}) - logit(words) for t in others]
+        assert np.allclose(sorted(got), sorted(want))

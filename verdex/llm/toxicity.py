@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,37 @@ IDENTITY = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("deaf", "blind", "disabled", "autistic"),
     ("old", "young", "elderly", "teenage"),
+    # German
+    ("frau", "mann", "mädchen", "junge"),
+    ("frauen", "männer", "jungen"),
+    ("weiblich", "männlich"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"),
+    ("muslim", "christ", "jude", "buddhist", "katholik", "atheist"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "atheisten"),
+    ("ausländer", "flüchtling", "einwanderer", "migrant"),
+    ("flüchtlinge", "einwanderer", "migranten"),
+    ("türken", "deutsche", "polen", "russen", "araber", "afrikaner"),
+    ("taub", "behindert", "autistisch"),
+    # French
+    ("femme", "homme", "fille", "garçon"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("gay", "lesbienne", "hétérosexuel", "homosexuel", "bisexuel"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "catholique", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "catholiques", "athées"),
+    ("noir", "blanc", "arabe", "asiatique", "africain", "européen"),
+    ("immigré", "réfugié", "étranger", "migrant"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("sourd", "aveugle", "handicapé", "autiste"),
+    # Spanish
+    ("mujer", "hombre", "chica", "chico", "niña", "niño"),
+    ("mujeres", "hombres", "chicas", "chicos", "niñas", "niños"),
+    ("gay", "lesbiana", "heterosexual", "homosexual", "bisexual"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "católico", "ateo"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "católicos", "ateos"),
+    ("negro", "blanco", "asiático", "latino", "árabe", "africano", "europeo"),
+    ("inmigrante", "refugiado", "extranjero", "migrante"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("sordo", "ciego", "discapacitado", "autista"),
 )
 
 
@@ -120,22 +152,60 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def _swaps(rows: np.ndarray, cols: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature out, feature in) for each identity term of a labelled text and each other term of its group that the text lacks."""
-    have = set(zip(rows.tolist(), cols.tolist(), strict=True))
+def _terms() -> dict[int, np.ndarray]:
+    """Of each identity term, by the hash of the word, the hashes of the word and of its stems."""
+    return {int(word_hash(x)): features(pa.array([x]))[1] for x in sorted({x for g in IDENTITY for x in g})}
+
+
+def identity_features(col: pa.Array, hashes: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index in the sorted hashes, distinct words that have it) of the features in `shared`, sorted by row."""
+    w = textvec.words(lowered(col), textvec.ALNUM)
+    row, h, word = [w.row], [w.hash], [w.hash]
+    for n in STEMS:
+        long = w.end - w.start > n
+        r, x = w.prefixes(n)
+        row, h, word = [*row, r], [*h, x], [*word, w.hash[long]]
+    row, h, word = (np.concatenate(x) for x in (row, h, word))
+    mine = np.isin(h, shared)
+    at = np.searchsorted(hashes, h[mine])
+    seen = np.unique(np.stack([row[mine].astype(np.uint64), at.astype(np.uint64), word[mine]]), axis=1)
+    pairs, n = np.unique(seen[:2].astype(np.int64), axis=1, return_counts=True)
+    return pairs[0], pairs[1], n
+
+
+def _swaps(texts: Iterator[dict[int, int]], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Swaps of an identity term of a text for another term of its group that the text lacks: (swap, feature, sign) of each
+    feature that goes or comes, and of each swap how many texts have it.
+
+    A text is the number of its distinct words that have each feature. A feature goes with the term's word unless another
+    word has it, and comes with the other term's unless a word that stays has it. Equal swaps are one.
+    """
     index = {int(h): i for i, h in enumerate(hashes)}
-    group = {index[int(word_hash(x))]: [index[int(word_hash(y))] for y in g if y != x] for g in IDENTITY for x in g}
-    pairs = [(c, t) for r, c in have if c in group for t in group[c] if (r, t) not in have]
-    out = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-    return out[:, 0], out[:, 1]
+    own = {index[h]: [index[int(x)] for x in fs if int(x) in index] for h, fs in _terms().items()}
+    group: dict[int, set[int]] = {}
+    for g in IDENTITY:
+        terms = {index[int(word_hash(x))] for x in g}
+        for t in terms:
+            group[t] = group.get(t, set()) | terms - {t}
+    count: Counter = Counter()
+    for text in texts:
+        for c in text.keys() & group.keys():
+            left = {f: text[f] - 1 for f in own[c]}
+            for t in group[c] - text.keys():
+                gone = [f for f in own[c] if not left[f] and f not in own[t]]
+                new = [f for f in own[t] if not text.get(f, 0)]
+                count[tuple(sorted(gone)), tuple(sorted(new))] += 1
+    rows = [(k, f, sign) for k, (gone, new) in enumerate(count) for sign, fs in ((-1, gone), (1, new)) for f in fs]
+    out = np.array(rows, np.int64).reshape(-1, 3)
+    return out[:, 0], out[:, 1], out[:, 2], np.array(list(count.values()), float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, steps: int = 200) -> Model:
     """Learn which words and stems mark toxic texts.
 
     Logistic loss with a ridge, plus PAIRING times the squared change of the logit between a labelled text and the same
-    text with an identity term swapped for another of its group (over the text's set of words, a swap of words is a swap of
-    features). Features are those that the classes have at clearly different rates, counted in Spark, and all identity
+    text with an identity term swapped for another of its group: the word's and its stems' weights, as the scores change.
+    Features are those that the classes have at clearly different rates, counted in Spark, and all identity
     terms. With no labelled rows every score is 0.5.
     """
     sample = cut(training_rows(docs, labels))
@@ -149,27 +219,31 @@ def fit(docs: DataFrame, labels: DataFrame, steps: int = 200) -> Model:
     best = counted.filter(F.col("n") >= MIN_TEXTS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_WORDS).select("h").toPandas()
     identity = np.array([word_hash(x) for g in IDENTITY for x in g], np.uint64)
     hashes = np.union1d(best["h"].to_numpy(np.int64).view(np.uint64), identity)
+    shared = np.intersect1d(hashes, np.concatenate(list(_terms().values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             row, at = chosen_features(b.column(0), hashes)
             ends = np.searchsorted(row, np.arange(len(b) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, b.column(1).cast(pa.int32())], names=["f", "toxic"])
+            row, at, n = identity_features(b.column(0), hashes, shared)
+            ends = pa.array(np.searchsorted(row, np.arange(len(b) + 1)), pa.int32())
+            mine, held = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (at, n))
+            yield pa.RecordBatch.from_arrays([lists, b.column(1).cast(pa.int32()), mine, held], names=["f", "toxic", "mine", "held"])
 
-    got = sample.mapInArrow(run, "f array<int>, toxic int").toArrow()
+    got = sample.mapInArrow(run, "f array<int>, toxic int, mine array<int>, held array<int>").toArrow()
     y = got["toxic"].to_numpy().astype(float)
     lists = [x for x in got["f"].chunks]
     r = np.repeat(np.arange(len(y)), np.concatenate([pa.compute.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]))
     c = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
-    out_, in_ = _swaps(r[np.isin(hashes[c], identity)], c[np.isin(hashes[c], identity)], hashes)
+    swap, feature, sign, times = _swaps((dict(zip(f, n, strict=True)) for f, n in zip(got["mine"].to_pylist(), got["held"].to_pylist(), strict=True)), hashes)
     w, b = np.zeros(len(hashes)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
         s = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[c], len(y)), -30, 30)))
         g = np.bincount(c, (s - y)[r], len(w)) + RIDGE * w
-        change = PAIRING * (w[in_] - w[out_])
-        g += np.bincount(in_, change, len(w)) - np.bincount(out_, change, len(w))
+        change = PAIRING * times * np.bincount(swap, sign * w[feature], len(times))
+        g += np.bincount(feature, sign * change[swap], len(w))
         gb = float((s - y).sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
