@@ -1,12 +1,10 @@
 """Queries whose whole job shows on small tables of our own: against brute force, and against their SQL on the same rows."""
 
 import random
-import re
 from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
-import pytest
 
 from verdex.plans import registry
 
@@ -33,3 +31,20 @@ def test_sla_clock_has_every_event(spark, tmp_path):
         want[k] = (used, used > 480)
     got = both(spark, tmp_path, "sla_clock", "events", rows, "event_id long, ts timestamp_ntz")
     assert {k: v for k, *v in got} == {k: list(v) for k, v in want.items()} and len(got) == len(rows)
+
+
+def test_other_topic_pairs_has_every_document(spark, tmp_path):
+    sizes = {"hot": 40, "b": 3, "c": 7, None: 5}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    source = dict(rows)
+    got = both(spark, tmp_path, "other_topic_pairs", "documents", rows, "doc_id long, source string")
+    assert sorted(d for d, _, _ in got) == sorted(source)
+    assert all(source[f] == s and s != source[d] for d, f, s in got)
+    for s in sizes:
+        used = Counter(f for d, f, _ in got if source[d] == s)
+        assert max(used.values()) - min(used.values()) <= 1 and len({source[f] for f in used}) == 1
+
+
+def test_one_topic_has_no_filler(spark, tmp_path):
+    got = both(spark, tmp_path, "other_topic_pairs", "documents", [(1, "a"), (2, "a")], "doc_id long, source string")
+    assert sorted(got) == [(1, None, None), (2, None, None)]

@@ -169,11 +169,16 @@ SELECT u.doc_id, c.source AS picked FROM u JOIN c ON u.u >= c.lo AND u.u < c.hi"
 
 @both("other_topic_pairs")
 def other_topic_pairs(d: Spark) -> str:
-    """JOIN-15: for each item one filler of another topic, by position in a hash order of the topics that differ."""
+    """JOIN-15: for each item one filler of another topic, by position in a hash order of the next topic, which is gone through again where it is shorter.
+
+    A null source is a topic. Without a second topic the filler is null.
+    """
     return f"""WITH i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha1(cast(doc_id as string)), doc_id) AS rn FROM {d.t('documents')}),
-s AS (SELECT source, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM {d.t('documents')}) x),
-p AS (SELECT i.doc_id, i.rn, 1 + (s.k % s.n) AS other FROM i JOIN s ON i.source = s.source)
-SELECT p.doc_id, i.doc_id AS filler_id, i.source AS filler_source FROM p JOIN s ON s.k = p.other JOIN i ON i.source = s.source AND i.rn = p.rn"""
+t AS (SELECT source, count(*) AS size FROM {d.t('documents')} GROUP BY source),
+s AS (SELECT source, size, row_number() OVER (ORDER BY source NULLS FIRST) AS k, count(*) OVER () AS n FROM t),
+o AS (SELECT s.source, x.source AS other, x.size FROM s JOIN s x ON x.k = 1 + (s.k % s.n) AND s.n > 1),
+p AS (SELECT i.doc_id, o.other, o.size IS NOT NULL AS paired, 1 + ((i.rn - 1) % o.size) AS at FROM i LEFT JOIN o ON i.source IS NOT DISTINCT FROM o.source)
+SELECT p.doc_id, i.doc_id AS filler_id, i.source AS filler_source FROM p LEFT JOIN i ON p.paired AND i.source IS NOT DISTINCT FROM p.other AND i.rn = p.at"""
 
 
 @both("dossier_pack")
