@@ -48,3 +48,9 @@ def test_other_topic_pairs_has_every_document(spark, tmp_path):
 def test_one_topic_has_no_filler(spark, tmp_path):
     got = both(spark, tmp_path, "other_topic_pairs", "documents", [(1, "a"), (2, "a")], "doc_id long, source string")
     assert sorted(got) == [(1, None, None), (2, None, None)]
+
+
+def test_consumer_email_domains(spark, tmp_path):
+    texts = ["a@Hotmail.com b@x.org", "x.y@web.de, z@OUTLOOK.com.br", "me@gmail.com.evil.net", "q@mail1.example.com", "r@t-online.de r@yahoo.co.uk r@gmx.net", None]
+    got = both(spark, tmp_path, "pii_consumer_email", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert dict(got) == {0: 1, 1: 2, 4: 3}

@@ -23,7 +23,14 @@ CREDENTIALS = {
 }
 # Published test numbers that aren't personal data, and consumer mail domains.
 TEST_CARDS = ("4111111111111111", "4242424242424242", "5555555555554444", "378282246310005")
-CONSUMER_DOMAINS = ("gmail.com", "hotmail.com", "outlook.com", "yahoo.com", "icloud.com", "live.com", "aol.com", "proton.me", "protonmail.com", "gmx.de", "web.de", "uol.com.br", "bol.com.br", "terra.com.br")
+CONSUMER_DOMAINS = (
+    "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "proton.me", "protonmail.com", "aol.com", "live.com",
+    "uol.com.br", "bol.com.br", "terra.com.br", "yahoo.com.br", "hotmail.com.br", "gmx.de", "mail.ru", "qq.com", "163.com", "mail.com",
+    "email.com", "usa.com", "post.com", "europe.com", "consultant.com", "myself.com", "dr.com", "engineer.com", "ymail.com",
+    "rocketmail.com", "googlemail.com", "me.com", "mac.com", "msn.com", "zoho.com", "yandex.ru", "yandex.com", "tutanota.com",
+    "fastmail.com", "hey.com", "pm.me", "ig.com.br", "globo.com", "r7.com", "zipmail.com.br", "outlook.com.br", "hotmail.co.uk",
+    "yahoo.co.uk", "web.de", "t-online.de", "orange.fr", "free.fr", "libero.it", "gmx.com", "gmx.net", "inbox.com",
+)
 
 
 def all_matches(text: Column, pattern: str) -> Column:

@@ -34,8 +34,9 @@ def pii_email_domains(d: Spark) -> str:
 
 @both("pii_consumer_email")
 def pii_consumer_email(d: Spark) -> str:
-    """PII-07: documents with an address at a consumer domain (here the example domains' first five count as such)."""
-    return f"WITH {email_rows(d)} SELECT doc_id, count(*) AS n FROM e WHERE domain IN ('mail1.example.com', 'mail2.example.com', 'mail3.example.com', 'gmail.com') GROUP BY doc_id"
+    """PII-07: documents with an address at a consumer domain."""
+    known = ", ".join(f"'{x}'" for x in P.CONSUMER_DOMAINS)
+    return f"WITH {email_rows(d)} SELECT doc_id, count(*) AS n FROM e WHERE domain IN ({known}) GROUP BY doc_id"
 
 
 @both("pii_needles")
