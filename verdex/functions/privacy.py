@@ -8,18 +8,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Credential patterns, by name.
+#: White space of the reference's engine, inside a class; Java and RE2 know fewer characters as \s.
+_WS = r"\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_QUOTE = r"[\x27\x22]"
+# Credential and path patterns, by name; quotes are written as codes, so that each stands in SQL as it is.
 CREDENTIALS = {
-    "aws_key": r"AKIA[0-9A-Z]{16}",
-    "bearer": r"Bearer [A-Za-z0-9._-]{20,}",
-    "assigned": r"(?i)(?:api[_-]?key|secret|token|password)\s*[:=]\s*[\"']?[A-Za-z0-9_\-]{16,}",
-    "vck": r"vck_[A-Za-z0-9]{16,}",
-    "bk": r"bk-[A-Za-z0-9]{16,}",
-    "sk": r"sk-[A-Za-z0-9_-]{16,}",
-    "live_key": r"[sr]k_(?:live|test)_[A-Za-z0-9]{8,}",
-    "hf": r"hf_[A-Za-z0-9]{20,}",
-    "github": r"gh[a-z]_[A-Za-z0-9]{20,}",
+    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "bearer": rf"Bearer[{_WS}]+[A-Za-z0-9._~+/-]{{12,}}",
+    "assigned": rf"(?i)\b(?:api[_-]?key|secret|password|passwd|token)\b[{_WS}]*[:=][{_WS}]*{_QUOTE}[^\x27\x22{_WS}]{{8,}}{_QUOTE}",
+    "vck": r"vck_[A-Za-z0-9]{10,}",
+    "bk": r"\bbk-[A-Za-z0-9]{10,}",
+    "sk": r"\bsk-[A-Za-z0-9_-]{16,}",
+    "live_key": r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{8,}",
+    "hf": r"\bhf_[A-Za-z0-9]{20,}",
+    "github": r"\bgh[pousr]_[A-Za-z0-9]{30,}",
+    "slack": r"\bxox[abpr]-[A-Za-z0-9-]{10,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "path_root": r"/root/",
+    "path_users": r"/Users/",
+    "path_volumes": r"/Volumes/",
+    "path_home": r"/home/[a-z_][a-z0-9_-]*/",
+    # Wider than the reference: values without quotes, and shorter tokens.
+    "assigned_wide": rf"(?i)(?:api[_-]?key|secret|token|password)[{_WS}]*[:=][{_WS}]*{_QUOTE}?[A-Za-z0-9_-]{{16,}}",
+    "github_wide": r"gh[a-z]_[A-Za-z0-9]{20,}",
 }
 # Published test numbers that aren't personal data, and consumer mail domains.
 TEST_CARDS = ("4111111111111111", "4242424242424242", "5555555555554444", "378282246310005")

@@ -13,9 +13,8 @@ from verdex.sources.tables import table
 
 @both("pii_credentials")
 def pii_credentials(d: Spark) -> str:
-    """PII-01, PII-09: credential matches per pattern and document; every match counts."""
-    pats = {k: v.replace("\\s", "[ \\t]").replace("\\-", "-").replace("\"'", '"') for k, v in P.CREDENTIALS.items()}
-    parts = [f"SELECT doc_id, '{k}' AS pattern, {d.size(d.matches('text', v))} AS n FROM {d.t('documents')}" for k, v in pats.items()]
+    """PII-01, PII-09: credential and path matches per pattern and document; every match counts."""
+    parts = [f"SELECT doc_id, '{k}' AS pattern, {d.size(d.matches('text', v))} AS n FROM {d.t('documents')}" for k, v in P.CREDENTIALS.items()]
     return f"SELECT doc_id, pattern, n FROM ({' UNION ALL '.join(parts)}) u WHERE n > 0"
 
 
