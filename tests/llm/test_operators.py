@@ -177,10 +177,57 @@ def test_suffix_dedup(spark, empty):
     assert suffix_dedup.remove_repeats(empty, suffix_dedup.find_repeats(empty)).count() == 0
 
 
-@pytest.mark.parametrize("memory, chunk", [(1 << 22, 1 << 18), (5, 3)])
-def test_suffix_order_and_prefixes(monkeypatch, memory, chunk):
+@pytest.mark.parametrize("part", [1 << 22, 2_000])
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch, part):
+    """A passage in other surroundings each time is an anchor's every fragment: 2,000 bytes hold few of them."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
+    r = random.Random(4)
+    some = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passage, tail = some(150), some(60)
+    rows = [(i, some(r.randint(90, 400)) + passage + (tail if i % 3 else some(70)) + some(r.randint(90, 400))) for i in range(40)]
+    rows += [(40 + i, rows[i][1][50:-60]) for i in range(4)] + [(50 + i, passage + tail) for i in range(60)]
+    df = frame(spark, rows).repartition(3)
+    seen = []
+    split = suffix_dedup.split_hot
+    monkeypatch.setattr(suffix_dedup, "split_hot", lambda *a: seen.append(1) or split(*a))
+    got = {x["doc_id"]: (x["n_bytes"], sum(e - b for b, e in zip(x["begins"], x["ends"], strict=True)), len(x["begins"]), bytes(x["kept"])) for x in suffix_dedup.remove_repeats(df, suffix_dedup.find_repeats(df)).collect()}
+    assert got == brute_repeats(rows)
+    assert bool(seen) == (part == 2_000)
+
+
+def test_halves_keep_equal_windows_together():
+    r = random.Random(2)
+    anchor = bytes(r.randrange(97, 105) for _ in range(suffix_dedup.GRAM))
+    most = suffix_dedup.WINDOW - suffix_dedup.GRAM
+    told = defaultdict(set)
+    for _ in range(30):
+        before, after = (bytes(r.choice(b"xy") for _ in range(r.randint(5, most))) for _ in range(2))
+        if len(before) + len(after) >= most:
+            rows = [(0, 0, most, len(before), before + anchor + after)]
+            while rows:
+                key, low, high, at, content = rows.pop()
+                assert content[at : at + len(anchor)] == anchor and len(content) >= suffix_dedup.WINDOW
+                if low == high:
+                    told[content].add(key)
+                else:
+                    rows += [x[:5] for x in suffix_dedup.halves(low, high, at, content)]
+    assert told and all(len(keys) == 1 for keys in told.values())
+
+
+@pytest.mark.parametrize("memory, chunk, slots", [(1 << 20, 1 << 18, 1 << 22), (5, 3, 0)])
+def test_suffix_order_and_prefixes(monkeypatch, memory, chunk, slots):
     monkeypatch.setattr(suffix_array, "CHUNK", chunk)
-    monkeypatch.setattr(suffix_array.DiskHeap.__init__, "__defaults__", (memory,))
+    monkeypatch.setattr(suffix_array, "MEMORY", memory)
+    monkeypatch.setattr(suffix_array, "SLOTS", slots)
+    monkeypatch.setattr(suffix_array, "HELD", slots)
+    spilled, heap, bucket = Counter(), suffix_array.DiskHeap._read, suffix_array.BucketQueue.push
+    monkeypatch.setattr(suffix_array.DiskHeap, "_read", staticmethod(lambda name: spilled.update(["heap"]) or heap(name)))
+
+    def push(queue, *row):
+        bucket(queue, *row)
+        spilled.update(["bucket"] * bool(queue.file))
+
+    monkeypatch.setattr(suffix_array.BucketQueue, "push", push)
     r = random.Random(3)
     for _ in range(150):
         k = r.choice([1, 2, 3, 30])
@@ -188,11 +235,12 @@ def test_suffix_order_and_prefixes(monkeypatch, memory, chunk):
         raw, limit = body + b"\0", r.choice([1, 3, 50])
         want = sorted(range(len(body)), key=lambda i: raw[i:], reverse=True)
         with suffix_array.Scratch() as scratch:
-            got = [tuple(x) for c in suffix_array.suffixes(np.frombuffer(raw, np.uint8), limit, scratch, memory) for x in c.tolist()]
+            got = [tuple(x) for c in suffix_array.suffixes(np.frombuffer(raw, np.uint8), limit, scratch) for x in c.tolist()]
         assert [p for p, _ in got] == want
         for (p, n), q in zip(got[1:], want, strict=False):
             common = next((i for i in range(limit) if raw[p + i : p + i + 1] != raw[q + i : q + i + 1] or p + i >= len(raw)), limit)
             assert n == common
+    assert set(spilled) == (set() if slots else {"heap", "bucket"})
 
 
 def test_kneser_ney(docs, empty):

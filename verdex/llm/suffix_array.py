@@ -20,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Tuples that a queue holds in memory before it spills, and tuples handled at once.
-MEMORY, CHUNK = 1 << 22, 1 << 18
+#: Tuples that a queue holds in memory before it spills; tuples handled at once; names whose recursion fits one array of slots.
+MEMORY, CHUNK, SLOTS = 1 << 20, 1 << 18, 1 << 22
+#: Bytes of a text that are read into memory; a longer one stays on disk and is mapped.
+HELD = 1 << 26
 
 
 class Scratch:
@@ -41,14 +43,67 @@ class Scratch:
         return os.path.join(self.path, str(self.n))
 
 
+    def array(self, dtype: str) -> Spill:
+        """An array that is written on disk from front to back and read from either end."""
+        return Spill(self.name(), np.dtype(dtype))
+
+
+class Spill:
+    """A growing array in a file; CHUNK elements at most are in memory."""
+
+    def __init__(self, path: str, dtype: np.dtype):
+        self.path, self.dtype, self.size, self.held = path, dtype, 0, []
+        open(path, "wb").close()
+
+    def append(self, x: int) -> None:
+        self.held.append(x)
+        self.size += 1
+        if len(self.held) >= CHUNK:
+            self.flush()
+
+    def flush(self) -> None:
+        with open(self.path, "ab") as f:
+            np.array(self.held, self.dtype).tofile(f)
+        self.held = []
+
+    def mapped(self) -> np.ndarray:
+        self.flush()
+        return np.memmap(self.path, self.dtype, "r") if self.size else np.zeros(0, self.dtype)
+
+
+def elements(a: np.ndarray) -> Iterator[int]:
+    """The elements of an array in order, CHUNK of them in memory."""
+    for i in range(0, len(a), CHUNK):
+        yield from a[i : i + CHUNK].tolist()
+
+
+class Text:
+    """Four symbols at a time of a text of symbols below 2**16, the first in the highest bits; zeros follow the end."""
+
+    FULL = np.array([2**64 - 1, 2**48 - 1, 2**32 - 1, 2**16 - 1, 0], np.uint64)
+
+    def __init__(self, t: np.ndarray, scratch: Scratch):
+        held = len(t) * 8 <= HELD
+        self.packed = np.empty(len(t), np.uint64) if held else np.memmap(scratch.name(), np.uint64, "w+", shape=(len(t),))
+        for i in range(0, len(t), 1 << 22):
+            x = np.zeros(min(len(t) - i, 1 << 22) + 3, np.uint64)
+            x[: len(t[i : i + (1 << 22) + 3])] = t[i : i + (1 << 22) + 3]
+            n = len(x) - 3
+            self.packed[i : i + n] = x[:n] << np.uint64(48) | x[1 : n + 1] << np.uint64(32) | x[2 : n + 2] << np.uint64(16) | x[3:]
+
+    def four(self, at: np.ndarray) -> np.ndarray:
+        last = len(self.packed) - 1
+        return self.packed[at] if not len(at) or int(at.max()) <= last else np.where(at <= last, self.packed[np.minimum(at, last)], np.uint64(0))
+
+
 _TUPLE = np.dtype([("pos", "<i8"), ("lcp", "<u2")])
 
 
 class BucketQueue:
     """A priority queue over few symbols: tuples of one symbol leave in the order they came. Beyond `memory` tuples it spills."""
 
-    def __init__(self, scratch: Scratch, memory: int = MEMORY):
-        self.scratch, self.memory, self.held = scratch, memory, 0
+    def __init__(self, scratch: Scratch, memory: int | None = None):
+        self.scratch, self.memory, self.held = scratch, memory or MEMORY, 0
         self.mem: dict[int, deque] = defaultdict(deque)
         self.file: dict[int, tuple[str, int]] = {}
 
@@ -98,8 +153,8 @@ class BucketQueue:
 class DiskHeap:
     """A priority queue over any symbols, first in first out among equals; beyond `memory` tuples a sorted run goes to disk."""
 
-    def __init__(self, scratch: Scratch, memory: int = MEMORY):
-        self.scratch, self.memory, self.count = scratch, memory, 0
+    def __init__(self, scratch: Scratch, memory: int | None = None):
+        self.scratch, self.memory, self.count = scratch, memory or MEMORY, 0
         self.mem: list[tuple[int, int, int]] = []
         self.heads: list[tuple[tuple[int, int, int], int]] = []
         self.runs: list[Iterator[tuple[int, int, int]]] = []
@@ -162,24 +217,23 @@ def stars(t: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
     return np.concatenate(found)[::-1] if found else np.zeros(0, np.int64)
 
 
-def names(t: np.ndarray, star: np.ndarray) -> np.ndarray:
+def names(t: np.ndarray, star: np.ndarray, text: Text | None = None) -> np.ndarray:
     """The rank, from 0 without gaps, of each star's substring up to the next star; where one ends it counts as largest.
 
-    Four symbols at a time; only substrings that tie and go on take part in the next round.
+    Four symbols at a time where `text` has them so; only substrings that tie and go on take part in the next round.
     """
     m = len(star)
     stop = np.append(star[1:] + 1, len(t))
-    pack = 4 if t.dtype.itemsize <= 2 else 1
+    pack = 4 if text else 1
     rank = np.zeros(m, np.int64)
     active, step = np.arange(m), 0
     while len(active):
-        key = np.zeros(len(active), np.uint64)
-        for k in range(pack):
-            at = star[active] + step + k
-            inside = at < stop[active]
-            symbol = np.where(inside, t[np.minimum(at, len(t) - 1)].astype(np.uint64) + np.uint64(0), np.uint64(0xFFFF if pack == 4 else 2**63))
-            key = (key << np.uint64(16)) | symbol if pack == 4 else symbol
-        order = np.lexsort((key, rank[active]))
+        at = star[active] + step
+        if text:
+            key = text.four(at) | Text.FULL[np.clip(stop[active] - at, 0, 4)]
+        else:
+            key = np.where(at < stop[active], t[np.minimum(at, len(t) - 1)].astype(np.uint64), np.uint64(2**63))
+        order = np.lexsort((key, rank[active])) if step else np.argsort(key, kind="stable")
         r, key, who = rank[active][order], key[order], active[order]
         old = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
         new = np.append(True, (r[1:] != r[:-1]) | (key[1:] != key[:-1]))
@@ -194,50 +248,56 @@ def names(t: np.ndarray, star: np.ndarray) -> np.ndarray:
     return np.unique(rank, return_inverse=True)[1]
 
 
-def sorted_stars(t: np.ndarray, scratch: Scratch) -> np.ndarray:
+def sorted_stars(t: np.ndarray, scratch: Scratch, text: Text | None = None) -> np.ndarray:
     """The star suffixes in increasing order."""
     star = stars(t)
-    name = names(t, star)
+    name = names(t, star, text)
     return star[np.argsort(name)] if len(star) == 0 or name.max() + 1 == len(name) else star[order(name, scratch)]
 
 
 def order(t: np.ndarray, scratch: Scratch) -> np.ndarray:
-    """The suffixes of a string of names in increasing order, one suffix at a time; t ends with its least symbol."""
+    """The suffixes of a string of names in increasing order, one suffix at a time; t ends with its least symbol.
+
+    Up to SLOTS names the queues are the slots of one array; beyond, heaps that spill, and the settled suffixes are on disk.
+    """
     n = len(t)
     if n < 2:
         return np.arange(n)
     star = sorted_stars(t, scratch)
-    if n <= MEMORY:
+    if n <= SLOTS:
         return _order_in_memory(t, star)
-    seeds = zip(t[star].tolist(), star.tolist(), strict=True)
-    t = t.tolist()
-    queue, large = DiskHeap(scratch), []
-    seed = next(seeds, None)
-    while seed is not None or queue.least() is not None:
-        if seed is None or queue.least() is not None and queue.least() <= seed[0]:
-            symbol, p = queue.pop()
-            large.append(p)
-            if p and t[p - 1] >= symbol:
-                queue.push(t[p - 1], p - 1)
+    kept = np.memmap(scratch.name(), np.int64, "w+", shape=(n,))
+    kept[:] = t
+    t = kept
+    seeds = elements(star)
+    queue, large = DiskHeap(scratch), scratch.array("<i8")
+    p = next(seeds, None)
+    while p is not None or queue.least() is not None:
+        if p is None or queue.least() is not None and queue.least() <= t[p]:
+            symbol, at = queue.pop()
+            large.append(at)
+            if at and t[at - 1] >= symbol:
+                queue.push(int(t[at - 1]), at - 1)
         else:
-            symbol, p = seed
-            seed = next(seeds, None)
             if p:
-                queue.push(t[p - 1], p - 1)
-    queue, out = DiskHeap(scratch), []
-    while large or queue.least() is not None:
-        if not large or queue.least() is not None and -queue.least() >= t[large[-1]]:
-            symbol, p = queue.pop()
-            out.append(p)
-            if p and t[p - 1] <= -symbol:
-                queue.push(-t[p - 1], p - 1)
+                queue.push(int(t[p - 1]), p - 1)
+            p = next(seeds, None)
+    queue, out = DiskHeap(scratch), scratch.array("<i8")
+    settled = elements(large.mapped()[::-1])
+    p = next(settled, None)
+    while p is not None or queue.least() is not None:
+        if p is None or queue.least() is not None and -queue.least() >= t[p]:
+            symbol, at = queue.pop()
+            out.append(at)
+            if at and t[at - 1] <= -symbol:
+                queue.push(-int(t[at - 1]), at - 1)
         else:
-            p = large.pop()
             out.append(p)
             if p and t[p - 1] < t[p]:
-                queue.push(-t[p - 1], p - 1)
+                queue.push(-int(t[p - 1]), p - 1)
+            p = next(settled, None)
     out.append(n - 1)
-    return np.array(out[::-1])
+    return out.mapped()[::-1]
 
 
 def _order_in_memory(t: np.ndarray, star: np.ndarray) -> np.ndarray:
@@ -273,21 +333,17 @@ def _order_in_memory(t: np.ndarray, star: np.ndarray) -> np.ndarray:
     return np.array(sa)
 
 
-def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Lengths of the common prefixes of suffix pairs, limit at most."""
+def common_prefix(text: Text, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths of the common prefixes of pairs of suffixes, limit at most; a position of -1 has none."""
     out = np.zeros(len(a), np.int64)
     live = np.flatnonzero((a >= 0) & (b >= 0))
-    step, n = 8, len(t)
-    for at in range(0, limit, step):
+    for at in range(0, limit, 4):
         if not len(live):
             break
-        k = np.arange(at, min(at + step, limit))
-        x, y = a[live][:, None] + k, b[live][:, None] + k
-        same = (x < n) & (y < n) & (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)])
-        run = np.where(same.all(axis=1), len(k), np.argmin(same, axis=1))
-        out[live] += run
-        live = live[run == len(k)]
-    return out
+        x = text.four(a[live] + at) ^ text.four(b[live] + at)
+        out[live] += (x < 1 << 48).astype(np.int64) + (x < 1 << 32) + (x < 1 << 16) + (x == 0)
+        live = live[x == 0]
+    return np.minimum(out, limit)
 
 
 class _Induction:
@@ -321,11 +377,12 @@ class _Induction:
         self.since = least
 
 
-def suffixes(t: np.ndarray, limit: int, scratch: Scratch, memory: int = MEMORY) -> Iterator[np.ndarray]:
+def suffixes(t: np.ndarray, limit: int, scratch: Scratch, memory: int | None = None) -> Iterator[np.ndarray]:
     """All suffixes but the last in decreasing order, as chunks of (pos, lcp): lcp is the common prefix with the suffix that
     came before, limit at most. t is uint8 or uint16 and ends with 0, which it has once."""
     symbols = int(t.max()) + 1
-    star = sorted_stars(t, scratch)
+    text = Text(t, scratch)
+    star = sorted_stars(t, scratch, text)
     bounds = np.searchsorted(t[star], np.arange(symbols + 1))
     queue = BucketQueue(scratch, memory)
     scan = _Induction(t, symbols, limit, queue)
@@ -343,7 +400,7 @@ def suffixes(t: np.ndarray, limit: int, scratch: Scratch, memory: int = MEMORY)
                 part = star[i : min(i + CHUNK, bounds[c + 1])]
                 rows = np.empty(len(part), _TUPLE)
                 rows["pos"] = part
-                rows["lcp"] = common_prefix(t, np.append(star[i - 1] if i > bounds[c] else last, part[:-1]), part, limit)
+                rows["lcp"] = common_prefix(text, np.append(star[i - 1] if i > bounds[c] else last, part[:-1]), part, limit)
                 scan.settle(rows, lambda s, c=c: s > c)
     queue = BucketQueue(scratch, memory)
     scan = _Induction(t, symbols, limit, queue)
@@ -359,7 +416,7 @@ def suffixes(t: np.ndarray, limit: int, scratch: Scratch, memory: int = MEMORY)
             rows = np.fromfile(large, _TUPLE, end - begin, offset=begin * _TUPLE.itemsize)[::-1]
             own = rows["lcp"].copy()
             rows["lcp"][1:] = own[:-1]
-            rows["lcp"][0] = carried if carried is not None else common_prefix(t, np.array([last]), rows["pos"][:1], limit)[0]
+            rows["lcp"][0] = carried if carried is not None else common_prefix(text, np.array([last]), rows["pos"][:1], limit)[0]
             carried = own[-1]
             yield rows
             scan.settle(rows, lambda s, c=c: s < c)

@@ -1,15 +1,20 @@
 """Suffix-array deduplication of bytes: every byte that lies in a repeated string of WINDOW bytes is removed.
 
-Equal windows have equal anchors: the 32-byte string with the least hash inside them. Runs of windows with one anchor form a
-fragment. Anchors that occur once can't be in a repeated window; the fragments of the others are dealt to shards by anchor,
+Equal windows have equal anchors: the GRAM-byte string with the least hash inside them. Runs of windows with one anchor form
+a fragment. Anchors that occur once can't be in a repeated window; the fragments of the others are dealt to shards by anchor,
 equal fragments as one, and each shard's suffixes are sorted by external induction. Two neighbours in that order with a
-common prefix of WINDOW bytes are repeats. What a shard finds goes back to the texts as spans.
+common prefix of WINDOW bytes are repeats. What a shard finds goes back to the texts as spans. GRAM decides how long a string
+must recur for its surroundings to be sorted at all: the longer, the less is sorted, but the more the fragments overlap.
+
+An anchor with more fragments than a part holds (a passage with many copies in other surroundings) is split: its windows by
+the half of the places where the anchor may stand in them, and each half by the longer string that all its windows then
+share, again and again, down to single windows. Equal windows stay together, so no repeat is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,15 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.llm import files, textvec
-from verdex.llm.common import fresh_path, slices, table
+from verdex.llm.common import cut, fresh_path, slices, table
 from verdex.llm.suffix_array import Scratch, suffixes
 
 _U = np.uint64
-WINDOW, GRAM = 200, 32
+WINDOW, GRAM = 200, 64
 #: Bytes of text per shard, about.
 SHARD_BYTES = 24 << 20
-#: Bytes of fragments, about, whose suffixes a task sorts at once; the fragments of one anchor stay together, however many.
+#: Bytes of fragments, about, whose suffixes a task sorts at once, and that one anchor may have before it is split.
 PART_BYTES = 4 << 20
+#: Places of one content that are held before they are told.
+PLACES = 1 << 17
 
 
 def text_key(text: bytes) -> int:
@@ -36,12 +43,13 @@ def text_key(text: bytes) -> int:
 
 @dataclass
 class Fragments:
-    """Runs of windows with one anchor: row of the text, first window (in the buffer), windows, anchor hash."""
+    """Runs of windows with one anchor: row of the text, first window (in the buffer), windows, anchor hash, its place."""
 
     row: np.ndarray
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
+    at: np.ndarray
 
 
 def fragments(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Fragments:
@@ -49,7 +57,7 @@ def fragments(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int
     n = len(buf)
     if n < window:
         e = np.zeros(0, np.int64)
-        return Fragments(e, e, e, e.astype(_U))
+        return Fragments(e, e, e, e.astype(_U), e)
     h = textvec.gram_hashes(buf, gram)
     m = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
     span, size = window - gram + 1, 1
@@ -70,7 +78,7 @@ def fragments(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int
     start = np.flatnonzero(begins)
     row = np.searchsorted(off, start, side="right") - 1
     end = np.minimum(np.append(start[1:], len(at)), off[row + 1] - window + 1)
-    return Fragments(row, start, end - start, h[at[start]])
+    return Fragments(row, start, end - start, h[at[start]], at[start])
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -78,7 +86,7 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _anchors(shards: int):
-    """Each slice's anchors by shard, and which it has twice."""
+    """Each slice's anchors by shard, and how often it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -88,15 +96,16 @@ def _anchors(shards: int):
             shard = _shard(a, shards)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(k, a[order[i:j]].tobytes(), (n[order[i:j]] > 1).tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+            rows = [(k, a[order[i:j]].tobytes(), np.minimum(n[order[i:j]], 65535).astype("<u2").tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["shard", "anchors", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["shard", "anchors", "n"])
 
     return run
 
 
 def _repeated(path: str):
-    """Writes each shard's anchors that occur more than once, as a sorted array; returns their number."""
+    """Writes each shard's anchors that occur more than once, as a sorted array, and which may have too many fragments for a
+    part; returns the numbers of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -105,20 +114,34 @@ def _repeated(path: str):
                 held.setdefault(k, []).append(row)
         for k, rows in held.items():
             a = np.concatenate([np.frombuffer(x, "<u8") for x, _ in rows])
-            twice = np.concatenate([np.frombuffer(x, bool) for _, x in rows])
-            u, at, n = np.unique(a, return_inverse=True, return_counts=True)
-            kept = u[(n > 1) | (np.bincount(at, twice, len(u)) > 0)]
-            files.put(f"{path}/anchors-{k:06d}", [kept])
-            yield pa.RecordBatch.from_arrays([pa.array([len(kept)], pa.int64())], names=["n"])
+            u, at = np.unique(a, return_inverse=True)
+            n = np.bincount(at, np.concatenate([np.frombuffer(x, "<u2") for _, x in rows]), len(u))
+            hot = n[n > 1] * WINDOW > PART_BYTES
+            files.put(f"{path}/anchors-{k:06d}", [u[n > 1], hot])
+            yield pa.RecordBatch.from_arrays([pa.array([len(hot)], pa.int64()), pa.array([int(hot.sum())], pa.int64())], names=["n", "hot"])
 
     return run
 
 
-def _fragments(path: str, shards: int):
-    """The fragments whose anchor occurs again, equal ones of a slice as one row: shard, anchor, content, text keys, starts."""
+#: Rows of fragments: the range [low, high] of the anchor's places in their windows, the anchor's place in the content.
+FRAGMENTS = "shard int, anchor bigint, low int, high int, at int, content binary, keys array<bigint>, starts array<bigint>"
+
+
+def _batch(rows: list[tuple], shards: int) -> pa.RecordBatch:
+    """(anchor, low, high, at, content, keys, starts) as FRAGMENTS."""
+    anchor, low, high, at, content, keys, starts = zip(*rows, strict=True)
+    anchors, many = np.array(anchor, np.int64), pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(_shard(anchors.view(_U), shards), pa.int32()), pa.array(anchors), *(pa.array(x, pa.int32()) for x in (low, high, at)), pa.array(content, pa.binary()), pa.array(keys, many), pa.array(starts, many)],
+        names=[x.split()[0] for x in FRAGMENTS.split(", ")],
+    )
+
+
+def _fragments(path: str, shards: int, hot: bool):
+    """The fragments whose anchor occurs again and is, or isn't, hot; equal ones of a slice as one row with all their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in slices(batches):
             buf, off = textvec.utf8(b.column(0))
             f = fragments(buf, off)
@@ -128,34 +151,76 @@ def _fragments(path: str, shards: int):
             again = np.zeros(len(f.anchor), bool)
             for k in np.flatnonzero(np.diff(cuts)):
                 if k not in known:
-                    known[k] = files.mapped(f"{path}/anchors-{k:06d}").view("<u8")
-                part = order[cuts[k] : cuts[k + 1]]
-                if len(known[k]):
-                    at = np.minimum(np.searchsorted(known[k], f.anchor[part]), len(known[k]) - 1)
-                    again[part] = known[k][at] == f.anchor[part]
+                    data = files.mapped(f"{path}/anchors-{k:06d}")
+                    known[k] = data[: len(data) // 9 * 8].view("<u8"), data[len(data) // 9 * 8 :].view(bool)
+                part, (have, hots) = order[cuts[k] : cuts[k + 1]], known[k]
+                if len(have):
+                    at = np.minimum(np.searchsorted(have, f.anchor[part]), len(have) - 1)
+                    again[part] = (have[at] == f.anchor[part]) & (hots[at] == hot)
             if not again.any():
                 continue
             keys: dict[int, int] = {}
-            found: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
-            raw = buf.tobytes()
+            found: dict[tuple[int, bytes], tuple[int, list[int], list[int]]] = {}
+            raw, anchors = buf.tobytes(), f.anchor.view(np.int64)
             for i in np.flatnonzero(again).tolist():
                 row, start = int(f.row[i]), int(f.start[i])
                 if row not in keys:
                     keys[row] = text_key(raw[off[row] : off[row + 1]])
-                to = found.setdefault((int(f.anchor[i]), raw[start : start + int(f.count[i]) + WINDOW - 1]), ([], []))
-                to[0].append(keys[row])
-                to[1].append(start - int(off[row]))
-            anchors = np.array([a for a, _ in found], _U)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_shard(anchors, shards), pa.int32()), pa.array(anchors.view(np.int64)), pa.array([c for _, c in found], pa.binary()), pa.array([k for k, _ in found.values()], pa.list_(pa.int64())), pa.array([s for _, s in found.values()], pa.list_(pa.int64()))],
-                names=["shard", "anchor", "content", "keys", "starts"],
-            )
+                to = found.setdefault((int(anchors[i]), raw[start : start + int(f.count[i]) + WINDOW - 1]), (int(f.at[i]) - start, [], []))
+                to[1].append(keys[row])
+                to[2].append(start - int(off[row]))
+            yield _batch([(a, 0, WINDOW - GRAM, at, c, k, s) for (a, c), (at, k, s) in found.items()], shards)
+
+    return run
+
+
+def halves(low: int, high: int, at: int, content: bytes) -> Iterator[tuple[int, int, int, int, bytes, int]]:
+    """A fragment cut into the windows that have the anchor in the lower and in the upper half of the places from low to
+    high: (anchor, low, high, at, content, windows before). The new anchor is what all windows of a half must share."""
+    count, mid = len(content) - WINDOW + 1, (low + high + 1) // 2
+    for lo, hi in ((low, mid - 1), (mid, high)):
+        first, last = max(0, at - hi), min(count - 1, at - lo)
+        if first <= last:
+            shared = hashlib.blake2b(content[at - lo : at + WINDOW - hi], digest_size=8, salt=lo.to_bytes(2, "little") + hi.to_bytes(2, "little"))
+            yield int.from_bytes(shared.digest(), "little", signed=True), lo, hi, at - first, content[first : last + WINDOW], first
+
+
+def _halved(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "content"):
+            found: dict[tuple[int, bytes], tuple[int, int, int, list[int], list[int]]] = {}
+            for _, _, low, high, at, content, keys, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for anchor, *place, part, first in halves(low, high, at, content):
+                    to = found.setdefault((anchor, part), (*place, [], []))
+                    to[3].extend(keys)
+                    to[4].extend(s + first for s in starts)
+            if found:
+                yield _batch([(a, lo, hi, at, c, k, s) for (a, c), (lo, hi, at, k, s) in found.items()], shards)
 
     return run
 
 
-def repeated_windows(contents: list[bytes] | Iterator[bytes], scratch: Scratch, window: int = WINDOW) -> Iterator[np.ndarray]:
-    """For each byte string in turn, which of its windows another place in the strings has too. Text and marks are on disk."""
+def split_hot(hot: DataFrame, shards: int) -> DataFrame:
+    """Fragments of hot anchors under anchors with PART_BYTES of distinct fragments at most, or of one window only.
+
+    Anchors over PART_BYTES number less than the fragments' bytes by PART_BYTES, and are broadcast: 2 bytes a megabyte.
+    """
+    done = None
+    while True:
+        hot = cut(hot)
+        size = hot.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("bytes"), F.max(F.col("low") < F.col("high")).alias("more"))
+        over = F.broadcast(cut(size.filter((F.col("bytes") > PART_BYTES) & F.col("more")).select("anchor")))
+        small = hot.join(over, "anchor", "left_anti").select(hot.columns)
+        done = small if done is None else done.union(small)
+        hot = hot.join(over, "anchor", "left_semi").select(hot.columns)
+        if hot.isEmpty():
+            return done
+        hot = hot.mapInArrow(_halved(shards), FRAGMENTS)
+
+
+def repeated_windows(contents: Iterable[bytes], scratch: Scratch, window: int = WINDOW) -> Iterator[np.ndarray]:
+    """For each byte string in turn, which of its windows another place in the strings has too. Text, queues and marks are
+    on disk, in the scratch folder."""
     name = scratch.name()
     sizes = []
     with open(name, "wb") as f:
@@ -181,8 +246,25 @@ def repeated_windows(contents: list[bytes] | Iterator[bytes], scratch: Scratch,
         at += n + 1
 
 
+class _Content:
+    """One distinct fragment and its places; `known`: places of it were told before, so it is repeated."""
+
+    def __init__(self, content: bytes):
+        self.content, self.keys, self.starts, self.n, self.known = content, [], [], 0, False
+
+    def add(self, keys: np.ndarray, starts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.starts.append(starts)
+        self.n += len(keys)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        out = (np.concatenate(self.keys), np.concatenate(self.starts)) if self.keys else (np.zeros(0, np.int64),) * 2
+        self.keys, self.starts, self.n = [], [], 0
+        return out
+
+
 def _spans(shards: int, window: int = WINDOW):
-    """Spans of repeated windows, by text key; rows come sorted by shard, anchor and content."""
+    """Spans of repeated windows, by text key; rows come sorted by shard, anchor and content. A task holds a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -191,62 +273,61 @@ def _spans(shards: int, window: int = WINDOW):
         def tell(marks: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> None:
             nonlocal size
             edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
-            if len(edge):
+            if len(edge) and len(keys):
                 a, b = edge[::2], edge[1::2] + window - 1
                 out.append((np.repeat(keys, len(a)), (starts[:, None] + a).ravel(), (starts[:, None] + b).ravel()))
                 size += len(keys) * len(a)
 
+        def whole(c: _Content) -> None:
+            tell(np.ones(len(c.content) - window + 1, bool), *c.places())
+
         def batch() -> pa.RecordBatch:
+            nonlocal size
             cols = [pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in range(3)]
             out.clear()
+            size = 0
             return pa.RecordBatch.from_arrays([*cols, pa.array(_shard(cols[0].to_numpy().view(_U), shards), pa.int32())], names=["key", "begin", "end", "shard"])
 
-        def anchors() -> Iterator[list[tuple[bytes, np.ndarray, np.ndarray]]]:
-            """The distinct fragments of one anchor at a time, with all their places."""
+        def anchors() -> Iterator[list[_Content]]:
+            """The distinct fragments of one anchor at a time, with their places."""
             anchor, held = None, []
             for b in batches:
-                lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (b.column(3), b.column(4))]
-                for i, (a, content) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                    keys, starts = (v[o[i] : o[i + 1]] for o, v in lists)
+                at, texts, *lists = (b.column(b.schema.get_field_index(x)) for x in ("anchor", "content", "keys", "starts"))
+                lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in lists]
+                for i, (a, content) in enumerate(zip(at.to_pylist(), texts.to_pylist(), strict=True)):
                     if a != anchor:
                         if held:
                             yield held
                         anchor, held = a, []
-                    if held and held[-1][0] == content:
-                        held[-1] = (content, np.concatenate([held[-1][1], keys]), np.concatenate([held[-1][2], starts]))
-                    else:
-                        held.append((content, keys, starts))
+                    if not held or held[-1].content != content:
+                        held.append(_Content(content))
+                    held[-1].add(*(v[o[i] : o[i + 1]] for o, v in lists))
+                    if held[-1].n > PLACES:
+                        held[-1].known = True
+                        whole(held[-1])
             if held:
                 yield held
 
-        with Scratch() as scratch:
-            texts: list[bytes] = []
-            places: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def compare() -> None:
-                for marks, (keys, starts) in zip(repeated_windows(texts, scratch), places, strict=True):
-                    tell(marks | (len(keys) > 1), keys, starts)
-                texts.clear()
-                places.clear()
-
-            total = 0
-            for held in anchors():
-                if len(held) == 1:
-                    if len(held[0][1]) > 1:
-                        tell(np.ones(len(held[0][0]) - window + 1, bool), held[0][1], held[0][2])
-                else:
-                    for content, keys, starts in held:
-                        texts.append(content)
-                        places.append((keys, starts))
-                        total += len(content)
-                if total > PART_BYTES:  # anchors don't share windows, so they may be compared in parts
-                    compare()
-                    total = 0
-                if size > 1 << 17:
-                    yield batch()
-                    size = 0
-            if texts:
-                compare()
+        def compare(part: list[_Content]) -> None:
+            with Scratch() as scratch:
+                for marks, c in zip(repeated_windows((c.content for c in part), scratch), part, strict=True):
+                    tell(marks | (c.known or c.n > 1), *c.places())
+
+        part, total = [], 0
+        for held in anchors():
+            if len(held) == 1:
+                if held[0].known or held[0].n > 1:
+                    whole(held[0])
+            else:
+                part += held
+                total += sum(len(c.content) for c in held)
+            if total > PART_BYTES:  # anchors don't share windows, so they may be compared in parts
+                compare(part)
+                part, total = [], 0
+            if size > 1 << 17:
+                yield batch()
+        if part:
+            compare(part)
         if out:
             yield batch()
 
@@ -305,8 +386,9 @@ class Repeats:
 def find_repeats(docs: DataFrame) -> Repeats:
     """Find every string of WINDOW bytes of the column `text` that starts at two places, in one text or in two.
 
-    Null texts are empty; texts below WINDOW bytes have no windows; repeated rows repeat each other. An empty table gives no
-    spans. Files go to the shared folder; tasks map what they need of them.
+    Null texts are empty; texts below WINDOW bytes have no windows; repeated rows repeat each other. A text of any length is
+    read whole, and only `text` is read, so other columns can't clash. An empty table gives no spans. Files go to the shared
+    folder; tasks map what they need of them.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "suffix-dedup")
@@ -314,9 +396,13 @@ def find_repeats(docs: DataFrame) -> Repeats:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(6, -(-size // SHARD_BYTES))
     own = F.col("shard")
-    texts.mapInArrow(_anchors(shards), "shard int, anchors binary, twice binary").repartitionById(shards, own).mapInArrow(_repeated(path), "n bigint").agg(F.sum("n")).collect()
-    dealt = texts.mapInArrow(_fragments(path, shards), "shard int, anchor bigint, content binary, keys array<bigint>, starts array<bigint>")
-    spans = dealt.repartitionById(shards, own).sortWithinPartitions("shard", "anchor", "content").mapInArrow(_spans(shards), "key bigint, begin bigint, end bigint, shard int")
+    counted = texts.mapInArrow(_anchors(shards), "shard int, anchors binary, n binary").repartitionById(shards, own)
+    hot = counted.mapInArrow(_repeated(path), "n bigint, hot bigint").agg(F.sum("hot")).first()[0]
+    dealt = texts.mapInArrow(_fragments(path, shards, False), FRAGMENTS)
+    if hot:
+        dealt = dealt.union(split_hot(texts.mapInArrow(_fragments(path, shards, True), FRAGMENTS), shards))
+    dealt = dealt.select("shard", "anchor", "content", "keys", "starts").repartitionById(shards, own)
+    spans = dealt.sortWithinPartitions("shard", "anchor", "content").mapInArrow(_spans(shards), "key bigint, begin bigint, end bigint, shard int")
     spans.repartitionById(shards, own).mapInArrow(_store(path), "n bigint").agg(F.sum("n")).collect()
     return Repeats(path, shards)
 
