@@ -31,7 +31,7 @@ WINDOW, GRAM = 200, 64
 #: Bytes of text per shard, about.
 SHARD_BYTES = 24 << 20
 #: Bytes of fragments, about, whose suffixes a task sorts at once, and that one anchor may have before it is split.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Places of one content that are held before they are told.
 PLACES = 1 << 17
 
@@ -315,17 +315,18 @@ def _spans(shards: int, window: int = WINDOW):
 
         part, total = [], 0
         for held in anchors():
+            if size > 1 << 17:
+                yield batch()
             if len(held) == 1:
                 if held[0].known or held[0].n > 1:
                     whole(held[0])
-            else:
-                part += held
-                total += sum(len(c.content) for c in held)
-            if total > PART_BYTES:  # anchors don't share windows, so they may be compared in parts
+                continue
+            more = sum(len(c.content) for c in held)
+            if part and total + more > PART_BYTES:  # anchors don't share windows, so they may be compared in parts
                 compare(part)
                 part, total = [], 0
-            if size > 1 << 17:
-                yield batch()
+            part += held
+            total += more
         if part:
             compare(part)
         if out:
