@@ -96,18 +96,33 @@ def phone_at(t: str, plus: int) -> int:
     return end if end > plus + 3 and t[end - 1] in _DIGITS else 0
 
 
+def _in_url(c: str) -> bool:
+    return not c.isspace() and c not in "\"'<>"
+
+
 def _login_at(t: str, colon: int) -> Span | None:
-    """A URL that carries user:password@host, around its scheme."""
+    """A URL that carries user:password@host, around its scheme.
+
+    What stands between a scheme and the next slash can hold no other scheme, so a text is read twice at most.
+    """
     start = colon
     while start > 0 and t[start - 1] in _ALNUM:
         start -= 1
-    i = colon + 3
-    end = i
-    while end < len(t) and not t[end].isspace() and t[end] not in "\"'<>":
-        end += 1
-    authority = t[i:end].split("/", 1)[0]
-    user, at, host = authority.rpartition("@")
-    return (start, end) if start < colon and at and ":" in user and host and host[0] in _ALNUM else None
+    i = stop = colon + 3
+    while stop < len(t) and t[stop] != "/" and _in_url(t[stop]):
+        stop += 1
+    user, at, host = t[i:stop].rpartition("@")
+    if not (start < colon and at and ":" in user and host and host[0] in _ALNUM):
+        return None
+    while stop < len(t) and _in_url(t[stop]):
+        stop += 1
+    return start, stop
+
+
+def octet_ok(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or len(short) == 3 and short <= "255"
 
 
 def iban_ok(s: str) -> bool:
@@ -168,7 +183,7 @@ def spans(t: str, cues: ahocorasick.Automaton) -> dict[str, list[Span]]:
                 past["run"] = _run(t, at, _DIGITS)
                 if at >= past["ip"] and (end := quad_at(t, at)):
                     past["ip"] = end
-                    if all(int(p) <= 255 for p in t[at:end].split(".")):
+                    if all(map(octet_ok, t[at:end].split("."))):
                         found["ip"].append((at, end))
                 if (s := _ssn_at(t, at)) is not None:
                     found["ssn"].append(s)
@@ -215,6 +230,7 @@ SPAN = "array<struct<start: bigint, end: bigint>>"
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and, by kind, the spans of personal data in the whole text (null: empty, no spans); one row per input row.
 
+    A text of any length is read in time linear in it, as each parser goes over what it has passed a bounded number of times.
     Only doc_id and text are read, so further columns can't clash; a null doc_id stays null, repeated rows each get their
     result, an empty table gives none. There is no shuffle: a task streams its part of the scan in bounded slices.
     """
