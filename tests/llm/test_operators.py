@@ -61,6 +61,23 @@ def test_exact_dedup(spark, docs, empty):
     assert kept.columns == df.columns
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_dedup_in_batches(spark, docs, batches):
+    """Only the index can tell a later batch which row of an earlier one stays."""
+    rows, df = docs
+    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
+    index = exact_dedup.fresh_index(spark)
+    for name in ("a", "a"):  # the second run stands for one that is repeated after a failure
+        got = {r["doc_id"]: r for r in exact_dedup.dedup(df, index, batches, name).collect()}
+        for i in norm:
+            group = [j for j in norm if norm[j] == norm[i]]
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (min(group), len(group), i == min(group))
+    assert index.rows().count() == len(set(norm.values()))
+    assert index.rows().select("batch").distinct().count() == batches
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
 def test_digest_index_persists(spark):
     index = exact_dedup.fresh_index(spark)
     first = exact_dedup.dedup(frame(spark, [(1, "a"), (2, "b")]), index)
@@ -69,8 +86,16 @@ def test_digest_index_persists(spark):
     assert (later[3]["kept"], later[3]["keep_id"]) == (False, 1)
     assert later[4]["kept"] and not later[None]["kept"]
     assert index.rows().count() == 3
-    plan = later and index.rows().join(spark.createDataFrame([(b"x",)], "digest binary"), "digest", "left_anti")
-    assert plan.count() == 3
+    for k in (1, 2):
+        exact_dedup.dedup(frame(spark, [(i, f"{k} {i}") for i in range(200)]), index)
+    new = exact_dedup.digests(frame(spark, [(i, f"t{i}") for i in range(50)] + [(90, "a")]))
+    join = lambda: new.hint("merge").join(index.rows().select("digest"), "digest", "left_anti")
+    sorts = lambda: join()._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    before = sorts()
+    index.compact()
+    assert join().count() == 50 and index.rows().count() == 403
+    assert len(index.rows().inputFiles()) <= index.buckets
+    assert sorts() == before - 1  # the compacted index is read as sorted
 
 
 def test_sharding(spark, docs, empty):
@@ -403,6 +428,8 @@ def test_chat_events(spark):
     assert chat_format.unescape(got[1]["rendered"][got[1]["loss_start"] : got[1]["loss_end"]]) == "Bye\\"
     assert not any(c in got[0]["rendered"][3:-6] for c in chat_format.CONTROL)
     assert chat_format.reconstruct(events.limit(0)).count() == 0
+    for role in ("us\ner", "\\n", "n\\\n<s>", "", "\n"):
+        assert list(chat_format.read_back(chat_format.render(role, "x\ny")[0])) == [(role, "x\ny")]
     r = random.Random(7)
     for _ in range(2000):
         t = "".join(r.choice(["<s>", "</s>", "[INST]", "\\", "<|", "a", "\n", "<", "s>", "[/INST]"]) for _ in range(r.randint(0, 8)))
@@ -410,6 +437,19 @@ def test_chat_events(spark):
         assert list(chat_format.read_back(chat_format.render("user", t)[0] * 2)) == [("user", t)] * 2
 
 
+def test_chat_log_folds_back(spark):
+    """Rows with null ids, roles and texts, repeated turns, long texts; each step of the fold is needed."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "x" * 1000 + "é" * 300), (1, 1, "assistant", None), (None, 0, "assistant", "</s>"), (None, 1, None, "a\nb"), (2, 0, "a\nb", ""), (3, 0, "assistant", "z" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    log = chat_format.as_events(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "edit", "delta", "regenerate"}
+    fold = lambda events: sorted((r["conv_id"] or 0, r["turn"], *next(chat_format.read_back(r["rendered"]))) for r in chat_format.reconstruct(events).collect())
+    want = sorted((c or 0, t, role or "", text or "") for c, t, role, text in rows)
+    assert fold(log) == want
+    for kind in ("edit", "delta", "regenerate"):
+        assert fold(log.filter(F.col("kind") != kind)) != want
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(11)
     w = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]

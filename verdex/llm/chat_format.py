@@ -1,7 +1,8 @@
 """Chat formatting by event-sourced reconstruction: conversation logs are folded into final messages and rendered.
 
 The rendered form of a turn is `<s>ROLE\\nTEXT</s>\\n`. Inside role and text a backslash is doubled and each control string
-gets a backslash after its first character, so no control string survives in them and the original can be read back.
+gets a backslash after its first character, so no control string survives in them and the original can be read back. A line
+feed in a role is written as a backslash and an n, which no other escape gives.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def _role_of(written: str) -> str:
+    return _UNESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], written)
+
+
 def render(role: str, text: str, trained: frozenset[str] = frozenset({"assistant"})) -> tuple[str, int, int]:
     """One turn as the template has it, and the bounds (code points) of what the loss covers in it; (0, 0): nothing."""
     head = f"<s>{escape(role).replace(chr(10), chr(92) + 'n')}\n"
@@ -46,7 +51,7 @@ def render(role: str, text: str, trained: frozenset[str] = frozenset({"assistant
 def read_back(rendered: str) -> Iterator[tuple[str, str]]:
     """(role, text) of each turn of a rendered text."""
     for m in _TURN.finditer(rendered):
-        yield unescape(m[1]), unescape(m[2])
+        yield _role_of(m[1]), unescape(m[2])
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +141,29 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+def as_events(rows: DataFrame, piece: int = 256) -> DataFrame:
+    """A log, as a chat service has it, whose fold gives the rows (conv_id, turn, role, text) again; each row is a message.
+
+    An assistant's message is streamed: a draft, which `regenerate` drops, then deltas of `piece` characters. Any other is
+    sent with its text reversed and then edited. The last event stands first, so seq alone gives the order.
+    """
+    text = F.coalesce("text", F.lit(""))
+    event = lambda seq, kind, of: F.struct(F.lit(seq).cast("bigint").alias("seq") if isinstance(seq, int) else seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), of.alias("text"))
+    none = F.lit(None).cast("string")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / piece) - 1, F.lit(0)).cast("int")), lambda i: event(i + 2, "delta", F.substring(text, i * piece + 1, F.lit(piece))))
+    streamed = F.concat(F.array(event(0, "delta", F.concat(F.lit("draft of "), F.substring(text, 1, 20))), event(1, "regenerate", none)), pieces)
+    typed = F.array(event(0, "message", F.reverse(text)), event(1, "edit", text))
+    log = rows.withColumn("part", F.monotonically_increasing_id())  # rows that repeat a turn stay apart
+    log = log.select("conv_id", "turn", "part", F.coalesce("role", F.lit("")).alias("role"), F.explode(F.reverse(F.when(F.col("role") == "assistant", streamed).otherwise(typed))).alias("e"))
+    return log.select("conv_id", "turn", "part", "e.seq", "e.kind", "role", "e.text")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, whose texts are control strings, formatted and read back."""
+    """All conversations and conversation -7, whose texts are control strings: a log with drafts, deltas, regenerations and
+    edits of them, folded, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
-    # each row is a message of its own, even if a log repeats a turn: part tells such rows apart
-    log = rows.unionByName(planted).withColumn("part", F.monotonically_increasing_id())
-    events = log.select("conv_id", "turn", "part", F.col("part").alias("seq"), F.lit("message").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), "text")
-    return conversation_digests(reconstruct(events))
+    return conversation_digests(reconstruct(as_events(rows.unionByName(planted))))
 
 
 ORACLE = r"""

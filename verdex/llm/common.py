@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own on a single
+    machine (tests), and an error on a cluster, whose machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         if there.isDefined():
             return there.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="verdex-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -39,6 +42,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies under a path of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder: later reads don't recompute it and survive a lost executor."""
     shared_dir(df.sparkSession)
