@@ -116,6 +116,45 @@ def test_sharding(spark, docs, empty):
     assert "Python" not in sharding.interleave(df, 4)._jdf.queryExecution().toString()
 
 
+def brute_interleave(rows, shards, seed=42):
+    """(doc_id, shard, slot) of rows (doc_id, text, source), by sorting them all."""
+    strata = defaultdict(list)
+    for i, t, source in rows:
+        raw = (t or "").encode()
+        strata[source is None, source or ""].append((hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), (i is not None, i or 0), len(raw), zlib.crc32(raw)))
+    order = []
+    for (none, source), own in strata.items():
+        tie = int(hashlib.md5(f"{seed}:{str(none).lower()}{source}".encode()).hexdigest()[:7], 16)
+        order += [((2 * k - 1) / (2 * len(own)), tie, none, source, k, x[1][1] if x[1][0] else None) for k, x in enumerate(sorted(own), 1)]
+    order.sort(key=lambda x: x[:5])
+    n, out = len(order), []
+    for at, x in enumerate(order):
+        shard = at * shards // n
+        out.append((x[5], shard, at - -(-shard * n // shards)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("cell", [2_000, 3])
+def test_sharding_order(spark, monkeypatch, cell):
+    """Hot and one-row sources, null and repeated ids and sources: the order of a sort of all rows, however rows are cut."""
+    monkeypatch.setattr(sharding, "CELL_ROWS", cell)
+    rows = [(i, f"t{i}", "hot" if i % 3 else f"host{i}") for i in range(400)] + [(400 + i, None, "two%d" % (i // 2)) for i in range(60)]
+    rows += [(None, "x", None), (None, "y", None), (7, "t7", "hot"), (7, "t7", "hot"), (900, "é" * 5000, None), (901, "", "")]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    got = sharding.interleave(df, 7)
+    assert sorted(((r["doc_id"], r["shard"], r["slot"]) for r in got.collect()), key=str) == brute_interleave(rows, 7)
+
+
+def test_sharding_spreads_ties(spark, monkeypatch):
+    """Twenty thousand sources of one row have one fraction; no cell holds a large share of them."""
+    seen = []
+    offsets = sharding._offsets
+    monkeypatch.setattr(sharding, "_offsets", lambda rows, keys, cell: seen.append(rows.groupBy(*keys, cell).count().agg(F.max("count")).first()[0]) or offsets(rows, keys, cell))
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("h"), "id").alias("source"))
+    got = sharding.interleave(df, 16).groupBy("shard").count().collect()
+    assert {r["count"] for r in got} == {1250} and seen[-1] < 2 * sharding.CELL_ROWS
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
@@ -142,6 +181,8 @@ def test_ngram_join(docs, empty, monkeypatch, chunk):
     rows, df = docs
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
     assert got == brute_components(rows)
+    nulls = {r["component_id"] for r in ngram_join.jaccard_components(df.union(df.withColumn("doc_id", F.lit(None).cast("long")))).filter("doc_id IS NULL AND n_shingles > 0").collect()}
+    assert nulls == {c for n, c in got.values() if n}
     if chunk > 3:
         assert ngram_join.jaccard_components(empty).count() == 0
         assert sorted(r["doc_id"] for r in ngram_join.keep_one(df).collect()) == sorted({c for _, c in got.values()})

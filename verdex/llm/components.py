@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdex.llm.common import cut
+from verdex.llm.common import carry_back, cut
 
 
 #: Edges of a partition, at least, where there are that many.
 PER_PARTITION = 250_000
 
 
+def _hang(rows: DataFrame, key: str, least: str, n: int) -> DataFrame:
+    """rows of a star, each with m, the least `least` of its key; a hub's rows are spread, as its m comes by broadcast."""
+    of = rows.groupBy(key).agg(F.min(least).alias("m"), F.count("*").alias("k"))
+    return carry_back(rows, of, key, "k", n).drop("k")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of the edges (a, b); the label is the least node of its component.
 
     Edges may repeat, point either way or be loops; nulls are left out. Each round hangs every neighbour on the least node it
     knows, in joins and aggregations over the edge table, and is written to the shared folder; the edges of a long path
-    shorten by a constant factor in each round. Nothing but an edge count comes to the driver.
+    shorten by a constant factor in each round. Counts combine on the map side, and what a node with over 1/1000 of the
+    edges learns is broadcast to them. Nothing but an edge count and checksum comes to the driver.
     """
     e = cut(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n, before = e.count(), None
@@ -25,15 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
         parts = max(8, n // PER_PARTITION)  # rounds over few edges write few files
         e = e.coalesce(parts)
         both = e.union(e.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m"))
-        e = cut(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts))
+        large = _hang(both, "a", "b", 2 * n).select("b", "a", F.least("a", "m").alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = cut(large.distinct().coalesce(parts))
+        small = _hang(large, "a", "b", n)
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).filter("a <> b")
+        e = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
         n, before = now[0], now
-        del both, least, large, down, small
-        e.sparkSession._jvm.System.gc()  # Spark's cleaner removes the shuffle files of rounds that nothing refers to
-    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())

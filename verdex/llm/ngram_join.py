@@ -1,20 +1,22 @@
-"""Exact n-gram Jaccard join: sets that could have a partner are dealt into blocks, and signature trees join each block.
+"""Exact n-gram Jaccard join: sets that could have a partner are dealt into groups, and signature trees join each group.
 
 A set is a text's distinct word shingles as 64-bit hashes. Steps: equal sets collapse into one; a shuffle by shingle finds
 which shingles two or more sets have; a set with too few of those has no partner; the rest keep a prefix of their rarest
-shingles, of which linked sets share at least one; sets that a chain of shared prefix shingles connects form a block.
-Inside a block, a tree over the sets holds OR-combined bitmaps and size ranges, and a dual traversal prunes node pairs by
-the largest overlap that they allow; what is left is compared exactly.
+shingles, of which linked sets share at least one. Two rounds group the sets by a least hash of their shingles and link
+most families. What is left are pairs of sets in different components: the sets that have a prefix shingle form its list,
+and a list within one component is done. Inside a group or list, a tree over the sets holds OR-combined bitmaps and size
+ranges, and a dual traversal prunes node pairs by the largest overlap that they allow; what is left is compared exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.llm import textvec
@@ -24,10 +26,8 @@ from verdex.llm.components import components
 _U = np.uint64
 #: Shingles per shard of the shared-shingle shuffle, about; a task holds one shard at a time.
 SHARD = 4_000_000
-#: Sets per chunk of a block; a task holds two chunks at most.
+#: Sets per chunk of a list; a task holds two chunks at most.
 CHUNK = 2_000
-#: Bits of a stored shingle beside its shard number.
-STORED = 40
 
 
 def need(n: int | np.ndarray, percent: int = 80) -> int | np.ndarray:
@@ -60,7 +60,7 @@ def _describe(size: int):
 
 
 def _pack(size: int, shards: int):
-    """Shingles by shard: of each slice of texts and each shard, set ids, set sizes, counts and 5-byte shingles."""
+    """Shingles by shard: of each slice of texts and each shard, set ids, set sizes, counts and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -70,17 +70,16 @@ def _pack(size: int, shards: int):
             every = np.concatenate(list(sets.values()))
             lengths = np.array([len(s) for s in sets.values()])
             owner = np.repeat(np.arange(len(sets)), lengths)
-            shard = (every >> _U(STORED)) % _U(shards)
+            shard = (every >> _U(32)) * _U(shards) >> _U(32)
             order = np.argsort(shard, kind="stable")  # owners stay in order inside a shard
-            every, owner, shard = every[order] & _U((1 << STORED) - 1), owner[order], shard[order]
-            five = every.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : STORED // 8]
+            every, owner, shard = every[order].astype("<u8"), owner[order], shard[order]
             ids = np.array(list(sets), "V16")
             rows = []
             bounds = np.searchsorted(shard, np.arange(shards + 1))
             for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if j > i:
                     who, count = np.unique(owner[i:j], return_counts=True)
-                    rows.append((k, ids[who].tobytes(), lengths[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), five[i:j].tobytes()))
+                    rows.append((k, ids[who].tobytes(), lengths[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), every[i:j].tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "ids", "sizes", "counts", "shingles"])
 
@@ -90,16 +89,12 @@ def _pack(size: int, shards: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each shard the shingles that two or more sets have, by set: (set_id, n, shingles, df)."""
 
-    def flush(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, at = np.unique(np.concatenate([np.frombuffer(x[0], "V16") for x in held]), return_inverse=True)
         counts = np.concatenate([np.frombuffer(x[2], "<u4") for x in held])
         sizes = np.zeros(len(ids), np.int64)
         sizes[at] = np.concatenate([np.frombuffer(x[1], "<u4") for x in held])
-        raw = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(-1, STORED // 8)
-        token = np.zeros((len(raw), 8), np.uint8)
-        token[:, : STORED // 8] = raw
-        token = token.view("<u8").ravel()
-        del raw
+        token = np.concatenate([np.frombuffer(x[3], "<u8") for x in held])
         owner = np.repeat(at, counts)
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
@@ -115,7 +110,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, owner, df = token[order], owner[order], df[order]
         who, first = np.unique(owner, return_index=True)
         ends = np.append(first, len(owner))
-        whole = (token | _U(shard << STORED)).view(np.int64)
+        whole = token.view(np.int64)
         for i in range(0, len(who), 20_000):
             part = slice(first[i], ends[min(i + 20_000, len(who))])
             off = pa.array(ends[i : min(i + 20_000, len(who)) + 1] - first[i], pa.int32())
@@ -129,11 +124,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if k != shard:
                 if held:
-                    yield from flush(shard, held)
+                    yield from flush(held)
                 shard, held = k, []
             held.append(row)
     if held:
-        yield from flush(shard, held)
+        yield from flush(held)
 
 
 def _candidates(percent: int):
@@ -339,40 +334,78 @@ def _task_join(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_join(percent), "a bigint, b bigint")
 
 
-def _edges_of_blocks(cands: DataFrame, percent: int) -> DataFrame:
-    """Links inside blocks; cands: (node, block, size of block, n, tokens).
+def _key(*c: Column) -> Column:
+    """A task's name."""
+    return F.to_json(F.struct(*(x.alias(f"c{i}") for i, x in enumerate(c))))
 
-    A block of up to CHUNK sets is one task. A larger one is cut into chunks: two rounds join chunks dealt by two different
-    hashes, which is linear and brings most of a family of near copies together; then the sets outside the block's largest
-    component meet every chunk, so that no link is lost.
+
+def _chunk(salt: int, size: Column) -> Column:
+    """The chunk of a node among as many as `size` rows need."""
+    return F.pmod(F.xxhash64(F.lit(salt), "node"), F.ceil(size / CHUNK)).cast("bigint")
+
+
+def _least_hash(salt: int):
+    """node and the least of its shingles' hashes under a salt; sets of similarity s agree with probability s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = [int(textvec.mix(np.frombuffer(t, "<u8") + _U(salt)).view(np.int64).min()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.int64())], names=["node", "low"])
+
+    return run
+
+
+def _families(cands: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Edges of the links inside groups with one least hash, in two rounds; a group over CHUNK sets is cut by the node.
+
+    This is linear: it only makes the lists short that must be joined in full. cands: (node, n, tokens).
     """
-    key = lambda *c: F.to_json(F.struct(F.col("block"), *(x.alias(f"c{i}") for i, x in enumerate(c))))
-    small = cands.filter(F.col("size") <= CHUNK)
-    found = _task_join(small.select(key().alias("task"), "node", F.col("node").alias("label"), "n", "tokens", F.lit(0).alias("side")), percent)
-    large = cut(cands.filter(F.col("size") > CHUNK))
-    if large.isEmpty():
-        return cut(found)
-    chunks = lambda salt, size: F.pmod(F.xxhash64(F.lit(salt), "node"), F.ceil(F.col(size) / CHUNK))
-    found = cut(found)
     edges = None
-    labelled = large.withColumn("label", F.col("node"))
     for salt in (1, 2):
-        linked = _task_join(labelled.select(key(chunks(salt, "size")).alias("task"), "node", "label", "n", "tokens", F.lit(0).alias("side")), percent)
-        edges = cut(linked if edges is None else edges.union(linked))
-        known = cut(components(edges))
-        labelled = large.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = cut(labelled)
-    of_label = labelled.groupBy("block", "label").agg(F.count("*").alias("k"))
-    most = of_label.groupBy("block").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
-    rest = labelled.join(most, "block").filter("label <> main")
-    if not rest.isEmpty():
-        rest = cut(rest.join(rest.groupBy("block").agg(F.count("*").alias("others")), "block"))
-        # every set sits in chunk i of its block; a set outside the main component also in chunk j of those. Task (i, j) compares j's with i's.
-        per_block = rest.select("block", "others").distinct()
-        left = labelled.join(per_block, "block").select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("others") / CHUNK) - 1).cast("int"))).alias("j")).select(key(chunks(3, "size"), F.col("j")).alias("task"), "node", "label", "n", "tokens", F.lit(1).alias("side"))
-        right = rest.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / CHUNK) - 1).cast("int"))).alias("i")).select(key(F.col("i").cast("bigint"), chunks(4, "others").cast("int")).alias("task"), "node", "label", "n", "tokens", F.lit(0).alias("side"))
-        edges = edges.union(_task_join(left.union(right), percent))
-    return cut(found.union(edges))
+        low = cands.select("node", "tokens").mapInArrow(_least_hash(salt), "node bigint, low bigint")
+        sizes = low.groupBy("low").agg(F.count("*").alias("size")).filter("size > 1")
+        grouped = carry_back(low, cut(sizes), "low", "size", rows)
+        sets = cands.join(grouped, "node").select(_key(F.col("low"), _chunk(salt, F.col("size"))).alias("task"), "node", F.col("node").alias("label"), "n", "tokens", F.lit(0).alias("side"))
+        found = _task_join(sets, percent)
+        edges = found if edges is None else edges.union(found)
+    return cut(edges)
+
+
+def _bands(n: Column, percent: int) -> Column:
+    """The two bands of a set's size: sets whose sizes allow a link have one in common."""
+    if percent == 100:
+        return F.array(n)
+    band = F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("bigint")
+    return F.array(band, band + 1)
+
+
+def _lists(cands: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Edges of the links between sets of different components that have a prefix shingle in common.
+
+    cands: (node, label, n, tokens, prefix). A shingle's list whose sets are all of one component has nothing to add. A
+    list of up to CHUNK sets is one task. A longer one is cut by bands of size, and a band's list that is still longer
+    into chunks: the sets outside the list's largest component meet every chunk, so that no link is lost.
+    """
+    posts = cands.select("node", "label", "n", F.explode("prefix").alias("token"))
+    lists = posts.groupBy("token").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
+    posts = cut(carry_back(posts, cut(lists), "token", "size", rows))
+    sets = cands.select("node", "tokens")
+    short = posts.filter(F.col("size") <= CHUNK).select(_key(F.col("token")).alias("task"), "node", "label", "n", F.lit(0).alias("side"))
+    found = cut(_task_join(short.join(sets, "node").select("task", "node", "label", "n", "tokens", "side"), percent))
+    long = cut(posts.filter(F.col("size") > CHUNK).drop("size").withColumn("band", F.explode(_bands(F.col("n"), percent))).withColumn("list", _key(F.col("token"), F.col("band"))))
+    if long.isEmpty():
+        return found
+    of_label = cut(long.groupBy("list", "label").agg(F.count("*").alias("k")))
+    size = of_label.groupBy("list").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label"))["label"].alias("main")).filter("size > 1")
+    size = size.join(of_label.withColumnRenamed("label", "main"), ["list", "main"]).withColumn("others", F.col("size") - F.col("k")).filter("others > 0")
+    long = cut(carry_back(long, cut(size.select("list", "size", "main", "others")), "list", "size", long.count()))
+    # every set sits in chunk i of its list; a set outside the main component also in chunk j of those. Task (i, j) compares j's with i's.
+    whole = F.col("size") <= CHUNK
+    chunks = lambda c: F.sequence(F.lit(0).cast("bigint"), F.when(whole, 0).otherwise(F.ceil(F.col(c) / CHUNK) - 1).cast("bigint"))
+    left = long.select("*", F.explode(chunks("others")).alias("j")).select(_key(F.col("list"), F.when(whole, 0).otherwise(_chunk(3, F.col("size"))), F.col("j")).alias("task"), "node", "label", "n", F.when(whole, 0).otherwise(1).alias("side"))
+    rest = long.filter((F.col("label") != F.col("main")) & ~whole)
+    right = rest.select("*", F.explode(chunks("size")).alias("i")).select(_key(F.col("list"), F.col("i"), _chunk(4, F.col("others"))).alias("task"), "node", "label", "n", F.lit(0).alias("side"))
+    return found.union(cut(_task_join(left.union(right).join(sets, "node").select("task", "node", "label", "n", "tokens", "side"), percent)))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -382,7 +415,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     distinct shingles. A text with fewer words than `size` is one shingle; an empty, blank or null text has none and links
     with nothing. component_id is the least doc_id in reach; null doc_ids are left out of that minimum, and a component of
     null doc_ids only has a null one. Repeated rows link as equal texts. Only doc_id and text are read. An empty table
-    gives no rows. Exact: shingles are compared as hashes of 46 bits or more, whole sets by 128-bit digests.
+    gives no rows. A text of any length has its whole set. Exact but for the hashes: shingles are compared by 64 bits, whole
+    sets by 128.
     """
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     info = cut(read.mapInArrow(_describe(size), "doc_id bigint, n bigint, set_id binary"))
@@ -393,13 +427,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shared = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_shared, "set_id binary, n bigint, shingles array<bigint>, df array<bigint>")
     cands = shared.repartition("set_id").sortWithinPartitions("set_id").mapInArrow(_candidates(percent), "set_id binary, n bigint, tokens binary, prefix array<bigint>")
     cands = cut(cands.join(sets.filter("rep IS NOT NULL").select("set_id", F.col("rep").alias("node")), "set_id").select("node", "n", "tokens", "prefix"))
-    posts = cands.select("node", F.explode("prefix").alias("token"))
-    low = posts.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("k")).filter("k > 1")
-    blocks = components(posts.join(low, "token").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    sized = cut(blocks.groupBy("label").agg(F.count("*").alias("size")))
-    blocked = carry_back(blocks.withColumnRenamed("label", "block"), sized.withColumnRenamed("label", "block"), "block", "size", total["rows"])
-    edges = _edges_of_blocks(cut(cands.drop("prefix").join(blocked, "node")), percent)
-    labels = components(edges)
+    families = _families(cands, percent, total["rows"])
+    known = cands.join(components(families), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = components(families.union(_lists(cut(known), percent, total["rows"])))
     named = sets.join(labels, sets["rep"] == labels["node"], "left").select("set_id", "copies", F.coalesce("label", "rep").alias("component_id"))
     full = carry_back(info.filter("set_id IS NOT NULL"), cut(named), "set_id", "copies", total["rows"])
     return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(info.filter("set_id IS NULL").select("doc_id", "n", "doc_id"))

@@ -26,13 +26,16 @@ def interleave(docs: DataFrame, shards: int, seed: int = 42) -> DataFrame:
 
     docs needs doc_id, source, text; other columns are left out. Returns doc_id, source, size (UTF-8 bytes + 1; null: 1),
     text_crc32, shard, slot (from 0, gapless). Rows of a source are shuffled by a seeded digest of the doc_id and ranked;
-    all rows are then sorted by their fractional rank (2 rank - 1) / (2 n) in their source, and this order is cut into
-    equal runs, so each shard holds each source's share to within a row. A null source is a source of its own, a null
-    doc_id counts as the empty text; rows with one doc_id are told apart by size and checksum, and if those agree too,
-    either order gives the same result. An empty table gives no rows.
+    all rows are then sorted by their fractional rank (2 rank - 1) / (2 n) in their source, equal ones by a seeded digest
+    of the source, and this order is cut into equal runs, so each shard holds each source's share to within a row. A null
+    source is a source of its own, a null doc_id counts as the empty text; rows with one doc_id are told apart by size and
+    checksum, and if those agree too, either order gives the same result. Of a text of any length only its size and
+    checksum go on. An empty table gives no rows.
 
     No source is sorted in one task: its digests are cut into cells of about CELL_ROWS rows, cells are counted, and a
-    rank is the count below the cell plus the rank inside. The fractional ranks are placed in the same way.
+    rank is the count below the cell plus the rank inside. The fractional ranks are placed in the same way; a fraction
+    with more rows than a cell, as many small sources have, is cut by the digests of their sources. Such fractions number
+    less than the rows by CELL_ROWS, and only those of crowded slices are counted, so they are broadcast.
     """
     n = docs.count()
     cells = max(1, min(MOST_CELLS, -(-n // CELL_ROWS)))
@@ -45,9 +48,18 @@ def interleave(docs: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     rows = _offsets(rows, ["_stratum", "_no_source"], "_cell")
     inside = Window.partitionBy("_stratum", "_no_source", "_cell").orderBy("_order", "doc_id", "size", "text_crc32")
     rows = rows.withColumn("_rank", F.col("before") + F.row_number().over(inside)).withColumn("_frac", (2 * F.col("_rank") - 1) / (2 * F.col("total")))
-    rows = rows.drop("before", "total").withColumn("_slice", F.floor(F.col("_frac") * cells).cast("int"))
-    rows = _offsets(cut(rows), [], "_slice")
-    place = Window.partitionBy("_slice").orderBy("_frac", "_no_source", "_stratum", "_rank")
+    tie = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_no_source").cast("string"), F.col("_stratum"))), 1, 7), 16, 10).cast("bigint")
+    rows = cut(rows.drop("before", "total").withColumn("_slice", F.floor(F.col("_frac") * cells).cast("int")).withColumn("_tie", tie))
+    crowded = F.broadcast(rows.groupBy("_slice").agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * CELL_ROWS).select("_slice"))
+    tied = rows.join(crowded, "_slice").groupBy("_slice", "_frac").agg(F.count("*").alias("_n")).filter(F.col("_n") > CELL_ROWS)
+    tied = tied.groupBy("_slice").agg(F.map_from_entries(F.collect_list(F.struct("_frac", "_n"))).alias("_tied"))
+    rows = rows.join(F.broadcast(cut(tied)), "_slice", "left")
+    # in a slice: rows below its first tied fraction, then those of it by _tie, then those up to the next one
+    low = F.coalesce(F.array_max(F.filter(F.map_keys("_tied"), lambda f: f <= F.col("_frac"))), F.lit(-1.0))
+    sub = F.when(low == F.col("_frac"), F.shiftright(F.col("_tie") * F.ceil(F.col("_tied")[F.col("_frac")] / CELL_ROWS), 28)).otherwise(0)
+    rows = rows.withColumn("_part", F.struct("_slice", low.alias("low"), (low != F.col("_frac")).alias("after"), sub.alias("sub"))).drop("_tied")
+    rows = _offsets(rows, [], "_part")
+    place = Window.partitionBy("_part").orderBy("_frac", "_tie", "_no_source", "_stratum", "_rank")
     rows = rows.withColumn("_at", F.col("before") + F.row_number().over(place) - 1)
     rows = rows.withColumn("shard", F.expr(f"cast(_at * {shards} div {max(n, 1)} as int)"))
     shard_start = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}) div {shards}")
