@@ -382,17 +382,31 @@ def _bands(n: Column, percent: int) -> Column:
 def _lists(cands: DataFrame, percent: int, rows: int) -> DataFrame:
     """Edges of the links between sets of different components that have a prefix shingle in common.
 
-    cands: (node, label, n, tokens, prefix). A shingle's list whose sets are all of one component has nothing to add. A
-    list of up to CHUNK sets is one task. A longer one is cut by bands of size, and a band's list that is still longer
-    into chunks: the sets outside the list's largest component meet every chunk, so that no link is lost.
+    cands: (node, label, n, tokens, prefix). A shingle's list whose sets are all of one component has nothing to add. Lists
+    with one least label have much in common, so they make one task, in which each set stands once. Where that is over
+    CHUNK sets, each list is a task of its own, but lists of the same sets are one; a list over CHUNK sets is cut by bands
+    of size, and a band's list that is still longer into chunks: the sets outside the list's largest component meet every
+    chunk, so that no link is lost.
     """
     posts = cands.select("node", "label", "n", F.explode("prefix").alias("token"))
-    lists = posts.groupBy("token").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
-    posts = cut(carry_back(posts, cut(lists), "token", "size", rows))
+    hashes = [F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2")]
+    lists = posts.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("g"), F.max("label").alias("high"), *hashes).filter("g <> high").drop("high")
+    lists = cut(lists)
+    posts = cut(carry_back(posts, lists.select("token", "size", "g"), "token", "size", rows))
+    groups = posts.groupBy("g", "node").agg(F.min("label").alias("label"), F.min("n").alias("n"))
+    many = cut(groups.groupBy("g").agg(F.count("*").alias("k")))
+    groups = carry_back(groups, many.filter(F.col("k") <= CHUNK), "g", "k", rows)
     sets = cands.select("node", "tokens")
+    task = lambda rows: _task_join(rows.join(sets, "node").select("task", "node", "label", "n", "tokens", "side"), percent)
+    found = cut(task(groups.select(_key(F.col("g")).alias("task"), "node", "label", "n", F.lit(0).alias("side"))))
+    many = many.filter(F.col("k") > CHUNK)
+    if many.isEmpty():
+        return found
+    posts = posts.join(lists.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+    posts = cut(carry_back(posts, many, "g", "k", posts.count()))
     short = posts.filter(F.col("size") <= CHUNK).select(_key(F.col("token")).alias("task"), "node", "label", "n", F.lit(0).alias("side"))
-    found = cut(_task_join(short.join(sets, "node").select("task", "node", "label", "n", "tokens", "side"), percent))
-    long = cut(posts.filter(F.col("size") > CHUNK).drop("size").withColumn("band", F.explode(_bands(F.col("n"), percent))).withColumn("list", _key(F.col("token"), F.col("band"))))
+    found = found.union(cut(task(short)))
+    long = cut(posts.filter(F.col("size") > CHUNK).drop("size", "k").withColumn("band", F.explode(_bands(F.col("n"), percent))).withColumn("list", _key(F.col("token"), F.col("band"))))
     if long.isEmpty():
         return found
     of_label = cut(long.groupBy("list", "label").agg(F.count("*").alias("k")))
@@ -405,7 +419,7 @@ def _lists(cands: DataFrame, percent: int, rows: int) -> DataFrame:
     left = long.select("*", F.explode(chunks("others")).alias("j")).select(_key(F.col("list"), F.when(whole, 0).otherwise(_chunk(3, F.col("size"))), F.col("j")).alias("task"), "node", "label", "n", F.when(whole, 0).otherwise(1).alias("side"))
     rest = long.filter((F.col("label") != F.col("main")) & ~whole)
     right = rest.select("*", F.explode(chunks("size")).alias("i")).select(_key(F.col("list"), F.col("i"), _chunk(4, F.col("others"))).alias("task"), "node", "label", "n", F.lit(0).alias("side"))
-    return found.union(cut(_task_join(left.union(right).join(sets, "node").select("task", "node", "label", "n", "tokens", "side"), percent)))
+    return found.union(cut(task(left.union(right))))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
