@@ -27,7 +27,7 @@ _U = np.uint64
 #: Shingles per shard of the shared-shingle shuffle, about; a task holds one shard at a time.
 SHARD = 4_000_000
 #: Sets per chunk of a list; a task holds two chunks at most.
-CHUNK = 2_000
+CHUNK = 500
 
 
 def need(n: int | np.ndarray, percent: int = 80) -> int | np.ndarray:
