@@ -397,6 +397,74 @@ def test_decontamination(spark, docs, empty):
     assert all(x["hits"] == [] for x in decontaminate.find_hits(docs[1], bench.limit(0)).collect())
 
 
+def brute_hits(text, items, stride):
+    """{item: (whole, question, answer)} of the passages (two strides, one apart, and the first stride) that pass, unfiltered."""
+    low = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    w, out = low(text), {}
+    passages = [w[:stride], *(w[i : i + 2 * stride] for i in range(0, len(w), stride))]
+    for i, t in items:
+        split = [x for x in map(low, decontaminate.question_and_answer(t)) if x]
+        parts = [(min(5, len(x)), x) for x in [low(t), *split] if x]
+        for p in passages:
+            share = [len(grams(x, n) & grams(p, n)) / len(grams(x, n)) for n, x in parts]
+            if share and (share[0] >= 0.8 or min(share[1:]) >= 0.8):
+                out.setdefault(i, []).append(tuple(round(s, 9) for s in (share[0], share[1], share[-1])))
+    return out
+
+
+@pytest.mark.parametrize("size", [8 << 20, 700])
+def test_hits_are_those_of_brute_force(spark, monkeypatch, size):
+    """Copies with words cut, changed or missing at either end, rare words lost, answers apart, long and repeated texts, for
+    an index in one file and in many; the tables have further columns."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    r = random.Random(12)
+    common, rare = [f"c{i}" for i in range(40)], [f"rare{i}" for i in range(900)]
+    say = lambda n: [r.choice(common if r.random() < 0.8 else rare) for _ in range(n)]
+    items = []
+    for k in range(60):
+        q = say(r.choice([3, 8, 20, 40]))
+        items.append((k, " ".join(q) + r.choice(["? ", " Answer: ", ". ", " "]) + " ".join(say(r.choice([1, 2, 6])))))
+    q = say(34)
+    items += [(60, " ".join([*q, *(f"lone{i}" for i in range(6))])), (61, items[3][1]), (62, "..."), (63, None)]
+    rows = [(0, " ".join(say(50) + q + say(20)))]
+    for k in range(160):
+        w = r.choice(items[:60])[1].split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(rare)
+        w = w[r.choice([0, 0, 1, 2]) : len(w) - r.choice([0, 0, 1])]
+        at = r.randrange(len(w) + 1)
+        rows.append((k + 1, " ".join([*say(r.choice([0, 5, 60])), *w[:at], *(say(r.choice([0, 0, 30]))), *w[at:], *say(r.choice([0, 90]))])))
+    rows += [(200, " ".join(say(4000)) + " " + items[7][1]), (201, rows[5][1]), (201, rows[5][1]), (202, None), (203, "")]
+    df = frame(spark, rows).withColumn("hits", F.lit("x")).withColumn("item_id", F.lit(5)).withColumn("part", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("part", F.lit("y"))
+    held = [(i, t) for i, t in items if t]
+    stride = max(len(re.findall(r"[a-z0-9]+", t.lower())) for _, t in held)
+    got = decontaminate.find_hits(df, bench).collect()
+    assert len(got) == len(rows)
+    found = 0
+    for x in got:
+        want = brute_hits(dict(rows)[x["doc_id"]] or "", held, stride)
+        assert [h["item_id"] for h in x["hits"]] == sorted(want), x["doc_id"]
+        assert all((round(h["whole"], 9), round(h["question"], 9), round(h["answer"], 9)) in want[h["item_id"]] for h in x["hits"])
+        found += len(x["hits"])
+        if x["doc_id"] == 0:
+            scores = {h["item_id"]: h["bm25"] for h in x["hits"]}
+    assert found > 40 and 60 in scores
+    whole = decontaminate.Index.build(held)  # an index in many files has the scores of one
+    assert math.isclose(scores[60], dict((int(whole.item_ids[i]), s) for i, s in whole.search(np.flatnonzero(np.isin(whole.terms, textvec.words(pa.array([" ".join(q)])).hash))))[60], rel_tol=1e-9)
+
+
+def test_decontamination_query(spark, tmp_path):
+    items = [(1, "the first item has eight words in it"), (2, "one more item that no text of these has")]
+    rows = [(5, "so the first item has eight words in it too"), (6, None), (7, "nothing")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in decontaminate.op3_decontaminate(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_items"], r["item_ids"], r["contaminated"]) for i, r in got.items()} == {5: (1, "1", True), 6: (0, "", False), 7: (0, "", False)}
+    assert got[5]["best_bm25"] > 0 and got[6]["best_bm25"] is None
+
+
 def test_block_max_wand_finds_all():
     r = random.Random(1)
     w = [f"w{i}" for i in range(150)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdex.llm import textvec
-from verdex.llm.common import lowered, slices, table
+from verdex.llm import files, textvec
+from verdex.llm.common import cut, fresh_path, lowered, slices, table
 
 K1, B = 1.2, 0.75
 #: Postings of a block, whose largest impact is kept.
@@ -23,8 +24,8 @@ BLOCK = 32
 #: Share of the item's word 5-grams, or of the question's and of the answer's each, that the passage must have.
 MIN_OVERLAP = 0.8
 GRAM = 5
-#: Bytes of test items per index; more items make more indexes, and the passages meet one after another.
-INDEX_BYTES = 8 << 20
+#: Bytes of test items per index file. A worker holds one at a time, and IN_HAND bytes of texts that meet them in turn.
+INDEX_BYTES, IN_HAND = 8 << 20, 1 << 25
 #: Ranges of items, at most, for which all passages of a batch are bounded at once before any is searched.
 RANGES = 64
 
@@ -77,6 +78,17 @@ def most_lost(h: np.ndarray, mass: np.ndarray) -> float:
     return float(max(far.max(), *(x.max() for x in near)))
 
 
+@dataclass
+class Corpus:
+    """Statistics of all test items that have words: number, mean and greatest length, and in how many items each term is."""
+
+    items: int
+    length: float
+    longest: int
+    terms: np.ndarray  # sorted word hashes
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     """Postings in item order, with impacts, block maxima, and each item's threshold and shingles."""
@@ -103,7 +115,8 @@ class Index:
         return kept[term]
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
+    def build(cls, rows: list[tuple[int, str]], whole: Corpus | None = None) -> Index:
+        """The index of some items, with the statistics of the whole benchmark (by default these items are all)."""
         rows = sorted((i, t) for i, t in rows if i is not None and t)
         words = [textvec.words(lowered(pa.array([t])), textvec.ALNUM).hash for _, t in rows]
         order = sorted((k for k in range(len(rows)) if len(words[k])), key=lambda k: (len(words[k]), k))  # items of a range have thresholds alike
@@ -116,8 +129,10 @@ class Index:
         term, items = key // max(len(words), 1), key % max(len(words), 1)
         first = np.searchsorted(term, np.arange(len(terms) + 1))
         df = np.diff(first)
-        idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / (length.mean() if len(length) else 1))
+        whole = whole or Corpus(len(words), length.mean() if len(length) else 1.0, int(length.max(initial=1)), terms, df)
+        df = whole.df[np.searchsorted(whole.terms, terms)] if len(terms) else df
+        idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / whole.length)
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[items])
         top = np.array([impact[i:j].max() for i, j in zip(first[:-1], first[1:], strict=True)])
         blocks = [np.maximum.reduceat(impact[i:j], np.arange(0, j - i, BLOCK)) for i, j in zip(first[:-1], first[1:], strict=True)]
@@ -147,8 +162,12 @@ class Index:
         range_top, range_low = np.zeros((len(terms), ranges), np.float32), np.full(ranges, np.inf)
         np.maximum.at(range_top, (term, items * ranges // max(len(words), 1)), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
         np.minimum.at(range_low, np.arange(len(words)) * ranges // max(len(words), 1), threshold)
-        stride = int(length.max()) if len(length) else 1
-        return cls(np.array([i for i, _ in rows], np.int64), terms, first, items, impact, top, blocks, threshold, range_top, range_low, parts, stride)
+        return cls(np.array([i for i, _ in rows], np.int64), terms, first, items, impact, top, blocks, threshold, range_top, range_low, parts, whole.longest)
+
+    @classmethod
+    def load(cls, path: str, k: int) -> Index:
+        """A file of the index in the shared folder."""
+        return pickle.loads(files.mapped(f"{path}/{k:06d}").tobytes())
 
     def search(self, query: np.ndarray) -> list[tuple[int, float]]:
         """All items whose score against the query's terms reaches their threshold, by block-max WAND.
@@ -272,27 +291,72 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits") -> DataF
     score such a passage can have. Null or empty texts have no hits, nor do items without words; without items there are
     none at all. A column named `out` is replaced; other columns pass unchanged.
 
-    Test items are broadcast in indexes of INDEX_BYTES of text; a larger benchmark makes several, which the passages meet
-    one after another in the same pass, with each index's own BM25 statistics. There is no shuffle.
+    Passages overlap, so a text of any length is searched whole; repeated rows each get their hits, and of several passages
+    with an item the one of the highest score is told (the first of equal ones). Test items may repeat: each has its hits.
+
+    The index is cut into files of INDEX_BYTES of items, all with the statistics of the whole benchmark, so hits don't
+    depend on the cut. A task takes IN_HAND bytes of texts, which meet one file after another. There is no shuffle of texts.
     """
+    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // INDEX_BYTES))
-    schema = T.StructType([*docs.drop(out).schema.fields, T.StructField(out, T._parse_datatype_string(HITS))])
-    found = docs.drop(out).withColumn(out, F.array().cast(HITS))
+    path = fresh_path(spark, "bm25")
+    part = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int"))
+    if shards > 1:
+        terms = cut(part.select("part", "text").mapInArrow(_terms, "part int, term bigint, n bigint"))
+        total = terms.filter("term IS NULL").agg(F.count("*").alias("items"), F.avg("n").alias("length"), F.max("n").alias("longest")).first()
+        df = cut(terms.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")))
     for k in range(shards):
-        index = Index.build([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                at = b.schema.get_field_index(out)
-                more = index.hits(b.column(b.schema.get_field_index("text")))
-                hits = [(old or []) + new for old, new in zip(b.column(at).to_pylist(), more, strict=True)]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("bm25", pa.float64()), ("whole", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(hits, kind)], names=b.schema.names)
-
-        found = found.mapInArrow(run, schema)
-    return found
+        rows = [(r["item_id"], r["text"]) for r in part.filter(F.col("part") == k).collect()]
+        whole = None
+        if shards > 1:
+            own = df.join(terms.filter(F.col("part") == k).select("term").distinct(), "term").toPandas()
+            own = own.assign(term=own["term"].to_numpy(np.int64).view(np.uint64)).sort_values("term")
+            whole = Corpus(total["items"], total["length"] or 1.0, total["longest"] or 1, own["term"].to_numpy(), own["df"].to_numpy())
+        files.put(f"{path}/{k:06d}", [np.frombuffer(pickle.dumps(Index.build(rows, whole)), np.uint8)])
+    schema = T.StructType([*docs.drop(out).schema.fields, T.StructField(out, T._parse_datatype_string(HITS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), *((x, pa.float64()) for x in ("bm25", "whole", "question", "answer"))]))
+        index = Index.load(path, 0) if shards == 1 else None
+        for held in _in_hand(slices(batches)):
+            found = [[[] for _ in range(b.num_rows)] for b in held]
+            for k in range(shards):
+                index = index if shards == 1 else Index.load(path, k)
+                for b, hits in zip(held, found, strict=True):
+                    for to, more in zip(hits, index.hits(b.column(b.schema.get_field_index("text"))), strict=True):
+                        to += more
+            for b, hits in zip(held, found, strict=True):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sorted(x, key=itemgetter("item_id")) for x in hits], kind)], names=[*b.schema.names, out])
+
+    return docs.drop(out).mapInArrow(run, schema)
+
+
+def _in_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, of IN_HAND bytes about."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size > IN_HAND:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's distinct terms, and one row without a term that has its number of words; items without words have none."""
+    for b in slices(batches):
+        w = textvec.words(lowered(b.column(1)), textvec.ALNUM)
+        part, n = b.column(0).to_numpy(), np.diff(w.first)
+        row, at = np.unique(w.row, return_index=True)
+        length = pa.RecordBatch.from_arrays([pa.array(part[row], pa.int32()), pa.nulls(len(row), pa.int64()), pa.array(n[row], pa.int64())], names=["part", "term", "n"])
+        word, code = np.unique(w.hash, return_inverse=True)
+        pair = np.unique(w.row * max(len(word), 1) + code)
+        yield length
+        yield pa.RecordBatch.from_arrays([pa.array(part[pair // max(len(word), 1)], pa.int32()), pa.array(word[pair % max(len(word), 1)].view(np.int64)), pa.nulls(len(pair), pa.int64())], names=["part", "term", "n"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
