@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 import numpy as np
 
+T = TypeVar("T")
+
 
 def _filesystem(path: str):
     from pyarrow import fs
@@ -43,7 +50,9 @@ def put(path: str, arrays: list[np.ndarray]) -> None:
 
 
 def mapped(path: str) -> np.ndarray:
-    """The bytes of a file, memory-mapped; none if there is no such file. A store without plain files is copied into Spark's own scratch space first."""
+    """The bytes of a file, memory-mapped; a file that isn't there is an error, as what it held would be missing from the
+    result. A store without plain files is copied into Spark's own scratch space first. No file stays open for a map where
+    Python allows that (3.13 and later)."""
     plain = local_path(path)
     if not plain:
         from pyspark import SparkFiles
@@ -51,10 +60,45 @@ def mapped(path: str) -> np.ndarray:
         plain = os.path.join(SparkFiles.getRootDirectory(), path.replace("/", "_").replace(":", "_"))
         if not os.path.exists(plain):
             store, at = _filesystem(path)
-            if store.get_file_info(at).size is None:
-                return np.zeros(0, np.uint8)
             with store.open_input_stream(at) as f, open(f"{plain}.{os.getpid()}", "wb") as out:
                 while block := f.read(1 << 22):
                     out.write(block)
             os.replace(f"{plain}.{os.getpid()}", plain)
-    return np.memmap(plain, np.uint8, "r") if os.path.exists(plain) and os.path.getsize(plain) else np.zeros(0, np.uint8)
+    with open(plain, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            return np.zeros(0, np.uint8)
+        free = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **free), np.uint8)
+
+
+class Shards:
+    """The files of a kind, one per shard, as a worker reads them: MAPS of them are mapped at once, at most.
+
+    A list of the shards that have a file stands beside them (see tell()), so a shard without data is told from a lost one.
+    """
+
+    MAPS = 4096
+
+    def __init__(self, path: str, kind: str, parse: Callable[[np.ndarray], T]):
+        self.name, self.parse, self.open = f"{path}/{kind}", parse, OrderedDict()
+        self.there: np.ndarray | None = None
+
+    def __getitem__(self, k: int) -> T:
+        if k in self.open:
+            self.open.move_to_end(k)
+            return self.open[k]
+        if self.there is None:
+            self.there = mapped(f"{self.name}-list")
+        out = self.parse(mapped(f"{self.name}-{k:06d}") if self.there[k >> 3] >> (k & 7) & 1 else np.zeros(0, np.uint8))
+        self.open[k] = out
+        if len(self.open) > self.MAPS:
+            self.open.popitem(last=False)
+        return out
+
+
+def tell(path: str, kind: str, shards: int, written: Iterable[int]) -> None:
+    """Write which of the shards have a file, a bit each."""
+    bits = np.zeros(shards // 8 + 1, np.uint8)
+    k = np.fromiter(written, np.int64)
+    np.bitwise_or.at(bits, k >> 3, np.left_shift(1, k & 7).astype(np.uint8))
+    put(f"{path}/{kind}-list", [bits])

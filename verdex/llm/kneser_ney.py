@@ -26,6 +26,8 @@ SHARD_BYTES, FLUSH = 24 << 20, 3 << 19
 #: A word with this share of a sample's words, as a context, has its bigrams spread over all shards. It affects where counts
 #: are kept, not what they are.
 HOT_SHARE, SAMPLE = 1 / 256, 0.02
+#: The largest count that stands in 4 bytes.
+LARGE = 2**32 - 1
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,16 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _counts(n: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or in 8 where one needs them."""
+    return n.astype("<u4" if n.max(initial=0) <= LARGE else "<u8").tobytes()
+
+
+def _counted(data: bytes, size: int) -> np.ndarray:
+    """The `size` numbers that _counts() wrote."""
+    return np.frombuffer(data, "<u4" if len(data) == 4 * size else "<u8").astype(np.int64)
+
+
 def _count(shards: int, hot: np.ndarray):
     """Bigrams of a task's texts by shard: contexts, their run lengths, next words (7 bytes), counts (1 byte; larger ones repeat)."""
 
@@ -134,7 +146,9 @@ def _merge(path: str, shards: int):
         v, w, n = v[start], w[start], np.add.reduceat(n, start)
         key = pair_key(v, w)
         order = np.argsort(key)
-        files.put(f"{path}/bigrams-{shard:06d}", [key[order], n[order].astype("<u4")])
+        key, count = key[order], n[order]
+        large = np.flatnonzero(count > LARGE)  # their counts follow in full
+        files.put(f"{path}/bigrams-{shard:06d}", [np.array([len(key)]), key, large, count[large], np.minimum(count, LARGE).astype("<u4")])
         of_of = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
         start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         left = np.stack([np.add.reduceat(x, start) for x in (n, n == 1, n == 2, n >= 3)], 1)
@@ -146,9 +160,10 @@ def _merge(path: str, shards: int):
         rows = []
         for k in range(shards):
             i, j = lo[lb[k] : lb[k + 1]], ro[rb[k] : rb[k + 1]]
-            rows.append((k, _narrow(v[start][i]), left[i].astype("<u4").tobytes(), _narrow(word[j]), right[j].astype("<u4").tobytes(), (of_of if k == 0 else 0 * of_of).tolist()))
+            if len(i) or len(j):
+                rows.append((k, _narrow(v[start][i]), _counts(left[i]), _narrow(word[j]), _counts(right[j]), (0 * of_of if rows else of_of).tolist(), 0 if rows else 1))
         cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:5]), pa.array(cols[5], pa.list_(pa.int64()))], names=["shard", "left", "left_n", "right", "right_n", "of_of"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:5]), pa.array(cols[5], pa.list_(pa.int64())), pa.array([shard if x else None for x in cols[6]], pa.int64())], names=["shard", "left", "left_n", "right", "right_n", "of_of", "of"])
 
     return _by_shard(flush)
 
@@ -182,13 +197,13 @@ def _words(path: str):
         word = np.unique(np.concatenate(every))
         stats = np.zeros((len(word), 6), np.int64)  # count, contexts; total, with 1, with 2, with 3 and more
         for (k, width, base), at in zip(((1, 4, 2), (3, 2, 0)), (np.searchsorted(word, x) for x in every), strict=True):
-            n = np.concatenate([np.frombuffer(x[k], "<u4") for x in held]).reshape(-1, width)
+            n = np.concatenate([_counted(x[k], len(x[k - 1]) // 7 * width) for x in held]).reshape(-1, width)
             for c in range(width):
                 stats[:, base + c] += np.bincount(at, n[:, c], len(word)).astype(np.int64)
         files.put(f"{path}/words-{shard:06d}", [word, *stats.T])
         seen = stats[:, 1]
         told = [int((stats[:, 0] > 0).sum()), int(stats[:, 0].sum()), int(seen.sum()), *(int((seen == k).sum()) for k in (1, 2, 3, 4))]
-        yield pa.RecordBatch.from_arrays([pa.array([told], pa.list_(pa.int64()))], names=["totals"])
+        yield pa.RecordBatch.from_arrays([pa.array([[*told, shard]], pa.list_(pa.int64()))], names=["totals"])
 
     return _by_shard(flush)
 
@@ -230,19 +245,23 @@ class Scorer:
     """A worker's view of the model: files are mapped as they are first needed."""
 
     def __init__(self, m: Model):
-        self.m, self.files = m, {}
-
-    def _arrays(self, kind: str, k: int) -> list[np.ndarray]:
-        if (kind, k) not in self.files:
-            path = f"{self.m.path}/{kind}-{k:06d}"
-            data = files.mapped(path)
-            if kind == "bigrams":
-                n = len(data) // 12
-                self.files[kind, k] = [data[: 8 * n].view("<u8"), data[8 * n :].view("<u4")]
-            else:
-                n = len(data) // 56
-                self.files[kind, k] = [data[: 8 * n].view("<u8"), *data[8 * n :].view("<i8").reshape(6, n)]
-        return self.files[kind, k]
+        self.m = m
+        self.files = {"bigrams": files.Shards(m.path, "bigrams", self._bigrams), "words": files.Shards(m.path, "words", self._words)}
+
+    @staticmethod
+    def _bigrams(data: np.ndarray) -> list[np.ndarray]:
+        """Keys, counts, which counts are larger than LARGE and what these are."""
+        if not len(data):
+            return [data.view("<u8"), data.view("<u4"), data.view("<i8"), data.view("<i8")]
+        n = int(data[:8].view("<i8")[0])
+        at = [8, 8 + 8 * n, len(data) - 4 * n]
+        large = data[at[1] : at[2]].view("<i8")
+        return [data[at[0] : at[1]].view("<u8"), data[at[2] :].view("<u4"), *np.split(large, 2)]
+
+    @staticmethod
+    def _words(data: np.ndarray) -> list[np.ndarray]:
+        n = len(data) // 56
+        return [data[: 8 * n].view("<u8"), *data[8 * n :].view("<i8").reshape(6, n)]
 
     def _find(self, kind: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         """Values of sorted distinct keys, 0 where the model has none; one pass over each shard asked for."""
@@ -251,12 +270,16 @@ class Scorer:
         bounds = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             part = order[bounds[k] : bounds[k + 1]]
-            have, *values = self._arrays(kind, k)
+            have, *values = self.files[kind][k]
             if len(have):
                 at = np.minimum(np.searchsorted(have, keys[part]), len(have) - 1)
                 hit = have[at] == keys[part]
                 for c in range(width):
                     out[c, part[hit]] = values[c][at[hit]]
+                if kind == "bigrams" and len(values[1]):
+                    large = np.minimum(np.searchsorted(values[1], at), len(values[1]) - 1)
+                    over = hit & (values[1][large] == at)
+                    out[0, part[over]] = values[2][large[over]]
         return out
 
     def score(self, col: pa.Array) -> tuple[np.ndarray, ...]:
@@ -300,11 +323,14 @@ def train(texts: DataFrame, path: str | None = None) -> Model:
     shards = max(6, -(-size // SHARD_BYTES))
     hot = _hot_words(texts)
     counted = texts.mapInArrow(_count(shards, hot), "shard int, v binary, runs binary, w binary, n binary")
-    merged = cut(counted.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_merge(path, shards), "shard int, left binary, left_n binary, right binary, right_n binary, of_of array<bigint>"))
+    merged = cut(counted.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_merge(path, shards), "shard int, left binary, left_n binary, right binary, right_n binary, of_of array<bigint>, of bigint"))
+    files.tell(path, "bigrams", shards, (r["of"] for r in merged.filter("of IS NOT NULL").select("of").collect()))
     of_of = merged.select(*(F.sum(F.col("of_of")[k]) for k in range(4))).first()
     columns = merged.select("shard", "left", "left_n", "right", "right_n")
     totals = columns.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_words(path), "totals array<bigint>")
-    t = [x or 0 for x in totals.select(*(F.sum(F.col("totals")[k]) for k in range(7))).first()]
+    told = [r["totals"] for r in totals.collect()]  # a row per shard
+    files.tell(path, "words", shards, (x[7] for x in told))
+    t = [sum(x[k] for x in told) for k in range(7)]
     d1 = discounts(t[3:])
     more = t[0] - t[3] - t[4]  # words seen in 3 contexts or more
     lambda1 = (d1[1] * t[3] + d1[2] * t[4] + d1[3] * more) / t[2] if t[2] else 1.0

@@ -105,7 +105,7 @@ def _anchors(shards: int):
 
 def _repeated(path: str):
     """Writes each shard's anchors that occur more than once, as a sorted array, and which may have too many fragments for a
-    part; returns the numbers of both."""
+    part; returns its number and theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -118,7 +118,7 @@ def _repeated(path: str):
             n = np.bincount(at, np.concatenate([np.frombuffer(x, "<u2") for _, x in rows]), len(u))
             hot = n[n > 1] * WINDOW > PART_BYTES
             files.put(f"{path}/anchors-{k:06d}", [u[n > 1], hot])
-            yield pa.RecordBatch.from_arrays([pa.array([len(hot)], pa.int64()), pa.array([int(hot.sum())], pa.int64())], names=["n", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([int(hot.sum())], pa.int64())], names=["shard", "hot"])
 
     return run
 
@@ -141,7 +141,7 @@ def _fragments(path: str, shards: int, hot: bool):
     """The fragments whose anchor occurs again and is, or isn't, hot; equal ones of a slice as one row with all their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known = files.Shards(path, "anchors", lambda data: (data[: len(data) // 9 * 8].view("<u8"), data[len(data) // 9 * 8 :].view(bool)))
         for b in slices(batches):
             buf, off = textvec.utf8(b.column(0))
             f = fragments(buf, off)
@@ -150,9 +150,6 @@ def _fragments(path: str, shards: int, hot: bool):
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             again = np.zeros(len(f.anchor), bool)
             for k in np.flatnonzero(np.diff(cuts)):
-                if k not in known:
-                    data = files.mapped(f"{path}/anchors-{k:06d}")
-                    known[k] = data[: len(data) // 9 * 8].view("<u8"), data[len(data) // 9 * 8 :].view(bool)
                 part, (have, hots) = order[cuts[k] : cuts[k + 1]], known[k]
                 if len(have):
                     at = np.minimum(np.searchsorted(have, f.anchor[part]), len(have) - 1)
@@ -358,11 +355,17 @@ def _store(path: str):
             first = np.searchsorted(rank[start], np.arange(len(kinds) + 1))
             last = np.append(start[1:], len(a)) - 1
             files.put(f"{path}/spans-{k:06d}", [np.array([len(kinds), len(start)]), kinds, first, b[start], reach[last] - rank[last] * wide])
-            yield pa.RecordBatch.from_arrays([pa.array([len(start)], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["shard"])
 
     return run
 
 
+def _parse_spans(data: np.ndarray) -> list[np.ndarray]:
+    """Texts' keys, first span of each, begins, ends."""
+    data = data.view("<i8")
+    return np.split(data[2:], np.cumsum([data[0], data[0] + 1, data[1]])) if len(data) else [data] * 4
+
+
 @dataclass
 class Repeats:
     """Where the spans of repeated bytes are, by text."""
@@ -370,14 +373,12 @@ class Repeats:
     path: str
     shards: int
 
-    def spans(self, known: dict[int, list[np.ndarray]], key: int) -> tuple[np.ndarray, np.ndarray]:
+    def open(self) -> files.Shards:
+        return files.Shards(self.path, "spans", _parse_spans)
+
+    def spans(self, known: files.Shards, key: int) -> tuple[np.ndarray, np.ndarray]:
         """(begins, ends) of a text's spans, in order."""
-        k = int(_shard(np.array([key], np.int64).view(_U), self.shards)[0])
-        if k not in known:
-            data = files.mapped(f"{self.path}/spans-{k:06d}").view("<i8")
-            n, m = (int(data[0]), int(data[1])) if len(data) else (0, 0)
-            known[k] = np.split(data[2:], np.cumsum([n, n + 1, m])) if len(data) else [data] * 4
-        keys, first, begin, end = known[k]
+        keys, first, begin, end = known[int(_shard(np.array([key], np.int64).view(_U), self.shards)[0])]
         i = int(np.searchsorted(keys, key))
         if i == len(keys) or keys[i] != key:
             return begin[:0], end[:0]
@@ -398,13 +399,15 @@ def find_repeats(docs: DataFrame) -> Repeats:
     shards = max(6, -(-size // SHARD_BYTES))
     own = F.col("shard")
     counted = texts.mapInArrow(_anchors(shards), "shard int, anchors binary, n binary").repartitionById(shards, own)
-    hot = counted.mapInArrow(_repeated(path), "n bigint, hot bigint").agg(F.sum("hot")).first()[0]
+    told = counted.mapInArrow(_repeated(path), "shard bigint, hot bigint").collect()  # a row per shard
+    files.tell(path, "anchors", shards, (r["shard"] for r in told))
+    hot = sum(r["hot"] for r in told)
     dealt = texts.mapInArrow(_fragments(path, shards, False), FRAGMENTS)
     if hot:
         dealt = dealt.union(split_hot(texts.mapInArrow(_fragments(path, shards, True), FRAGMENTS), shards))
     dealt = dealt.select("shard", "anchor", "content", "keys", "starts").repartitionById(shards, own)
     spans = dealt.sortWithinPartitions("shard", "anchor", "content").mapInArrow(_spans(shards), "key bigint, begin bigint, end bigint, shard int")
-    spans.repartitionById(shards, own).mapInArrow(_store(path), "n bigint").agg(F.sum("n")).collect()
+    files.tell(path, "spans", shards, (r["shard"] for r in spans.repartitionById(shards, own).mapInArrow(_store(path), "shard bigint").collect()))
     return Repeats(path, shards)
 
 
@@ -412,7 +415,7 @@ def remove_repeats(docs: DataFrame, repeats: Repeats) -> DataFrame:
     """doc_id, n_bytes, begins, ends (spans of removed bytes, in order), kept (the remaining bytes): one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[np.ndarray]] = {}
+        known = repeats.open()
         for b in slices(batches):
             buf, off = textvec.utf8(b.column(1))
             raw = buf.tobytes()

@@ -16,8 +16,7 @@ from verdex.llm.common import cut, lowered, slices, table
 
 #: The classifier is fitted on at most so many labelled rows (those with the lowest digests of their ids).
 MAX_LABELLED = 40_000
-#: And on at most so many features: words, and the first bytes of longer words, which stand for a stem.
-MAX_WORDS = 4_000
+#: Features are words and the first bytes of longer words, which stand for a stem.
 STEMS = (5, 6, 7, 8)
 #: A word or stem is a feature if so many labelled texts have it and its rates in the two classes differ by so many standard errors.
 MIN_TEXTS, MIN_Z = 5, 3.5
@@ -205,8 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, steps: int = 200) -> Model:
 
     Logistic loss with a ridge, plus PAIRING times the squared change of the logit between a labelled text and the same
     text with an identity term swapped for another of its group: the word's and its stems' weights, as the scores change.
-    Features are those that the classes have at clearly different rates, counted in Spark, and all identity
-    terms. With no labelled rows every score is 0.5.
+    Features are all that the classes have at clearly different rates, counted in Spark, and all identity terms; their
+    number is bounded by that of the labelled rows. A null or empty text has no features and counts; a row that repeats
+    counts each time; texts of any length are read whole. With no labelled rows every score is 0.5.
     """
     sample = cut(training_rows(docs, labels))
     total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, steps: int = 200) -> Model:
     a, b_, p = (F.col("pos") / F.lit(max(n1, 1)), (F.col("n") - F.col("pos")) / F.lit(max(n_all - n1, 1)), F.col("n") / F.lit(n_all))
     z = F.abs(a - b_) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * F.lit(1 / max(n1, 1) + 1 / max(n_all - n1, 1)))
     counted = sample.mapInArrow(_count, "h bigint, n bigint, pos bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    best = counted.filter(F.col("n") >= MIN_TEXTS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_WORDS).select("h").toPandas()
+    best = counted.filter(F.col("n") >= MIN_TEXTS).withColumn("z", z).filter(F.col("z") >= MIN_Z).select("h").toPandas()
     identity = np.array([word_hash(x) for g in IDENTITY for x in g], np.uint64)
     hashes = np.union1d(best["h"].to_numpy(np.int64).view(np.uint64), identity)
     shared = np.intersect1d(hashes, np.concatenate(list(_terms().values())))
