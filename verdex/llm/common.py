@@ -54,15 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
 
 
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the bytes of a text column stay near `most` in each; a longer text stands alone.
+    """The batches, cut so that the bytes of a text or list column stay near `most` in each; a longer text stands alone.
 
     Bounds the memory of vectorised code: a text is never split, so the bound is the longest text.
     """
@@ -70,7 +76,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        length = pa.compute.list_value_length if pa.types.is_list(col.type) else pa.compute.binary_length
+        sizes = pa.compute.fill_null(length(col), 0).to_numpy(zero_copy_only=False) * (4 if pa.types.is_list(col.type) else 1)
         at, total = 0, 0
         for i, n in enumerate(sizes):
             if i > at and total + n > most:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdex.llm import files, textvec
-from verdex.llm.common import cut, fresh_path, lowered, slices, table
+from verdex.llm.common import cut, fresh_path, lowered, slices, table, unused
 
 K1, B = 1.2, 0.75
 #: Postings of a block, whose largest impact is kept.
@@ -361,7 +361,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no benchmark item, all columns unchanged."""
-    return find_hits(docs, benchmark, "_hits").filter(F.size("_hits") == 0).drop("_hits")
+    hits = unused(docs, "hits")
+    return find_hits(docs, benchmark, hits).filter(F.size(hits) == 0).drop(hits)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdex.llm.common import SPACE, carry_back, cut, fresh_path, remove, table, text_of
+from verdex.llm.common import SPACE, carry_back, cut, fresh_path, remove, table, text_of, unused
 
 #: Digests per bucket that a new index plans for; 40 bytes each.
 PER_BUCKET = 4_000_000
@@ -124,12 +124,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     index = fresh_index(spark)
-    kept = dedup(docs, index).filter("kept").select(F.col("digest").alias("_k_digest"), F.col("doc_id").alias("_k_id"))
+    digest, n = unused(docs, "digest"), unused(docs, "n")
+    kept = dedup(docs, index).filter("kept").select(F.col("digest").alias("k_digest"), F.col("doc_id").alias("k_id"))
     index.drop()  # verdicts are written elsewhere
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text_of()), 256)))
-    rows = rows.join(kept, (F.col("_digest") == F.col("_k_digest")) & F.col("doc_id").eqNullSafe(F.col("_k_id")), "left_semi")
-    one = Window.partitionBy("_digest", "doc_id").orderBy("_digest")
-    return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    rows = docs.withColumn(digest, F.unhex(F.sha2(normalised(text_of()), 256)))
+    rows = rows.join(kept, (rows[digest] == kept["k_digest"]) & rows["doc_id"].eqNullSafe(kept["k_id"]), "left_semi")
+    one = Window.partitionBy(digest, "doc_id").orderBy(digest)
+    return rows.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def fresh_index(spark: SparkSession, rows: int = 0) -> DigestIndex:

@@ -452,7 +452,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the least doc_id, all columns unchanged.
 
-    Texts without words are all kept. Rows go out by doc_id, so only the ids that leave are joined with the texts.
+    Texts without words are all kept. Rows go out by doc_id, so only the ids that leave are joined with the texts; rows that
+    repeat a doc_id stay or go together, and a row without one stays. A text of any length has its whole set.
     """
     gone = jaccard_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

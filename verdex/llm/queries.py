@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from verdex.llm import chat_format, decontaminate, exact_dedup, kneser_ney, ngram_join, pii, sentencepiece_codec, sharding, suffix_dedup, toxicity
+from verdex.llm import chat_format, decontaminate, exact_dedup, kneser_ney, ngram_join, pii, sentencepiece_codec, sharding, stages, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_toxicity": toxicity.op10_toxicity,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": stages.run,
     }
 
 

@@ -317,16 +317,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, out: str = "ids") -> DataFra
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "text") -> DataFrame:
-    """encoded with the text of its array column `ids` as column `out` (replaced if it exists); null ids give an empty text."""
+    """encoded with the text of its array column `ids` as column `out` (replaced if it exists).
+
+    Null or empty ids give an empty text; rows repeat freely, an empty table gives no rows, and slices bound the ids held.
+    """
     kept = encoded.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([*b.columns, codec.decode(b.column(b.schema.get_field_index(ids)))], names=[*b.schema.names, out])
+        for b in slices(batches, ids):
+            yield pa.RecordBatch.from_arrays([*b.columns, codec.decode(b.column(b.schema.get_field_index(ids)))], names=[*b.schema.names, out])
 
     return kept.mapInArrow(run, schema)
 
