@@ -35,3 +35,13 @@ def word_ngrams(w: Column, n: int = 8) -> Column:
 def normal_form(text: Column) -> Column:
     """Words joined by one space (PRJ-19)."""
     return F.array_join(words(text), " ")
+
+
+def gram_hashes(w: Column, n: int = 8) -> Column:
+    """Distinct n-grams of a word array as 64-bit hashes; empty if it has fewer than n words."""
+
+    def grams(v: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.xxhash64(*(F.get(v, i + k) for k in range(n))))
+        return F.when(F.size(v) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), grams)
