@@ -33,7 +33,10 @@ CREDENTIALS = {
     "github_wide": r"gh[a-z]_[A-Za-z0-9]{20,}",
 }
 # Published test numbers that aren't personal data, and consumer mail domains.
-TEST_CARDS = ("4111111111111111", "4242424242424242", "5555555555554444", "378282246310005")
+TEST_CARDS = (
+    "4111111111111111", "4242424242424242", "5555555555554444", "378282246310005", "4012888888881881",
+    "5105105105105100", "6011111111111117", "4000056655665556", "371449635398431", "30569309025904",
+)
 CONSUMER_DOMAINS = (
     "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "proton.me", "protonmail.com", "aol.com", "live.com",
     "uol.com.br", "bol.com.br", "terra.com.br", "yahoo.com.br", "hotmail.com.br", "gmx.de", "mail.ru", "qq.com", "163.com", "mail.com",
@@ -42,6 +45,28 @@ CONSUMER_DOMAINS = (
     "fastmail.com", "hey.com", "pm.me", "ig.com.br", "globo.com", "r7.com", "zipmail.com.br", "outlook.com.br", "hotmail.co.uk",
     "yahoo.co.uk", "web.de", "t-online.de", "orange.fr", "free.fr", "libero.it", "gmx.com", "gmx.net", "inbox.com",
 )
+# Account and tax numbers of published documentation, which may stay.
+KNOWN_IBAN = (
+    "DE89370400440532013000", "GB82WEST12345698765432", "GB29NWBK60161331926819",
+    "FR1420041010050500013M02606", "NL91ABNA0417164300", "ES9121000418450200051332",
+    "IT60X0542811101000000123456", "BE68539007547034", "CH9300762011623852957", "AT611904300234573201",
+    "GB33BUKB20201555555555", "DE75512108001245126199", "NL02ABNA0123456789", "ES7921000813610123456789",
+    "FR7630006000011234567890189", "PT50000201231234567890154", "GB94BARC10201530093459",
+    "GB15MIDL40051512345678", "DE44500105175407324931", "IE29AIBK93115212345678",
+    "BR1800360305000010009795493C1", "BR9700360305000010009795493P1",
+)
+KNOWN_CPF = ("12345678909", "11144477735", "52998224725", "98765432100", "11122233396")
+#: Patterns that a release is scanned for; the others are of the sources' scan.
+SCANNED = ("aws_key", "bearer", "assigned", "vck", "bk", "sk", "live_key", "hf", "github", "private_key")
+#: Numbers by kind: pattern of a candidate, as Java reads it.
+CANDIDATES = {
+    "cpf": r"(?<!\d)\d{3}\.?\d{3}\.?\d{3}-?\d{2}(?!\d)",
+    "cnpj": r"(?<!\d)\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}(?!\d)",
+    "card": r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])",
+    "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
+    "consumer_email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+}
 
 
 def all_matches(text: Column, pattern: str) -> Column:
@@ -65,19 +90,23 @@ def _check_digit(value: Column, weights: list[int]) -> Column:
     return F.when(total % 11 < 2, 0).otherwise(11 - total % 11)
 
 
+def _varied(d: Column) -> Column:
+    return d != F.repeat(F.substring(d, 1, 1), F.length(d))
+
+
 def cpf_ok(value: Column) -> Column:
-    """PII-02: eleven digits, not all equal, both check digits."""
+    """PII-02: eleven digits with a full stop or hyphen between some, not all equal, both check digits."""
     d = digits(value)
     at = lambda k: F.substring(d, k, 1).cast("int")
-    return (F.length(d) == 11) & (d != F.repeat(F.substring(d, 1, 1), 11)) & (_check_digit(d, list(range(10, 1, -1))) == at(10)) & (_check_digit(d, list(range(11, 1, -1))) == at(11))
+    return value.rlike("[.-]") & (F.length(d) == 11) & _varied(d) & (_check_digit(d, list(range(10, 1, -1))) == at(10)) & (_check_digit(d, list(range(11, 1, -1))) == at(11))
 
 
 def cnpj_ok(value: Column) -> Column:
-    """PII-03: fourteen digits with two weighted check digits."""
+    """PII-03: fourteen digits with a slash between, not all equal, two weighted check digits."""
     d = digits(value)
     first = [5, 4, 3, 2, *range(9, 1, -1)]
     at = lambda k: F.substring(d, k, 1).cast("int")
-    return (F.length(d) == 14) & (_check_digit(d, first) == at(13)) & (_check_digit(d, [6, *first]) == at(14))
+    return value.contains("/") & (F.length(d) == 14) & _varied(d) & (_check_digit(d, first) == at(13)) & (_check_digit(d, [6, *first]) == at(14))
 
 
 def card_ok(value: Column) -> Column:
@@ -100,10 +129,54 @@ def iban_ok(value: Column) -> Column:
     return F.length(v).between(15, 34) & (rest == 1)
 
 
+def consumer_mail(value: Column) -> Column:
+    """PII-07: an address whose domain, in lower case, is a consumer's."""
+    return F.lower(F.split_part(value, F.lit("@"), F.lit(-1))).isin(*CONSUMER_DOMAINS)
+
+
+def findings(text: Column) -> Column:
+    """PII-01 to PII-07: (category, value, drop) of every match in a text, which may be a row as JSON; a credential has no value.
+
+    A text without a digit has no number, and one without an at-sign no address, so the patterns for these are left out.
+    """
+    found = lambda kind, value, drop: F.struct(F.lit(kind).alias("category"), value.alias("value"), drop.alias("drop"))
+    none = F.array().cast("array<struct<category: string, value: string, drop: boolean>>")
+    only = lambda kind: all_matches(text, CANDIDATES[kind])
+    no_value, yes, no = F.lit(None).cast("string"), F.lit(True), F.lit(False)
+    secrets = [F.transform(all_matches(text, CREDENTIALS[k]), lambda _: found("credential", no_value, yes)) for k in SCANNED]
+    plain = lambda v: F.regexp_replace(v, " ", "")
+    numbers = [
+        F.transform(F.filter(only("cpf"), cpf_ok), lambda v: found("cpf", digits(v), ~digits(v).isin(*KNOWN_CPF))), F.transform(F.filter(only("cnpj"), cnpj_ok), lambda v: found("cnpj", digits(v), no)),
+        F.transform(F.filter(only("card"), card_ok), lambda v: found("card", digits(v), yes)), F.transform(F.filter(only("ssn"), ssn_ok), lambda v: found("ssn", digits(v), yes)),
+        F.transform(F.filter(only("iban"), iban_ok), lambda v: found("iban", plain(v), ~plain(v).isin(*KNOWN_IBAN))),
+    ]
+    mail = F.transform(F.filter(only("consumer_email"), consumer_mail), lambda v: found("consumer_email", F.lower(v), yes))
+    return F.concat(*secrets, F.when(text.rlike("[0-9]{2}"), F.concat(*numbers)).otherwise(none), F.when(text.contains("@"), mail).otherwise(none))
+
+
+#: Addresses in a dotted text: four numbers, with no further digit or full stop at either side.
+IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])"
+# Networks as (address, prefix length) that count as documentation and as private.
+DOCUMENTATION = (("192.0.2.0", 24), ("198.51.100.0", 24), ("203.0.113.0", 24))
+PRIVATE = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31),
+    ("192.168.0.0", 16), ("198.18.0.0", 15), ("240.0.0.0", 4), ("255.255.255.255", 32),
+)
+
+
 def ipv4_class(value: Column) -> Column:
-    """PII-10: documentation, loopback, private or public; null if a part exceeds 255."""
-    p = [F.split_part(value, F.lit("."), F.lit(k)).cast("int") for k in range(1, 5)]
-    valid = (p[0] <= 255) & (p[1] <= 255) & (p[2] <= 255) & (p[3] <= 255)
-    doc = ((p[0] == 192) & (p[1] == 0) & (p[2] == 2)) | ((p[0] == 198) & (p[1] == 51) & (p[2] == 100)) | ((p[0] == 203) & (p[1] == 0) & (p[2] == 113))
-    private = (p[0] == 10) | ((p[0] == 172) & p[1].between(16, 31)) | ((p[0] == 192) & (p[1] == 168))
-    return F.when(valid, F.when(doc, "documentation").when(p[0] == 127, "loopback").when(private, "private").otherwise("public"))
+    """PII-10: documentation, loopback, private or public; null if a part exceeds 255 or has a leading zero."""
+    p = [F.split_part(value, F.lit("."), F.lit(k)) for k in range(1, 5)]
+    valid = F.lit(True)
+    for x in p:
+        valid = valid & (x.cast("int") <= 255) & ~x.rlike("^0[0-9]")
+    number = sum((x.cast("bigint") * 256 ** (3 - k) for k, x in enumerate(p)), F.lit(0).cast("bigint"))
+
+    def inside(networks: tuple[tuple[str, int], ...]) -> Column:
+        out = F.lit(False)
+        for address, length in networks:
+            low = sum(int(x) * 256 ** (3 - k) for k, x in enumerate(address.split(".")))
+            out = out | number.between(low, low + 2 ** (32 - length) - 1)
+        return out
+
+    return F.when(valid, F.when(inside(DOCUMENTATION), "documentation").when(inside((("127.0.0.0", 8),)), "loopback").when(inside(PRIVATE), "private").otherwise("public"))

@@ -45,11 +45,13 @@ def both_ways(docs: DataFrame, items: DataFrame, n: int = 8, most: int = 200, le
     items_left = b.join(df.filter(F.col("df") <= most).select("g"), "g")
     grams = docs.select("id", T.gram_hashes(F.col("w"), n).alias("grams")).select("id", F.size("grams").alias("na"), F.explode("grams").alias("g"))
     stopped = df.filter(F.col("df") > most).select("g")
-    lost = _meet(grams, stopped).groupBy("id").agg(F.count("*").alias("lost"))
     shared = _meet(grams, items_left).groupBy("id", "na", "pid").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     sizes = items_left.groupBy("pid").agg(F.count("*").alias("nb"))
-    full = shared.join(lost, "id", "left").join(sizes, "pid").withColumn("na", F.col("na") - F.coalesce("lost", F.lit(0)))
-    return full.withColumn("containment", F.greatest(F.col("shared") / F.col("na"), F.col("shared") / F.col("nb"))).filter(F.col("containment") > over).drop("lost")
+    full = shared.join(sizes, "pid")
+    if not stopped.isEmpty():
+        lost = _meet(grams, stopped).groupBy("id").agg(F.count("*").alias("lost"))
+        full = full.join(lost, "id", "left").withColumn("na", F.col("na") - F.coalesce("lost", F.lit(0))).drop("lost")
+    return full.withColumn("containment", F.greatest(F.col("shared") / F.col("na"), F.col("shared") / F.col("nb"))).filter(F.col("containment") > over)
 
 
 def suite_summary(pairs: DataFrame, items: DataFrame) -> DataFrame:

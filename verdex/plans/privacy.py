@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdex.functions import privacy as P
+from verdex.plans.cases import cases
 from verdex.plans.dialect import Spark, both
 from verdex.plans.registry import query
-from verdex.sources.tables import table
+from verdex.sources.tables import spread, table
 
 
 @both("pii_credentials")
@@ -45,38 +46,81 @@ def pii_needles(d: Spark) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, category, value, drop): every valid match of the number detectors."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    edge = lambda p: rf"(?<![\w-])(?:{p})(?![\w-])"
-    kinds = [
-        ("card", edge(r"\d(?:[ -]?\d){12,18}"), P.card_ok, True), ("ssn", edge(r"\d{3}-\d{2}-\d{4}"), P.ssn_ok, True), ("iban", edge(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"), P.iban_ok, True),
-        ("cpf", edge(r"\d{3}\.?\d{3}\.?\d{3}-\d{2}"), P.cpf_ok, True), ("cnpj", edge(r"\d{2}\.?\d{3}\.?\d{3}/\d{4}-\d{2}"), P.cnpj_ok, False),
-    ]
+def _found(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, category, value, drop): every finding of a row's text."""
+    return rows.select("doc_id", F.explode(P.findings(F.coalesce(text, F.lit("")))).alias("f")).select("doc_id", "f.*")
 
-    def named(kind: str, pattern: str) -> Column:
-        return F.transform(P.all_matches(F.col("text"), pattern), lambda v: F.struct(F.lit(kind).alias("category"), v.alias("value")))
 
-    matches = docs.select("doc_id", F.explode(F.concat(*(named(k, p) for k, p, _, _ in kinds))).alias("m")).select("doc_id", "m.*")
-    ok = F.coalesce(*(F.when(F.col("category") == k, f(F.col("value"))) for k, _, f, _ in kinds))
-    return matches.filter(ok).withColumn("drop", F.col("category").isin([k for k, _, _, drop in kinds if drop]))
+def report(found: DataFrame) -> DataFrame:
+    """AGG-10: occurrences, rows, distinct values and rows to drop by category. Values meet as digests."""
+    return found.groupBy("category").agg(F.count("*").alias("occurrences"), F.countDistinct("doc_id").alias("n_rows"), F.countDistinct(F.sha2("value", 256)).alias("n_values"), F.countDistinct(F.when(F.col("drop"), F.col("doc_id"))).alias("drop_rows"))
+
+
+KEY = "AKIA" + "EXAMPLE" + "0" * 9
+# (id, text, category, value, drop), or nothing found
+FINDINGS = [
+    (0, "cards 4539 1488 0343 6467, 4111 1111 1111 1111 and 2539148803436467", "card", "4539148803436467", True), (1, "dashes 4539-1488-0343-6467 -4539148803436467", "card", "4539148803436467", True), (2, "long 45391488034364670000000", None, None, None),
+    (3, "cpf 529.982.247-25", "cpf", "52998224725", False), (4, "cpf 168.995.350-09.", "cpf", "16899535009", True), (5, "cpf 16899535009 or 111.111.111-11", None, None, None), (6, "cnpj 11.222.333/0001-81", "cnpj", "11222333000181", False),
+    (7, "cnpj 11222333000181 and 00.000.000/0000-00", None, None, None), (8, "ssn 219-09-9999", "ssn", "219-09-9999", True), (9, "ssn 000-12-3456 666-12-3456 900-12-3456 219-00-9999 219-09-0000 123-45-6789 1219-09-99990", None, None, None),
+    (10, "iban GB82 WEST 1234 5698 7654 32", "iban", "GB82WEST12345698765432", False), (11, "iban GB98 MIDL 0700 9312 3456 78", "iban", "GB98MIDL07009312345678", True), (12, "iban GB99 MIDL 0700 9312 3456 78", None, None, None),
+    (13, "mail A.B@GMail.com", "consumer_email", "a.b@gmail.com", True), (14, "mail a@corp.example a@gmail.com.br", None, None, None), (15, f"id {KEY} x", "credential", None, True), (16, "Bearer abcdefghijkl", "credential", None, True), (17, "Bearer abcdefghijk", None, None, None),
+    (18, "passwd = 'hunter2!x'", "credential", None, True), (19, "token = hunter2hunter2hunter2", None, None, None), (20, "vck_abcdefghij bk-abcdefghij", "credential", None, True), (21, "sk_live_abcdefgh", "credential", None, True),
+    (22, "hf_" + "a" * 20, "credential", None, True), (23, "ghp_" + "a" * 30, "credential", None, True), (24, "-----BEGIN RSA PRIVATE KEY-----", "credential", None, True), (25, "xoxb-abcdefghij /root/ /home/a/", None, None, None), (26, None, None, None, None),
+]
+
+
+@cases("pii_findings", "doc_id bigint, category varchar, n bigint, value varchar, dropped boolean", [(i, c, 2 if i == 20 else 1, v.replace("-", "") if c == "ssn" else v, d) for i, _, c, v, d in FINDINGS if c])
+def pii_findings(spark: SparkSession) -> DataFrame:
+    """PII-01 to PII-07: each pattern and check, allowlisted and other numbers, a domain in capitals, two credentials in a text."""
+    rows = spark.createDataFrame([x[:2] for x in FINDINGS], "doc_id bigint, text string")
+    return _found(rows).groupBy("doc_id", "category").agg(F.count("*").alias("n"), F.max(F.when(F.col("category") == "ssn", P.digits(F.col("value"))).otherwise(F.col("value"))).alias("value"), F.max("drop").alias("dropped"))
+
+
+@cases("pii_report_cases", "category varchar, occurrences bigint, n_rows bigint, n_values bigint, drop_rows bigint", [
+    ("card", 2, 2, 1, 2), ("cpf", 2, 2, 2, 1), ("cnpj", 1, 1, 1, 0), ("ssn", 1, 1, 1, 1), ("iban", 2, 2, 2, 1), ("consumer_email", 1, 1, 1, 1), ("credential", 9, 8, 0, 8),
+])
+def pii_report_cases(spark: SparkSession) -> DataFrame:
+    """AGG-10: the report of these texts."""
+    return report(_found(spark.createDataFrame([x[:2] for x in FINDINGS], "doc_id bigint, text string")))
+
+
+def _serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows as JSON, as a release is scanned."""
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select("doc_id", F.to_json(F.struct("doc_id", "text", "lang", "source")).alias("text")))
 
 
 @query("pii_numbers")
 def pii_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PII-02 to PII-06: valid cards, SSNs, IBANs, CPFs and CNPJs by document (lookarounds: no SQL in the other engine)."""
-    return _found(spark, sf_dir).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+    """PII-01 to PII-07 over serialised rows, by document and category (lookarounds: no SQL in the other engine)."""
+    return _found(_serialised(spark, sf_dir)).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
 @query("pii_report")
 def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-10: occurrences, rows, distinct values and rows to drop by category."""
-    return _found(spark, sf_dir).groupBy("category").agg(F.count("*").alias("occurrences"), F.countDistinct("doc_id").alias("n_rows"), F.countDistinct("value").alias("n_values"), F.countDistinct(F.when(F.col("drop"), F.col("doc_id"))).alias("drop_rows"))
+    """AGG-10 over serialised rows."""
+    return report(_found(_serialised(spark, sf_dir)))
 
 
-@query("ipv4_class")
-def ipv4_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PII-10: dotted quads by class; five-part numbers are none."""
-    docs = table(spark, sf_dir, "documents")
-    quads = docs.select(F.explode(P.all_matches(F.col("text"), r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)")).alias("q"))
+QUADS = [("at 192.0.2.7, 127.0.0.1 and 10.1.2.3", "documentation loopback private"), ("256.1.1.1 01.2.3.4 1.2.3.4.5 1.2.3.4.", ""), ("8.8.8.8 172.16.0.1 172.32.0.1 192.168.1.1", "private private public public"), ("169.254.1.1 198.19.0.1 203.0.113.9 255.255.255.255 0.1.2.3", "documentation private private private private")]
+
+
+@cases("ipv4_class", "text varchar, classes varchar", QUADS)
+def ipv4_class(spark: SparkSession) -> DataFrame:
+    """PII-10: dotted quads by class; five parts, a part over 255 or with a leading zero, and a full stop behind are none."""
+    of = F.array_sort(F.filter(F.transform(P.all_matches(F.col("text"), P.IPV4), P.ipv4_class), lambda c: c.isNotNull()))
+    return spark.createDataFrame([(t,) for t, _ in QUADS], "text string").select("text", F.array_join(of, " ").alias("classes"))
+
+
+@query("ipv4_counts")
+def ipv4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PII-10, AGG-28 over documents."""
+    quads = table(spark, sf_dir, "documents").select(F.explode(P.all_matches(F.col("text"), P.IPV4)).alias("q"))
     return quads.select(P.ipv4_class(F.col("q")).alias("class")).filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("n"))
+
+
+@both("secret_files")
+def secret_files(d: Spark) -> str:
+    """AGG-28: matches of each pattern by file, the four files with most of them. A file is a source's documents."""
+    parts = [f"SELECT '{k}' AS pattern, source AS file, sum({d.size(d.matches('text', v))}) AS n FROM {d.t('documents')} GROUP BY source" for k, v in P.CREDENTIALS.items()]
+    return f"""SELECT pattern, file, cast(n as bigint) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, file) AS rn FROM ({' UNION ALL '.join(parts)}) u WHERE n > 0) r WHERE rn <= 4"""
