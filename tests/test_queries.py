@@ -33,9 +33,8 @@ def test_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, told.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_all_have_an_expectation():
+    assert set(QUERIES) - set(ORACLE) == {"pii_numbers", "pii_report", "ipv4_counts", "token_batches", "global_temperature"}
 
 
 def test_entry(spark):

@@ -45,12 +45,12 @@ def positions(df: DataFrame, keys: list[str], order: str, tie: str, cells: int =
     Rows that tie in `order` share a cell: an order with few values is better given with its hash.
     """
     df = df.withColumn("_cell", cut(df, order, cells))
-    counts = df.groupBy(*keys, "_cell").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("of"))
-    below = _below(counts, keys, "_cell", ["n"])
+    counts = df.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("of"))
+    below = _below(counts, keys, "_cell", ["_n"])
     out = df.join(F.broadcast(below.join(sizes, keys) if keys else below.crossJoin(sizes)), [*keys, "_cell"])
     inside = Window.partitionBy(*keys, "_cell").orderBy(order, tie)
-    return out.withColumn("pos", F.col("before_n") + F.row_number().over(inside) - 1).drop("_cell", "before_n")
+    return out.withColumn("pos", F.col("before__n") + F.row_number().over(inside) - 1).drop("_cell", "before__n")
 
 
 def first_k(df: DataFrame, keys: list[str], seed: str, id: str, k: str, cells: int = CELLS) -> DataFrame:
@@ -60,14 +60,14 @@ def first_k(df: DataFrame, keys: list[str], seed: str, id: str, k: str, cells: i
     """
     h = F.xxhash64(F.lit(seed), F.col(id).cast("string"))
     df = df.withColumn("_h", h).withColumn("_cell", F.shiftright(F.shiftrightunsigned("_h", 1), 63 - (cells - 1).bit_length()).cast("int"))
-    counts = df.groupBy(*keys, "_cell").agg(F.count("*").alias("n"))
-    told = counts.join(_below(counts, keys, "_cell", ["n"]), [*keys, "_cell"])
+    counts = df.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    told = counts.join(_below(counts, keys, "_cell", ["_n"]), [*keys, "_cell"])
     out = df.join(told, [*keys, "_cell"])
-    whole = out.filter(F.col("before_n") + F.col("n") <= F.col(k))
-    edge = out.filter((F.col("before_n") < F.col(k)) & (F.col("before_n") + F.col("n") > F.col(k)))
+    below, n, k = F.col("before__n"), F.col("_n"), F.col(k)
+    whole, edge = out.filter(below + n <= k), out.filter((below < k) & (below + n > k))
     inside = Window.partitionBy(*keys, "_cell").orderBy(F.shiftrightunsigned("_h", 1), "_h", id)
-    edge = edge.withColumn("_r", F.row_number().over(inside)).filter(F.col("before_n") + F.col("_r") <= F.col(k)).drop("_r")
-    return whole.union(edge).drop("_h", "_cell", "n", "before_n")
+    edge = edge.withColumn("_r", F.row_number().over(inside)).filter(below + F.col("_r") <= k).drop("_r")
+    return whole.union(edge).drop("_h", "_cell", "_n", "before__n")
 
 
 def running(df: DataFrame, order: str, sums: list[str], cells: int = 256) -> DataFrame:

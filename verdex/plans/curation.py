@@ -37,19 +37,6 @@ def split_assignment(d: Spark) -> str:
   WHEN bucket < CASE WHEN src = 'gen' THEN {DEV_GEN} ELSE {DEV_OTHER} END THEN 'validation' ELSE 'train' END AS split FROM item"""
 
 
-SELECT_REASON = """CASE WHEN NOT coalesce(quality = 1, true) THEN 'disagree' WHEN id % 97 = 0 THEN 'excluded_finqa'
-  WHEN id % 89 = 0 THEN 'excluded_reserved' WHEN id % 83 = 0 THEN 'excluded_contamination' END"""
-
-
-@both("selection_reasons")
-def selection_reasons(d: Spark) -> str:
-    """FLT-01, FLT-02, FLT-09, AGG-08: one reason per rejected row, in order: agreement, exclusion, quota, target."""
-    return f"""WITH {item(d)}, r AS (SELECT *, {SELECT_REASON} AS early FROM item),
-q AS (SELECT *, CASE WHEN early IS NULL THEN row_number() OVER (PARTITION BY src, early ORDER BY ord) END AS rn FROM r),
-w AS (SELECT id, coalesce(early, CASE WHEN rn > 30 THEN 'quota' WHEN expected IS NULL THEN 'no_target' ELSE 'kept' END) AS reason FROM q)
-SELECT reason, count(*) AS n FROM w GROUP BY reason"""
-
-
 @both("quota_by_source")
 def quota_by_source(d: Spark) -> str:
     """WIN-01: running count per file and source in input order; a capped source keeps its first rows. The two languages' files have a cap each."""
@@ -144,58 +131,7 @@ def bag_union_sources(d: Spark) -> str:
 UNION ALL SELECT page_id, 'page', NULL FROM {d.t('pages')} UNION ALL SELECT item_id, 'benchmark', NULL FROM {d.t('benchmark')}) u GROUP BY kind"""
 
 
-@both("class_balance")
-def class_balance(d: Spark) -> str:
-    """SRT-06, WIN-09: per format as many items of one class as of the other."""
-    return f"""WITH {item(d)}, n AS (SELECT lang, least(sum(CASE WHEN expected = 1 THEN 1 ELSE 0 END), sum(CASE WHEN expected = 0 THEN 1 ELSE 0 END)) AS k FROM item WHERE expected IS NOT NULL GROUP BY lang),
-r AS (SELECT id, lang, expected, row_number() OVER (PARTITION BY lang, expected ORDER BY sha1(concat('7', cast(id as string))), id) AS rn FROM item WHERE expected IS NOT NULL)
-SELECT r.id, r.lang, r.expected FROM r JOIN n ON r.lang = n.lang WHERE rn <= k"""
-
-
 @both("hash_sample")
 def hash_sample(d: Spark) -> str:
     """SRT-05, SRT-08: the first 100 items in an order that the seed shuffles."""
     return f"SELECT doc_id, sha1(concat('42', cast(doc_id as string))) AS k FROM {d.t('documents')} ORDER BY k, doc_id LIMIT 100"
-
-
-@both("weighted_choice")
-def weighted_choice(d: Spark) -> str:
-    """SRT-07: an option by cumulative weight for each item's hash; weights are the sources' counts."""
-    return f"""WITH w AS (SELECT source, count(*) AS n FROM {d.t('documents')} GROUP BY source),
-c AS (SELECT source, sum(n) OVER (ORDER BY source) / sum(n) OVER () AS hi, (sum(n) OVER (ORDER BY source) - n) / sum(n) OVER () AS lo FROM w),
-u AS (SELECT doc_id, {d.hex8('cast(doc_id as string)')} / 4294967296.0 AS u FROM {d.t('documents')})
-SELECT u.doc_id, c.source AS picked FROM u JOIN c ON u.u >= c.lo AND u.u < c.hi"""
-
-
-@both("other_topic_pairs")
-def other_topic_pairs(d: Spark) -> str:
-    """JOIN-15: for each item one filler of another topic, by position in a hash order of the next topic, which is gone through again where it is shorter.
-
-    A null source is a topic. Without a second topic the filler is null.
-    """
-    return f"""WITH i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha1(cast(doc_id as string)), doc_id) AS rn FROM {d.t('documents')}),
-t AS (SELECT source, count(*) AS size FROM {d.t('documents')} GROUP BY source),
-s AS (SELECT source, size, row_number() OVER (ORDER BY source NULLS FIRST) AS k, count(*) OVER () AS n FROM t),
-o AS (SELECT s.source, x.source AS other, x.size FROM s JOIN s x ON x.k = 1 + (s.k % s.n) AND s.n > 1),
-p AS (SELECT i.doc_id, o.other, o.size IS NOT NULL AS paired, 1 + ((i.rn - 1) % o.size) AS at FROM i LEFT JOIN o ON i.source IS NOT DISTINCT FROM o.source)
-SELECT p.doc_id, i.doc_id AS filler_id, i.source AS filler_source FROM p LEFT JOIN i ON p.paired AND i.source IS NOT DISTINCT FROM p.other AND i.rn = p.at"""
-
-
-@both("dossier_pack")
-def dossier_pack(d: Spark) -> str:
-    """WIN-08: documents of a source in hash order join a dossier until the next would exceed the budget, then it closes."""
-    return f"""WITH r AS (SELECT doc_id, source, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY sha1(cast(doc_id as string)), doc_id ROWS UNBOUNDED PRECEDING) AS total FROM {d.t('documents')})
-SELECT source, count(*) AS n_docs, cast(sum(n) as bigint) AS chars FROM r WHERE total <= 21000 GROUP BY source"""
-
-
-@both("prefix_phases")
-def prefix_phases(d: Spark) -> str:
-    """WIN-10: one request per prefix first, then one per state, then the rest."""
-    return f"""WITH p AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM {d.t('conversations')})
-SELECT CASE WHEN a = 1 THEN 1 WHEN b = 1 THEN 2 ELSE 3 END AS phase, count(*) AS n FROM p GROUP BY CASE WHEN a = 1 THEN 1 WHEN b = 1 THEN 2 ELSE 3 END"""
-
-
-@both("trailing_mean")
-def trailing_mean(d: Spark) -> str:
-    """WIN-11: mean of the last 80 values."""
-    return f"SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 79 PRECEDING AND CURRENT ROW), 9) AS mean80 FROM {d.t('events')}"

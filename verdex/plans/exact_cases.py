@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from verdex.operators import calendar as C
 from verdex.operators import exact as E
 from verdex.operators import textops as X
+from verdex.plans import rules
 from verdex.plans.cases import cases
+from verdex.plans.dialect import Duck, Spark, doubles
 from verdex.plans.registry import query
 from verdex.sources.tables import table
 
@@ -266,3 +268,18 @@ def answer_check(spark: SparkSession) -> DataFrame:
     """JDG-02: a proposed answer against gold."""
     r = spark.createDataFrame([x[:2] for x in SOLVED], "proposed string, gold double")
     return r.withColumn("same", E.same_number(F.col("proposed"), F.col("gold")))
+
+
+def _windows(duck: Duck) -> str:
+    """The dates of every case, days enumerated one by one from the first date."""
+    n = duck.days("d1", "d2")
+    ahead, back = (f"len(list_filter(range(1, {sign}{n} + 1), lambda i: isodow(d1 {op} i::INT) < 6))" for sign, op in (("", "+"), ("-", "-")))
+    return doubles(f"WITH {rules.case(duck)} SELECT id, {n} AS days, CASE WHEN {n} >= 0 THEN {ahead} ELSE -{back} END AS bdays, {n} BETWEEN 0 AND 30 AS within FROM c")
+
+
+@query("date_window", _windows(Duck()))
+def date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-03: calendar and business days between two dates, within 0 to 30."""
+    c = spark.sql(doubles(f"WITH {rules.case(Spark(sf_dir))} SELECT id, d1, d2 FROM c"))
+    days = F.datediff("d2", "d1")
+    return c.select("id", days.cast("bigint").alias("days"), C.business_days(F.col("d1"), F.col("d2")).alias("bdays"), days.between(0, 30).alias("within"))

@@ -88,13 +88,6 @@ def coverage_at(d: Spark) -> str:
 SELECT target, round(coalesce(max(CASE WHEN (ok0 + okg) / (k0 + g) >= target THEN (k0 + g) / n END), 0), 8) AS coverage FROM c CROSS JOIN t GROUP BY target"""
 
 
-@both("percentile_nearest")
-def percentile_nearest(d: Spark) -> str:
-    """AGG-13: order statistics by position, three conventions of the index."""
-    return f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {d.t('events')})
-SELECT event_type, max(CASE WHEN i = floor(0.95 * (n - 1) + 0.5) THEN value END) AS p95_rounded, max(CASE WHEN i = floor(n / 2) THEN value END) AS median_upper, max(CASE WHEN i = floor(0.95 * n) THEN value END) AS p95_floor FROM r GROUP BY event_type"""
-
-
 @both("chance_level")
 def chance_level(d: Spark) -> str:
     """AGG-07: mean of 1 / options."""
@@ -165,56 +158,12 @@ def symmetric_kl(d: Spark) -> str:
     return f"WITH {dots(d)}, {dots(d, 'variant')}, {PAIR} SELECT round(sum((p - q) * (ln(greatest(p, 1e-9)) - ln(greatest(q, 1e-9)))) / 2 / count(DISTINCT id), 6) AS sym_kl FROM q"
 
 
-@both("expert_mix")
-def expert_mix(d: Spark) -> str:
-    """DEC-05, DEC-04, DEC-06: product of experts p^0.7 q^0.3 and the plain average, normalised; the top option of each."""
-    return f"""WITH {dots(d)}, {dots(d, 'variant')}, {PAIR}, w AS (SELECT id, opt, power(greatest(p, 1e-12), 0.7) * power(greatest(q, 1e-12), 0.3) AS w, (p + q) / 2 AS a FROM q),
-n AS (SELECT id, opt, round(w / sum(w) OVER (PARTITION BY id), 8) AS mixed, round(a / sum(a) OVER (PARTITION BY id), 8) AS averaged FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY mixed DESC, opt) AS rn FROM n) SELECT id, opt, round(mixed, 6) AS mixed, round(averaged, 6) AS averaged FROM r WHERE rn = 1"""
-
-
-@both("tournament_topk")
-def tournament_topk(d: Spark) -> str:
-    """SRT-04, DEC-03: options in blocks of 4, two of each go on, the best of the final wins; losers get 1e-4 and all is normalised."""
-    return f"""WITH {dots(d)}, b AS (SELECT *, floor(opt / 4) AS blk FROM p_base), k AS (SELECT *, row_number() OVER (PARTITION BY id, blk ORDER BY p DESC, opt) AS place FROM b),
-f AS (SELECT id, gold, opt, CASE WHEN place <= 2 THEN p ELSE 1e-4 END AS w FROM k), n AS (SELECT *, w / sum(w) OVER (PARTITION BY id) AS share, row_number() OVER (PARTITION BY id ORDER BY w DESC, opt) AS rn FROM f)
-SELECT id, opt AS pred, round(share, 6) AS conf FROM n WHERE rn = 1"""
-
-
-@both("shortlist")
-def shortlist(d: Spark) -> str:
-    """DEC-11, AGG-21: the five options nearest to an item, and whether gold is among them."""
-    return f"""WITH {dots(d)}, r AS (SELECT id, gold, opt, row_number() OVER (PARTITION BY id ORDER BY round(cos, 9) DESC, opt) AS rn FROM cos_base)
-SELECT id, max(CASE WHEN opt = gold THEN 1 ELSE 0 END) AS gold_in_five FROM r WHERE rn <= 5 GROUP BY id"""
-
-
 @both("answer_format")
 def answer_format(d: Spark) -> str:
     """DEC-07: a yes/no probability with its value, a score's top level with its expectation."""
     return f"""WITH {dots(d)} SELECT id, round(sum(CASE WHEN opt >= 5 THEN p ELSE 0 END), 6) AS p_yes, sum(CASE WHEN opt >= 5 THEN p ELSE 0 END) >= 0.5 AS yes, round(sum(opt * p) / sum(p), 5) AS expected_score FROM p_base GROUP BY id"""
 
 
-@both("conditional_temperature")
-def conditional_temperature(d: Spark) -> str:
-    """DEC-02: temperature from an item's length and number of options."""
-    return f"SELECT doc_id, round(exp(0.1 + 0.2 * (ln(greatest(n_chars / 3.5, 1.0)) - 6.5) - 0.1 * (ln(10.0) - 1.2)), 6) AS t FROM {d.t('documents')}"
-
-
-@both("temperature_grid_crossfit")
-def temperature_grid_crossfit(d: Spark) -> str:
-    """CAL-02: the grid temperature of least binary loss on one fold, applied to the other; ties take the first."""
-    return f"""WITH {dots(d)}, t AS (SELECT i * 0.25e0 AS t FROM (SELECT {d.explode(d.series('1', '40'))} AS i) z), f AS (SELECT id, ok, least(greatest(conf, 1e-6), 1 - 1e-6) AS c, {d.hex1('cast(id as string)')} % 2 AS fold FROM base),
-l AS (SELECT fold, t, round(-avg(CASE WHEN ok = 1 THEN ln(1 / (1 + power((1 - c) / c, 1 / t))) ELSE ln(1 - 1 / (1 + power((1 - c) / c, 1 / t))) END), 7) AS nll FROM f CROSS JOIN t GROUP BY fold, t),
-r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY nll, t) AS rn FROM l) SELECT 1 - fold AS applied_to, t, round(nll, 5) AS nll FROM r WHERE rn = 1"""
-
-
-@both("composite_score")
-def composite_score(d: Spark) -> str:
-    """AGG-18: weighted accuracy, speed on a log scale, and the geometric mean of the axes with a floor of 1."""
-    return f"""WITH {dots(d)}, a AS (SELECT 100 * (0.30 * avg(CASE WHEN task = 0 THEN cast(ok as double) END) + 0.14 * avg(CASE WHEN task = 1 THEN cast(ok as double) END) + 0.56 * avg(CASE WHEN task >= 2 THEN cast(ok as double) END)) AS acc FROM base),
-s AS (SELECT 100 - 20 * log10((2 * avg(value) / 1000 + 0.15) / 0.1) AS speed FROM {d.t('events')}) SELECT round(acc, 6) AS acc, round(speed, 6) AS speed, round(sqrt(greatest(acc, 1) * greatest(speed, 1)), 6) AS score FROM a CROSS JOIN s"""
-
-
 @both("tier_accuracy")
 def tier_accuracy(d: Spark) -> str:
     """JOIN-13: accuracy by tier of the reference list; an item without a prediction is wrong."""
@@ -232,10 +181,3 @@ SELECT len_k, depth, count(*) AS n, round(avg(cast(ok as double)), 9) AS acc, ro
 def task_rollup(d: Spark) -> str:
     """PRJ-15: subtasks under one key."""
     return f"SELECT CASE WHEN source LIKE 'src1%' THEN 'src1x' ELSE source END AS task, count(*) AS n FROM {d.t('documents')} GROUP BY CASE WHEN source LIKE 'src1%' THEN 'src1x' ELSE source END"
-
-
-@both("agree_rate")
-def agree_rate(d: Spark) -> str:
-    """AGG-27, STM-04: cumulative counts and agreement per interval."""
-    return f"""WITH e AS (SELECT floor(event_id / 500) AS k, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS hit FROM {d.t('events')}), g AS (SELECT k, count(*) AS n, sum(hit) AS hits FROM e GROUP BY k)
-SELECT cast(k as bigint) AS k, cast(sum(n) OVER (ORDER BY k) as bigint) AS total, round(sum(hits) OVER (ORDER BY k) / sum(n) OVER (ORDER BY k), 9) AS rate FROM g"""

@@ -5,21 +5,6 @@ from __future__ import annotations
 from verdex.plans.dialect import Spark, both
 
 
-@both("canonical_options")
-def canonical_options(d: Spark) -> str:
-    """PRJ-01, PRJ-03, PRJ-05: yes/no, score and choice questions as one ordered option list, probabilities aligned to it."""
-    return f"""WITH q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'noul' WHEN 1 THEN 'score' ELSE 'choice' END AS qtype, lang, source, n_chars FROM {d.t('documents')}),
-o AS (SELECT doc_id, qtype, CASE qtype WHEN 'noul' THEN {d.array("'yes'", "'no'")} WHEN 'score' THEN {d.array("'0'", "'1'", "'2'", "'3'")} ELSE {d.array('lang', 'source', "'other'")} END AS labels, n_chars FROM q)
-SELECT doc_id, qtype, {d.join('labels', '|')} AS labels, {d.size('labels')} AS n_options, {d.join(d.each('labels', 'l', "concat(l, ':', CASE WHEN l IN ('yes', '1', 'other') THEN '0.7' ELSE '0.0' END)"), ';')} AS aligned FROM o"""
-
-
-@both("options_roundtrip")
-def options_roundtrip(d: Spark) -> str:
-    """PRJ-04: options back to criteria and labels; yes/no labels are no first."""
-    return f"""WITH o AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {d.array("'yes'", "'no'")} ELSE {d.array('lang', 'source')} END AS labels, source FROM {d.t('documents')})
-SELECT doc_id, CASE WHEN {d.at('labels', '1')} = 'yes' AND {d.at('labels', '2')} = 'no' THEN 'no|yes' ELSE {d.join('labels', '|')} END AS labels, nullif(source, 'src0') AS source FROM o"""
-
-
 @both("normalize_probs")
 def normalize_probs(d: Spark) -> str:
     """PRJ-06: negatives clipped to 0, divided by the sum; no positive mass, no target."""
@@ -28,119 +13,25 @@ def normalize_probs(d: Spark) -> str:
 SELECT event_id, round({d.at('p', '1')} / nullif(z, 0), 7) AS p1, round({d.at('p', '2')} / nullif(z, 0), 7) AS p2, round({d.at('p', '3')} / nullif(z, 0), 7) AS p3 FROM s"""
 
 
-@both("item_text")
-def item_text(d: Spark) -> str:
-    """PRJ-02, PRJ-16, PRJ-26: state and instructions as one text, and its rendering with options."""
-    return f"SELECT doc_id, length(concat_ws(' ', text, 'Is the text harmful?')) AS chars, concat('Evidence: ', left(text, 40), ' Options: ', concat_ws(', ', 'true', 'false')) AS prompt FROM {d.t('documents')}"
-
-
-@both("document_key")
-def document_key(d: Spark) -> str:
-    """PRJ-20: the text before its first full stop, white space collapsed, first 600 characters."""
-    return f"SELECT doc_id, left(trim({d.replace(d.split('text', '.', 1), '[ \\t\\n\\r]+', ' ')}), 600) AS k FROM {d.t('documents')}"
-
-
-@both("state_surgery")
-def state_surgery(d: Spark) -> str:
-    """PRJ-21, FLT-08: what follows the last marker, and texts that have a decimal number."""
-    return f"SELECT doc_id, length({d.split('text', '. ', -1)}) AS tail_chars, {d.like('text', '[0-9][.][0-9]')} AS has_decimal FROM {d.t('documents')}"
-
-
-@both("number_parse")
-def number_parse(d: Spark) -> str:
-    """PRJ-22: numbers with currency and percent signs; anything else is null."""
-    return f"SELECT o_orderkey, {d.try_double(d.replace("concat('$', cast(cast(floor(o_totalprice) as bigint) as string), CASE WHEN o_orderkey % 5 = 0 THEN ' units' ELSE '%' END)", '[$%, ]', ''))} AS v FROM {d.t('orders')}"
-
-
 @both("label_slug")
 def label_slug(d: Spark) -> str:
     """PRJ-24."""
     return f"SELECT p_partkey, {d.replace('lower(p_name)', '[^a-z0-9_]', '_')} AS slug FROM {d.t('part')}"
 
 
-@both("json_span")
-def json_span(d: Spark) -> str:
-    """PRJ-25, SRC-06: the outermost JSON object inside free text, and a field of it."""
-    return f"SELECT event_id, {d.field("substr(concat('x ', props, ' y'), 3, length(props))", 'k')} AS k FROM {d.t('events')}"
-
-
-@both("haystack")
-def haystack(d: Spark) -> str:
-    """PRJ-28: a case put into filler at a depth."""
-    return f"SELECT item_id, concat(left(repeat('filler ', 20), cast(floor(140 * (item_id % 10) / 10.0) as int)), text, right(repeat('filler ', 20), 140 - cast(floor(140 * (item_id % 10) / 10.0) as int))) AS hay FROM {d.t('benchmark')}"
-
-
 @both("head_tail_truncation")
 def head_tail_truncation(d: Spark) -> str:
     """PRJ-29: 70 % head and 30 % tail around a marker."""
     return f"SELECT doc_id, CASE WHEN length(text) > 1000 THEN concat(left(text, 700), ' [...] ', right(text, 300)) ELSE text END AS cut FROM {d.t('documents')}"
 
 
-@both("option_codes")
-def option_codes(d: Spark) -> str:
-    """PRJ-27: letters A to Z, then pairs, by position."""
-    return f"SELECT c_custkey, CASE WHEN c_custkey % 702 < 26 THEN chr(cast(65 + c_custkey % 702 as int)) ELSE concat(chr(cast(65 + floor((c_custkey % 702 - 26) / 26) as int)), chr(cast(65 + (c_custkey % 702 - 26) % 26 as int))) END AS code FROM {d.t('customer')}"
-
-
 @both("rounding")
 def rounding(d: Spark) -> str:
     """PRJ-32: six places for probabilities, four for metrics."""
     return f"SELECT event_id, round(value / 7, 6) AS r6, round(value / 7, 4) AS r4 FROM {d.t('events')}"
 
 
-@both("option_spans")
-def option_spans(d: Spark) -> str:
-    """PRJ-33: where an option's text stands in a prompt."""
-    return f"SELECT doc_id, instr(concat('{{\"options\": [\"', lang, '\", \"', source, '\"]}}'), concat('\"', source, '\"')) AS at FROM {d.t('documents')}"
-
-
-@both("validator_reason")
-def validator_reason(d: Spark) -> str:
-    """FLT-05, FLT-06, FLT-10, FLT-11, SET-06: the first rule that an item fails."""
-    return f"""WITH v AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'no_state' WHEN length(text) < 80 THEN 'short_state' WHEN lang NOT IN ('en', 'fr', 'de') THEN 'language'
-  WHEN {d.like('source', '^src1[0-9]$')} AND doc_id % 3 = 1 THEN 'score_range' WHEN {d.size(d.uniq(d.array('lang', 'source', "'en'")))} < 3 THEN 'duplicate_labels' WHEN {d.like('text', '(answer|gold)')} THEN 'leak' ELSE 'ok' END AS reason FROM {d.t('documents')})
-SELECT reason, count(*) AS n FROM v GROUP BY reason"""
-
-
-@both("view_numbers_kept")
-def view_numbers_kept(d: Spark) -> str:
-    """FLT-07: share of a text's distinct numbers of three digits and more that its view keeps; 90 % are needed."""
-    nums = d.uniq(d.matches("text", "[0-9]{3,}"))
-    return f"""WITH n AS (SELECT doc_id, {nums} AS nums, left(text, 2000) AS view FROM {d.t('documents')}), k AS (SELECT doc_id, {d.size('nums')} AS n, {d.size(d.only('nums', 'x', 'instr(view, x) > 0'))} AS kept FROM n)
-SELECT doc_id, n, kept, n = 0 OR kept >= 0.9 * n AS ok FROM k"""
-
-
-@both("tolerant_dedup")
-def tolerant_dedup(d: Spark) -> str:
-    """SET-05: values closer than 0.004 to the one before them in order are one."""
-    return f"WITH v AS (SELECT DISTINCT l_discount * l_tax AS x FROM {d.t('lineitem')}), w AS (SELECT x, lag(x) OVER (ORDER BY x) AS p FROM v) SELECT round(x, 6) AS x FROM w WHERE p IS NULL OR x - p > 0.004"
-
-
 @both("html_text")
 def html_text(d: Spark) -> str:
     """SRC-08, SRC-11: pages' visible text, tags and scripts removed; the title apart."""
     return f"SELECT page_id, length({d.replace(d.replace('html', '<(script|style)[^>]*>[^<]*</(script|style)>', ' '), '<[^>]*>', ' ')}) AS chars, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {d.t('pages')}"
-
-
-@both("nested_explode")
-def nested_explode(d: Spark) -> str:
-    """SRC-07, SRC-09: one row per annotation, each kept once per document in lower case."""
-    return f"SELECT DISTINCT doc_id, lower(m) AS entity FROM (SELECT doc_id, {d.explode(d.matches('text', '[A-Z][a-z]{7,}'))} AS m FROM {d.t('documents')}) x"
-
-
-@both("exact_norm_dup")
-def exact_norm_dup(d: Spark) -> str:
-    """JOIN-03, PRJ-19: documents with one normal form (lower-case words joined by a space)."""
-    w = d.join(d.matches("lower(text)", r"[\p{L}\p{N}_]+"), " ")
-    return f"WITH n AS (SELECT doc_id, sha1({w}) AS k FROM {d.t('documents')}) SELECT k, count(*) AS n, max(doc_id) AS last_id FROM n GROUP BY k HAVING count(*) > 1"
-
-
-def key_of(d: Spark, t: str, i: str) -> str:
-    return f"SELECT {i} AS id, left(trim({d.replace('text', '[ \\t\\n\\r]+', ' ')}), 60) AS k FROM {d.t(t)}"
-
-
-@both("doc_key_antijoin")
-def doc_key_antijoin(d: Spark) -> str:
-    """JOIN-04: documents whose key no benchmark item has, and the recheck that none leaks."""
-    return f"""WITH a AS ({key_of(d, 'documents', 'doc_id')}), b AS ({key_of(d, 'benchmark', 'item_id')}), kept AS (SELECT a.id, a.k FROM a LEFT JOIN (SELECT DISTINCT k FROM b) x ON a.k = x.k WHERE x.k IS NULL),
-leak AS (SELECT count(*) AS n FROM kept JOIN b ON kept.k = b.k) SELECT count(*) AS kept, max(leak.n) AS leaks FROM kept CROSS JOIN leak"""

@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from verdex.plans import contamination, curation, metrics, privacy, projections, relational, rules, streams, suites  # noqa: F401
+    from verdex.plans import contamination, curation, curation_cases, decision_cases, exact_cases, item_cases, metrics, privacy, projections, relational, rule_cases, rules, streams, suites, text_cases  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

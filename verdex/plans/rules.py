@@ -13,18 +13,6 @@ c AS (SELECT o_orderkey AS id, o_totalprice AS total, {d.date('o_orderdate')} AS
   FROM {d.t('orders')} JOIN l ON o_orderkey = l_orderkey AND rn = 1)"""
 
 
-def business_days(d: Spark, a: str, b: str) -> str:
-    """RUL-03: Monday to Friday days after a up to b; negative if b is before a."""
-    inside = d.only(d.each(d.series("1", f"greatest(cast(abs({d.days(a, b)}) as int), 1)"), "i", d.add_days(f"least({a}, {b})", "i")), "x", f"{d.weekday('x')} < 5")
-    return f"(CASE WHEN {d.days(a, b)} = 0 THEN 0 WHEN {d.days(a, b)} > 0 THEN {d.size(inside)} ELSE -{d.size(inside)} END)"
-
-
-def nth_business_day(d: Spark, a: str, n: str) -> str:
-    """The n-th day after a that is neither on a weekend nor a holiday (1 January, 25 December, 1 May)."""
-    off = "(month(x) = 1 AND day(x) = 1 OR month(x) = 12 AND day(x) = 25 OR month(x) = 5 AND day(x) = 1)"
-    return d.at(d.only(d.each(d.series("1", "40"), "i", d.add_days(a, "i")), "x", f"{d.weekday('x')} < 5 AND NOT {off}"), n)
-
-
 def rule(name: str):
     """Register a rule over cases: its function gives the select list."""
 
@@ -46,13 +34,6 @@ def numeric_and_enum(d: Spark) -> str:
     return f"total >= 150000 AS large, status IN ('F', 'P') AS final, d2 > d1 AS later, {t} = 3 AS all_true, {t} > 0 AS any_true, {t} >= 2 AS two_true"
 
 
-@rule("date_window")
-def date_window(d: Spark) -> str:
-    """RUL-03: calendar and business days between two dates, within 0 to 30."""
-    b = business_days(d, "d1", "d2")
-    return f"cast({d.days('d1', 'd2')} as bigint) AS days, cast({b} as bigint) AS bdays, {d.days('d1', 'd2')} BETWEEN 0 AND 30 AS within"
-
-
 @rule("permit_exception")
 def permit_exception(d: Spark) -> str:
     """RUL-06: permitted by the base rule unless the exception holds."""
@@ -78,25 +59,6 @@ def risk_matrix(d: Spark) -> str:
     return "CASE WHEN prio = '1-URGENT' AND status = 'P' THEN 3 ELSE least(2, CASE WHEN total > 200000 THEN 1 ELSE 0 END + CASE WHEN disc > 0.07 THEN 1 ELSE 0 END + CASE WHEN qty > 40 THEN 1 ELSE 0 END) END AS risk"
 
 
-@rule("rulebook_first")
-def rulebook_first(d: Spark) -> str:
-    """RUL-10: the first clause that applies, and what it says; none permits."""
-    n = "CASE WHEN qty > 45 THEN 1 WHEN tax > 0.06 AND disc < 0.02 THEN 2 WHEN prio = '5-LOW' THEN 3 ELSE 0 END"
-    return f"{n} AS clause, CASE {n} WHEN 1 THEN 'forbid' WHEN 2 THEN 'permit' WHEN 3 THEN 'forbid' ELSE 'permit' END AS verdict"
-
-
-@rule("case_trace")
-def case_trace(d: Spark) -> str:
-    """RUL-11, RUL-12, PRJ-23: evaluated values as text, and the case as a line."""
-    return "concat('qty=', cast(cast(qty as bigint) as string), ' limit=', cast(k as string), ' -> ', CASE WHEN qty > k THEN 'over' ELSE 'within' END) AS trace, concat_ws('; ', concat('status: ', status), concat('priority: ', prio)) AS rendered"
-
-
-@rule("filing_deadline")
-def filing_deadline(d: Spark) -> str:
-    """TMP-01, FIN-09: n-th business day after the start without weekends and holidays."""
-    return f"{nth_business_day(d, 'd1', '(k + 1)')} AS due, {nth_business_day(d, 'd1', '2')} AS settles"
-
-
 @rule("renewal_notice")
 def renewal_notice(d: Spark) -> str:
     """TMP-03: notice is in time if so many days are left."""
@@ -122,34 +84,6 @@ def late_fee(d: Spark) -> str:
     return f"round(total * least(ceil(greatest({d.days('d1', 'd2')}, 0) / 7.0) * 1.5, 12.0) / 100, 5) AS fee"
 
 
-@both("sla_clock")
-def sla_clock(d: Spark) -> str:
-    """TMP-02: the clock runs Monday to Friday 9 to 17; minutes used between opening and resolution, and whether a day's worth is exceeded."""
-    return f"""WITH e AS (SELECT event_id, ts AS a, {d.plus_minutes('ts', '(event_id % 5000)')} AS b FROM {d.t('events')}),
-x AS (SELECT event_id, a, b, {d.explode(d.each(d.series('0', f"cast({d.days(d.date('a'), d.date('b'))} as int)"), 'i', d.add_days(d.date('a'), 'i')))} AS day FROM e),
-m AS (SELECT event_id, CASE WHEN {d.weekday('day')} < 5 THEN greatest(0, least(CASE WHEN {d.date('b')} > day THEN 1020 ELSE hour(b) * 60 + minute(b) END, 1020) - greatest(CASE WHEN {d.date('a')} < day THEN 540 ELSE hour(a) * 60 + minute(a) END, 540)) ELSE 0 END AS used FROM x)
-SELECT event_id, cast(sum(used) as bigint) AS used_minutes, sum(used) > 480 AS breach FROM m GROUP BY event_id"""
-
-
-def comb(n: str, k: str) -> str:
-    """ln of n over k by sums of logarithms of factorials (k up to 12, n up to 40 here)."""
-    fact = lambda x: "(" + " + ".join(f"CASE WHEN {x} >= {i} THEN ln({i}.0) ELSE 0 END" for i in range(2, 41)) + ")"
-    return f"({fact(n)} - {fact(k)} - {fact(f'({n} - {k})')})"
-
-
-@rule("hypergeometric")
-def hypergeometric(d: Spark) -> str:
-    """PRB-01, PRB-03: chance of no bad part in a sample of 5 from 40 with k bad, of at least one, by combinations."""
-    none = f"exp({comb('(40 - k)', '5')} - {comb('40', '5')})"
-    return f"round({none}, 7) AS p_none, round(1 - {none}, 7) AS p_some"
-
-
-@rule("reliability")
-def reliability(d: Spark) -> str:
-    """PRB-02: parts in series and parts in parallel."""
-    return "round((0.9 + k / 200.0) * (0.8 + m / 100.0), 7) AS in_series, round(1 - (1 - (0.9 + k / 200.0)) * (1 - (0.8 + m / 100.0)), 7) AS parallel"
-
-
 @rule("bayes")
 def bayes(d: Spark) -> str:
     """PRB-04: posterior of a positive test."""
@@ -157,13 +91,6 @@ def bayes(d: Spark) -> str:
     return f"round({b} * {t} / ({b} * {t} + (1 - {b}) * {f}), 7) AS posterior"
 
 
-@both("dice")
-def dice(d: Spark) -> str:
-    """PRB-05: chance of each sum of three dice, over all outcomes."""
-    side = f"SELECT {d.explode(d.series('1', '6'))} AS v"
-    return f"SELECT a.v + b.v + c.v AS total, count(*) AS ways, round(count(*) / 216.0, 9) AS p FROM ({side}) a CROSS JOIN ({side}) b CROSS JOIN ({side}) c GROUP BY a.v + b.v + c.v"
-
-
 @rule("count_classes")
 def count_classes(d: Spark) -> str:
     """PRB-06: none, one, two or more; the last is what the rounded others leave."""
@@ -191,12 +118,6 @@ def debt_to_income(d: Spark) -> str:
     return "price / total <= 0.36 AND k >= 3 AND m <> 0 AS approved"
 
 
-@rule("three_way_match")
-def three_way_match(d: Spark) -> str:
-    """FIN-04: quantity first, then the price's variance."""
-    return "CASE WHEN qty > 30 + k THEN 'quantity' WHEN abs(unit - 1000 - 50 * m) / 1000 > 0.5 THEN 'price' ELSE 'match' END AS outcome"
-
-
 @both("structuring_window")
 def structuring_window(d: Spark) -> str:
     """FIN-05, WIN-05: three deposits in the band within 5 days of a deposit, per user."""
@@ -235,45 +156,12 @@ def margin_call(d: Spark) -> str:
     return "price - total * 0.2 < 0.25 * price AS called"
 
 
-@both("pattern_day_trader")
-def pattern_day_trader(d: Spark) -> str:
-    """TRD-02: four day trades within five days and over 6 % of all."""
-    return f"""WITH e AS (SELECT user_id, {d.days("DATE '2024-01-01'", d.date('ts'))} AS day, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS t FROM {d.t('events')}),
-w AS (SELECT user_id, t, sum(t) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM e)
-SELECT user_id, max(n) >= 4 AND avg(cast(t as double)) > 0.06 AS flagged FROM w GROUP BY user_id"""
-
-
-@both("wash_sale")
-def wash_sale(d: Spark) -> str:
-    """TRD-03: a purchase of the same customer within 30 days either side; both neighbours in date order tell."""
-    return f"""WITH o AS (SELECT o_orderkey, o_custkey, {d.date('o_orderdate')} AS day FROM {d.t('orders')}),
-w AS (SELECT o_orderkey, day, lag(day) OVER (PARTITION BY o_custkey ORDER BY day, o_orderkey) AS p, lead(day) OVER (PARTITION BY o_custkey ORDER BY day, o_orderkey) AS n FROM o)
-SELECT o_orderkey, coalesce({d.days('p', 'day')} <= 30, false) OR coalesce({d.days('day', 'n')} <= 30, false) AS wash FROM w"""
-
-
 @rule("price_band")
 def price_band(d: Spark) -> str:
     """TRD-04: 20, 10 or 5 percent by reference price, with room for rounding."""
     return "abs(unit - 1400) <= 1400 * CASE WHEN unit < 1000 THEN 0.2 WHEN unit < 1500 THEN 0.1 ELSE 0.05 END + 1e-9 AS inside"
 
 
-def ordered(d: Spark) -> str:
-    return f"q AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM {d.t('events')})"
-
-
-@both("limit_fill")
-def limit_fill(d: Spark) -> str:
-    """TRD-08, WIN-06: the first quote at or under the limit."""
-    return f"WITH {ordered(d)} SELECT user_id, min(CASE WHEN value <= 5 THEN pos END) AS filled_at FROM q GROUP BY user_id"
-
-
-@both("stop_fill")
-def stop_fill(d: Spark) -> str:
-    """TRD-05, WIN-06: the first bar under the stop fills at the stop, or at its open if it gaps."""
-    return f"""WITH {ordered(d)}, b AS (SELECT user_id, pos, value AS open, least(value, lead(value, 1, value) OVER (PARTITION BY user_id ORDER BY pos)) AS low FROM q),
-f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rn FROM b WHERE low <= 10) SELECT user_id, pos, CASE WHEN open <= 10 THEN open ELSE 10 END AS price FROM f WHERE rn = 1"""
-
-
 @rule("accrued_interest")
 def accrued_interest(d: Spark) -> str:
     """TRD-06: actual/360, actual/365, 30E/360."""
@@ -288,53 +176,14 @@ def issuer_concentration(d: Spark) -> str:
     return "(price + k * 1000) / total <= 0.25 + 1e-12 AS allowed"
 
 
-@rule("incoterm_risk")
-def incoterm_risk(d: Spark) -> str:
-    """TRD-09: risk is the buyer's once the event's stage reaches the term's."""
-    return "CASE WHEN m >= k % 7 THEN 'buyer' ELSE 'seller' END AS bears"
-
-
 @rule("lc_presentation")
 def lc_presentation(d: Spark) -> str:
     """TRD-10: documents by the earlier of shipment plus days and expiry."""
     return f"{d.add_days('d1', '(k + m)')} <= least({d.add_days('d2', '21')}, {d.add_days('d1', '90')}) AS compliant"
 
 
-@rule("tax_treatment")
-def tax_treatment(d: Spark) -> str:
-    """TRD-11, TRD-12: reverse charge across borders between businesses; one tax between states, two halves inside one."""
-    return "CASE WHEN k < 6 AND status = 'F' THEN 'reverse_charge' ELSE 'charge' END AS vat, CASE WHEN m > 3 THEN round(price * 0.18, 4) ELSE 0 END AS igst, CASE WHEN m > 3 THEN 0 ELSE round(price * 0.09, 4) END AS cgst"
-
-
-@both("sanctions_screening")
-def sanctions_screening(d: Spark) -> str:
-    """TRD-13: name and birth agree: match; name only: false positive. Names are customers', the list every 50th of them."""
-    return f"""WITH l AS (SELECT c_name AS name, c_nationkey AS dob FROM {d.t('customer')} WHERE c_custkey % 50 = 0)
-SELECT c.c_custkey, CASE WHEN l.name IS NULL THEN 'clear' WHEN l.dob = (c.c_nationkey + CASE WHEN c.c_custkey % 100 = 0 THEN 1 ELSE 0 END) THEN 'match' ELSE 'false_positive' END AS outcome FROM {d.t('customer')} c LEFT JOIN l ON c.c_name = l.name"""
-
-
-@rule("suitability")
-def suitability(d: Spark) -> str:
-    """TRD-14."""
-    return "m <= k % 5 AND qty >= k AS suitable"
-
-
 @both("night_limit")
 def night_limit(d: Spark) -> str:
     """TRD-15: running sum of transfers between 20:00 and 06:00 within the limit."""
     return f"""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN hour(ts) >= 20 OR hour(ts) < 6 THEN value ELSE 0 END AS v FROM {d.t('events')})
 SELECT event_id, round(sum(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) <= 500 AS allowed FROM e"""
-
-
-@rule("chargeback_window")
-def chargeback_window(d: Spark) -> str:
-    """TRD-16: days from the base date of the rule."""
-    base = "CASE WHEN flag = 'R' THEN d2 ELSE d1 END"
-    return f"{d.days(base, d.add_days('d1', '(k * 12)'))} <= 120 AS in_window"
-
-
-@rule("answer_check")
-def answer_check(d: Spark) -> str:
-    """JDG-01, JDG-02: a number perturbed one of three ways, dropped where it prints like the right one; equal within 1e-6."""
-    w = "CASE k % 3 WHEN 0 THEN total * 1.1 WHEN 1 THEN total + 10 ELSE -total END"
-    return f"round({w}, 4) AS wrong, round({w}, 4) = round(total, 4) AS dropped, abs({w} - total) < 1e-6 AS equal"

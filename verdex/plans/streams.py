@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdex.operators import decisions
+from verdex.plans.cases import cases
 from verdex.plans.registry import query
 from verdex.sources.tables import table
 from verdex.streaming import jobs
@@ -21,13 +22,33 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("stream_windows", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time windows as a stream in complete mode."""
-    return jobs.drain(spark, jobs.windowed_counts(stream(spark, sf_dir, "events")), f"w{uuid.uuid4().hex}", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return jobs.drain(spark, jobs.windowed_counts(stream(spark, sf_dir, "events")), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_sessions", "SELECT conv_id, cast(sum(length(text)) as bigint) AS state_chars, count(*) AS appends FROM conversations GROUP BY conv_id")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-05 as a stream: the state of each session after all appends."""
-    return jobs.drain(spark, jobs.append_sessions(stream(spark, sf_dir, "conversations")), f"s{uuid.uuid4().hex}", "complete")
+    """STM-05 as a stream of appends: the state of each session after all of them."""
+    return jobs.drain(spark, jobs.append_sessions(stream(spark, sf_dir, "conversations")), "complete")
+
+
+@query("metrics_stream", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS labelled, count(*) FILTER (event_type = 'click') AS agreed FROM events GROUP BY 1")
+def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-04, AGG-27: labelled rows and those that agree, by interval, as a stream."""
+    rows = stream(spark, sf_dir, "events").select("ts", (F.col("event_type") == "click").alias("agree"))
+    return jobs.drain(spark, jobs.agreement(rows), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+REQUESTS = [
+    ("a", 0, "append", "lost", 404, None, None), ("a", 1, "create", "one ", 200, 4, None), ("a", 2, "append", "two", 200, 7, None), ("a", 3, "evaluate", "o", 200, 7, "2"), ("a", 4, "append", None, 200, 7, None), ("a", 5, "rename", "x", 404, None, None),
+    ("a", 6, "delete", None, 200, None, None), ("a", 7, "delete", None, 404, None, None), ("a", 8, "evaluate", "x", 404, None, None), ("a", 9, "create", "é", 200, 1, None), ("b", 1, "create", None, 200, 0, None), ("b", 2, "create", "new", 200, 3, None), ("c", 1, "delete", None, 404, None, None),
+]
+
+
+@cases("session_requests", "session varchar, seq bigint, op varchar, status int, chars bigint, answer varchar", [(s, k, o, *x) for s, k, o, _, *x in REQUESTS])
+def session_requests(spark: SparkSession) -> DataFrame:
+    """STM-05: create, append, evaluate and delete; unknown sessions and ops, a second delete, a session made again."""
+    rows = spark.createDataFrame([x[:4] for x in REQUESTS], "session string, seq bigint, op string, text string")
+    return jobs.session_log(rows.repartition(3), lambda text, question: str(text.count(question)))
 
 
 @query("token_batches")
@@ -36,27 +57,35 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.token_batches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"))
 
 
-@query("pluggable_scorer")
-def pluggable_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UDF-01: the default scorer, which prefers shorter options."""
+def shorter(states: list[str], questions: list[list[list[str]]]) -> list[list[list[float]]]:
+    """The default scorer: shorter options are likelier, whatever the state."""
+    weights = [[[1 / (1 + len(x)) for x in o] for o in q] for q in questions]
+    return [[[round(w / sum(o), 6) for w in o] for o in q] for q in weights]
 
-    def dist(options: list[str]) -> list[float]:
-        w = [1 / (1 + len(o)) for o in options]
-        return [round(x / sum(w), 6) for x in w]
 
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source", F.lit("other")).alias("options"))
-    return jobs.score_options(items, dist).select("id", F.array_join(F.transform("probs", lambda p: p.cast("string")), ",").alias("probs"))
+@query("pluggable_scorer", """WITH o AS (SELECT doc_id AS id, [[lang, source, 'other'], ['yes', 'no']] AS q FROM documents), w AS (SELECT id, list_transform(q, lambda o: list_transform(o, lambda x: 1.0::DOUBLE / (1 + length(x)))) AS w FROM o)
+SELECT id, array_to_string(list_transform(w, lambda o: array_to_string(list_transform(o, lambda x: format('{:.6f}', round(x / list_sum(o), 6))), ',')), ';') AS probs FROM w""")
+def pluggable_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-01, DEC-08: two questions on each state, by the default scorer."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("state"), F.array(F.array("lang", "source", F.lit("other")), F.array(F.lit("yes"), F.lit("no"))).alias("questions"))
+    each = lambda a: F.array_join(F.transform(a, lambda p: F.format_string("%.6f", p)), ",")
+    return jobs.decide(items, shorter).select("id", F.array_join(F.transform("probs", each), ";").alias("probs"))
 
 
 @query("global_temperature")
 def global_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CAL-01: the one temperature of least weighted loss; loss sums are aggregated per grid point, then the grid is refined (no row leaves the executors)."""
-    log = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select((F.length("text") % 97 / 97.0 * 4 - 2).alias("z"), F.col("quality").alias("y"), F.when(F.col("toxic") == 1, 3.0).otherwise(1.0).alias("w"))
-    low, high = 0.25, 10.0
-    for _ in range(4):
-        grid = [low + (high - low) * i / 20 for i in range(21)]
-        loss = [F.sum(F.col("w") * F.log1p(F.exp(-(2 * F.col("y") - 1) * F.col("z") / F.lit(t)))).alias(f"t{i}") for i, t in enumerate(grid)]
-        told = log.agg(*loss).first()
-        best = min(range(21), key=lambda i: (told[i], i))
-        low, high = grid[max(0, best - 1)], grid[min(20, best + 1)]
-    return spark.createDataFrame([(round((low + high) / 2, 4),)], "temperature double")
+    """CAL-01: b and w of the temperature, single and by features, from a dev log of at most 2,000 items (numeric: no SQL).
+
+    The log: embeddings' first four numbers as logits of four options, gold by label. It goes to one task, as a dev split does.
+    """
+    e = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(2000)
+    log = e.select(
+        F.transform(F.slice("embedding", 1, 4), lambda x: 3 * x.cast("double")).alias("logits"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i == F.col("label") % 4).cast("double")).alias("target"),
+        (50 + F.col("vec_id") % 900).alias("n_tok"), F.lit(4).alias("n_opts"), F.when(F.col("label") % 2 == 0, "choice").otherwise("score").alias("qtype"), F.when(F.col("label") == 3, "hard").otherwise("easy").alias("difficulty"), F.lit("gen").alias("src"),
+    )
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        told = [decisions.fit_temperature(rows, f) for f in (False, True)]
+        return pd.DataFrame([(("global", "features")[k], round(b, 6), [round(x, 6) for x in w]) for k, (b, w) in enumerate(told)], columns=["mode", "b", "w"])
+
+    return log.withColumn("split", F.lit(1)).groupBy("split").applyInPandas(fit, "mode string, b double, w array<double>").select("mode", "b", F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.operators import rules
+from verdex.operators import rules, suites
 from verdex.plans.curation import item
 from verdex.plans.dialect import Spark, both
 from verdex.plans.metrics import dots
@@ -13,16 +13,6 @@ from verdex.plans.registry import query
 from verdex.sources.tables import table
 
 
-@both("suite_items")
-def suite_items(d: Spark) -> str:
-    """SUI-01, SRT-01: rows of four tables in the suite's shape, in id order; a row without an answer is left out."""
-    return f"""SELECT id, task, lang, length(state) AS state_chars, labels, expected FROM (
-SELECT concat('doc-', cast(d.doc_id as string)) AS id, 'toxicity' AS task, lang, text AS state, 'no|yes' AS labels, CASE l.toxic WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS expected FROM {d.t('documents')} d LEFT JOIN {d.t('labels')} l ON d.doc_id = l.doc_id
-UNION ALL SELECT concat('conv-', cast(conv_id as string), '-', cast(turn as string)), 'role', NULL, text, 'system|user|assistant', role FROM {d.t('conversations')}
-UNION ALL SELECT concat('event-', cast(event_id as string)), 'event', NULL, props, 'type', event_type FROM {d.t('events')}
-UNION ALL SELECT concat('order-', cast(o_orderkey as string)), 'status', NULL, o_orderpriority, 'F|O|P', o_orderstatus FROM {d.t('orders')}) s WHERE expected IS NOT NULL ORDER BY id"""
-
-
 @both("option_permutation")
 def option_permutation(d: Spark) -> str:
     """TRN-01: each item's options in an order that a hash of item and option gives."""
@@ -41,20 +31,6 @@ def shortest_n(d: Spark) -> str:
     return f"""SELECT doc_id, n_chars FROM {d.t('documents')} WHERE doc_id IN (3, 5, 8) UNION ALL SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars FROM {d.t('documents')} WHERE doc_id NOT IN (3, 5, 8) ORDER BY n_chars, doc_id LIMIT 20) x"""
 
 
-@both("tail_spread")
-def tail_spread(d: Spark) -> str:
-    """DEC-06: options that a top-4 readout leaves out share what mass is left."""
-    return f"""WITH {dots(d)}, t AS (SELECT id, opt, CASE WHEN rn <= 4 THEN p END AS p FROM r_base), s AS (SELECT id, sum(p) AS seen, sum(CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS k FROM t GROUP BY id)
-SELECT t.id, t.opt, round(coalesce(t.p, (1 - s.seen) / s.k), 7) AS p FROM t JOIN s ON t.id = s.id"""
-
-
-@both("image_lifting")
-def image_lifting(d: Spark) -> str:
-    """PRJ-30: data URIs in a text become [image], and how many there were."""
-    text = "concat('see data:image/png;base64,AAAA', cast(page_id as string), '== and ', url)"
-    return f"SELECT page_id, {d.replace(text, 'data:image/[a-z]+;base64,[A-Za-z0-9+/=]+', '[image]')} AS lifted, {d.size(d.matches(text, 'data:image/[a-z]+;base64,[A-Za-z0-9+/=]+'))} AS images FROM {d.t('pages')}"
-
-
 CLAUSES = [
     ([("o_orderpriority", "=", "1-URGENT"), ("o_totalprice", ">", 100000)], "desk_a"),
     ([("o_orderstatus", "in", ("F",))], "archive"),
@@ -82,3 +58,37 @@ def grouped_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.groupBy(key.alias("k")).agg(F.round(F.avg(F.when(where, value)), 6).alias("v"))
 
     return metric(table(spark, sf_dir, "part"), F.col("p_brand"), F.col("p_retailprice"), F.col("p_size") > 10)
+
+
+def _suite(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    t = lambda name: table(spark, sf_dir, name)
+    c = F.col
+    orders = t("orders")
+    return suites.build({
+        "toxicity": lambda: suites.yes_no(t("documents").join(t("labels"), "doc_id"), "toxicity", c("doc_id"), F.concat(F.lit("Passage:\n"), "text"), F.concat(F.lit("Is this harmful? Language: "), "lang"), c("toxic") == 1),
+        "roles": lambda: suites.classes(t("conversations"), "roles", F.concat_ws("-", "conv_id", "turn"), c("text"), "Who speaks?", c("role"), ["system", "user", "assistant"]),
+        "urgent": lambda: suites.classes(orders.withColumn("a", F.when(c("o_orderpriority") == "1-URGENT", " Yes").otherwise("no")), "urgent", c("o_orderkey"), c("o_orderpriority"), "Is it urgent?", c("a"), ["yes", "no"]),
+        "nations": lambda: suites.intents(t("customer").filter("c_nationkey < 25"), "nations", c("c_custkey"), c("c_name"), c("c_nationkey") % 3, ["Card Lost", "top_up", "E-mail"]),
+        "parts": lambda: suites.options(t("part"), "parts", c("p_partkey"), c("p_name"), "Which brand?", F.array("p_type", "p_brand"), F.lit(1)),
+        "better": lambda: suites.pairs(t("benchmark").filter("text IS NOT NULL"), "better", c("item_id"), F.lit("Say it."), c("text"), F.reverse("text")),
+        "absent_table": lambda: suites.yes_no(t("no_such_table"), "absent_table", c("id"), c("x"), "?", c("y")), "absent_column": lambda: suites.yes_no(t("part"), "absent_column", c("id"), c("x"), "?", c("y")),
+    })
+
+
+@query("suite_items", """WITH d AS (SELECT concat('toxicity-', doc_id) AS id, 'toxicity' AS task, concat('Passage:', chr(10), text) AS state, 'no|yes' AS labels, CASE toxic WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS expected FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT concat('roles-', conv_id, '-', turn), 'roles', text, 'system|user|assistant', role FROM conversations
+UNION ALL SELECT concat('urgent-', o_orderkey), 'urgent', o_orderpriority, 'no|yes', CASE WHEN o_orderpriority = '1-URGENT' THEN 'yes' ELSE 'no' END FROM orders
+UNION ALL SELECT concat('nations-', c_custkey), 'nations', concat('Customer message: ', c_name), 'card_lost|top_up|e_mail', ['card_lost', 'top_up', 'e_mail'][c_nationkey % 3 + 1] FROM customer
+UNION ALL SELECT concat('parts-', p_partkey), 'parts', p_name, 'option_a|option_b', 'option_b' FROM part)
+SELECT id, task, length(state) AS state_chars, labels, expected FROM d WHERE expected IS NOT NULL
+UNION ALL SELECT concat('better-', item_id), 'better', 14 + 7 + 14 * 2 + 2 * length(text), 'response_a|response_b', CASE WHEN CAST(concat('0x', right(sha1(concat('11:', item_id)), 1)) AS INT) % 2 = 0 THEN 'response_a' ELSE 'response_b' END FROM benchmark WHERE text IS NOT NULL""")
+def suite_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SUI-01, SRT-01: six builders over unlike tables; two more fail and are left out."""
+    suite, _ = _suite(spark, sf_dir)
+    return suite.select("id", "task", F.length("state").cast("bigint").alias("state_chars"), F.array_join("labels", "|").alias("labels"), "expected")
+
+
+@query("suite_skipped", "SELECT * FROM (VALUES ('absent_table'), ('absent_column')) AS t(task)")
+def suite_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SUI-01: the tasks that were left out."""
+    return spark.createDataFrame([(x,) for x in _suite(spark, sf_dir)[1]], "task string")
