@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdex.llm import chat_format, decontaminate, exact_dedup, kneser_ney, ngram_join, pii, sentencepiece_codec, sharding, suffix_array, suffix_dedup, textvec, toxicity
+from verdex.llm import components as components_module
 from verdex.llm.components import components
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -209,7 +210,9 @@ def test_tree_join_is_exact():
     assert got.tolist() == [find(i) for i in range(len(sets))]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per", [250_000, 0])
+def test_components(spark, monkeypatch, per):
+    monkeypatch.setattr(components_module, "PER_PARTITION", per)  # 0: in rounds
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 3), (200, 150), (150, 199)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 150: 150, 199: 150, 200: 150}

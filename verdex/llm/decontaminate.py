@@ -25,7 +25,7 @@ BLOCK = 32
 MIN_OVERLAP = 0.8
 GRAM = 5
 #: Bytes of test items per index file. A worker holds one at a time, and IN_HAND bytes of texts that meet them in turn.
-INDEX_BYTES, IN_HAND = 8 << 20, 1 << 25
+INDEX_BYTES, IN_HAND = 8 << 20, 1 << 23
 #: Ranges of items, at most, for which all passages of a batch are bounded at once before any is searched.
 RANGES = 64
 
@@ -320,7 +320,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), *((x, pa.float64()) for x in ("bm25", "whole", "question", "answer"))]))
         index = Index.load(path, 0) if shards == 1 else None
-        for held in _in_hand(slices(batches)):
+        for held in _in_hand(slices(batches, most=1 << 20)):
             found = [[[] for _ in range(b.num_rows)] for b in held]
             for k in range(shards):
                 index = index if shards == 1 else Index.load(path, k)
@@ -348,7 +348,7 @@ def _in_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each item's distinct terms, and one row without a term that has its number of words; items without words have none."""
-    for b in slices(batches):
+    for b in slices(batches, most=1 << 20):
         w = textvec.words(lowered(b.column(1)), textvec.ALNUM)
         part, n = b.column(0).to_numpy(), np.diff(w.first)
         row, at = np.unique(w.row, return_index=True)

@@ -51,7 +51,7 @@ def shingle_sets(col: pa.Array, size: int = 5) -> list[np.ndarray]:
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 20):
             sets = shingle_sets(b.column(1), size)
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "set_id"])
@@ -63,7 +63,7 @@ def _pack(size: int, shards: int):
     """Shingles by shard: of each slice of texts and each shard, set ids, set sizes, counts and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 20):
             sets = {hashlib.blake2b(s.tobytes(), digest_size=16).digest(): s for s in shingle_sets(b.column(1), size) if len(s)}
             if not sets:
                 continue

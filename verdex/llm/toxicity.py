@@ -118,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
         return h, *(np.bincount(at, np.concatenate([x[k] for x in held]), len(h)).astype(np.int64) for k in (1, 2))
 
-    for b in slices(batches):
+    for b in slices(batches, most=1 << 20):
         y = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         row, h = features(b.column(0))
         _, at = np.unique(h, return_inverse=True)
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, steps: int = 200) -> Model:
     shared = np.intersect1d(hashes, np.concatenate(list(_terms().values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 20):
             row, at = chosen_features(b.column(0), hashes)
             ends = np.searchsorted(row, np.arange(len(b) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1)))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
@@ -272,7 +272,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 20):
             text = b.column(b.schema.get_field_index("text"))
             yield b.filter(pa.array(model.scores(text) < threshold))
 
