@@ -27,7 +27,9 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 SPACE = "\u2581"
 #: Units that a worker remembers with their ids, and neighbours that it remembers as allowed or not.
-UNITS, PAIRS = 1 << 19, 1 << 20
+UNITS, PAIRS = 1 << 18, 1 << 20
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 START, UNKNOWN = -1, -2
 _codecs: dict[str, Codec] = {}
 
@@ -309,7 +311,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, out: str = "ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for b in slices(batches, most=1 << 21):
+        for b in slices(batches, most=SLICE):
             ids = codec.encode(b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
 
@@ -340,7 +342,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for b in slices(batches, most=1 << 21):
+        for b in slices(batches, most=SLICE):
             ids = codec.encode(b.column(1))
             flat, off = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
             told = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(off[:-1], off[1:], strict=True)]
