@@ -27,9 +27,9 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 SPACE = "\u2581"
 #: Units that a worker remembers with their ids, and neighbours that it remembers as allowed or not.
-UNITS, PAIRS = 1 << 18, 1 << 20
+UNITS, PAIRS = 1 << 19, 1 << 20
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 21
 START, UNKNOWN = -1, -2
 _codecs: dict[str, Codec] = {}
 
@@ -74,6 +74,7 @@ class Codec:
     """Encoder and decoder of one worker, with what it remembers."""
 
     v: Vocabulary
+    most: int = UNITS
     units: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, _U), np.zeros(1, np.int64), np.zeros(0, np.int32)))
 
     def __post_init__(self) -> None:
@@ -254,7 +255,7 @@ class Codec:
             char = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
             fresh = first_of[new]
             ids = self._fresh(codes, char[start[fresh]], char[end[fresh]])
-            if len(known) + len(ids) > UNITS:  # forget what earlier slices had, but not this one's
+            if len(known) + len(ids) > self.most:  # forget what earlier slices had, but not this one's
                 old = np.unique(pos[~new])
                 kept = [values[at[i] : at[i + 1]] for i in old]
                 all_keys, lists = np.concatenate([known[old], keys[new]]), kept + ids
@@ -300,18 +301,20 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - at, size)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, out: str = "ids", most: int = UNITS // 2) -> DataFrame:
     """docs with the ids of its column text as an array column `out` (an existing column of that name is replaced).
 
     A null or empty text has an empty array. White space is kept; U+2581 counts as a space, as in the library. Rows repeat
-    and tie freely; an empty table gives no rows. No shuffle; a task streams slices and remembers UNITS units at most.
+    and tie freely; an empty table gives no rows. No shuffle; a task streams slices and remembers `most` units:
+    half of what a pass on its own takes, as this one shares its executors' memory with what stands before it.
     """
     kept = docs.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for b in slices(batches, most=SLICE):
+        codec.most = most
+        for b in slices(batches, most=SLICE // 2):
             ids = codec.encode(b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
 
@@ -342,6 +345,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
+        codec.most = UNITS
         for b in slices(batches, most=SLICE):
             ids = codec.encode(b.column(1))
             flat, off = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
