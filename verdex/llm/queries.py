@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdex.llm import chat_format, decontaminate, divergence, exact_dedup, kneser_ney, ngram_join, pii, sentencepiece_codec, sharding, stages, suffix_dedup, toxicity
+from verdex.llm import chat_format, decontaminate, divergence, exact_dedup, kneser_ney, ngram_join, packing, pii, sentencepiece_codec, sharding, stages, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_packing": packing.op11_packing,
         "op12_divergence": divergence.op12_divergence,
         "pipeline": stages.run,
     }
