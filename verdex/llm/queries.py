@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdex.llm import chat_format, decontaminate, divergence, exact_dedup, kneser_ney, ngram_join, packing, pii, sentencepiece_codec, sharding, stages, suffix_dedup, toxicity
+from verdex.llm import chat_format, decontaminate, divergence, exact_dedup, importance, kneser_ney, ngram_join, packing, pii, sentencepiece_codec, sharding, stages, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_packing": packing.op11_packing,
         "op12_divergence": divergence.op12_divergence,
+        "op13_importance": importance.op13_importance,
         "pipeline": stages.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op12_divergence": divergence.ORACLE}
+    return {"op5_chat_format": chat_format.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op12_divergence": divergence.ORACLE, "op13_importance": importance.ORACLE}
