@@ -77,8 +77,9 @@ def divergence(docs: DataFrame, least_docs: int = 3, alpha: int = 1, top: int =
     spread = groups.select("lang", "source", "group", "total", "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dense = words.select("lang", "term", salt("term").alias("salt")).join(spread, ["lang", "salt"]).join(counts, ["lang", "source", "term"], "left")
     dense = dense.select("lang", "term", "group", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("v"), alpha).alias("p"))
-    other = dense.select("lang", "term", F.col("group").alias("other"), F.col("p").alias("q"))
-    sums = dense.join(other, ["lang", "term"]).filter("group <> other").groupBy("lang", "group", "other").agg(F.sum(excess(F.col("p"), F.col("q"))).alias("value"))
+    # by aliases and not by new names, so that both sides are one exchange
+    both = dense.alias("a").join(dense.alias("b"), ["lang", "term"]).filter("a.group <> b.group")
+    sums = both.groupBy("lang", F.col("a.group").alias("group"), F.col("b.group").alias("other")).agg(F.sum(excess(F.col("a.p"), F.col("b.p"))).alias("value"))
     named = groups.select("lang", "source", "group")
     pairs = named.join(named.select("lang", F.col("source").alias("item"), F.col("group").alias("other")), "lang").filter("group <> other")
     pairs = pairs.join(sums, ["lang", "group", "other"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
