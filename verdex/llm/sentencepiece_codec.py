@@ -2,7 +2,7 @@
 
 Texts are cut into units (spaces and the word after them; no piece crosses a unit). Distinct units of equal length advance
 together, one character a step: hashes of all substrings that end there probe the sorted piece keys, and the best way in is
-kept with a backpointer. For a unigram vocabulary the best way has the largest sum of scores. For a BPE vocabulary it must
+kept with a backpointer. Keys of all ends of pieces are probed, short ones first, so a text that ends no piece goes no further. For a unigram vocabulary the best way has the largest sum of scores. For a BPE vocabulary it must
 also be what merging gives: a segmentation is that of BPE exactly if BPE leaves each two adjacent pieces of it apart, so the
 lattice allows only such neighbours, and one way is left. Ids equal those of the SentencePiece library for either kind.
 """
@@ -30,6 +30,8 @@ SPACE = "\u2581"
 UNITS, PAIRS = 1 << 19, 1 << 20
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 21
+#: Units of more characters are cut where no piece can cross, and what is longer than WINDOW then, into windows that overlap.
+LONG, WINDOW, OVERLAP = 48, 256, 64
 START, UNKNOWN = -1, -2
 _codecs: dict[str, Codec] = {}
 
@@ -81,10 +83,21 @@ class Codec:
         v = self.v
         self.of = {p: i for i, p in enumerate(v.pieces) if v.plain[i]}
         self.longest = max(map(len, self.of), default=1)
-        ids = np.array(list(self.of.values()))
-        keys = np.array([self._key(np.array([[ord(c) for c in p]], _U))[0] for p in self.of], _U)
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in self.of for a, b in zip(p[:-1], p[1:], strict=True)} | {-1}), np.int64)
+        ends: dict[str, int] = {}  # every end of a piece: the piece that it is itself, or -1
+        for x, i in self.of.items():
+            for k in range(1, len(x)):
+                ends.setdefault(x[k:], -1)
+            ends[x] = i
+        keys = np.zeros(len(ends), _U)
+        for width in range(1, self.longest + 1):
+            of = np.array([k for k, x in enumerate(ends) if len(x) == width], np.int64)
+            if len(of):
+                text = "".join(x for x in ends if len(x) == width)
+                keys[of] = self._key(np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, width).astype(_U))
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], ids[order]
+        self.keys, self.ids = keys[order], np.fromiter(ends.values(), np.int64, len(ends))[order]
+        self.near: dict[int, bool] = {}
         self.pair_key, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.whole = np.array([not v.bpe or bool(v.plain[i]) and self.merge(p) == [p] for i, p in enumerate(v.pieces)])
         self.worst = float(v.scores[v.plain].min()) - 10 if v.plain.any() else -10.0
@@ -123,11 +136,12 @@ class Codec:
         if left < 0 or not self.v.bpe:
             return bool(self.whole[right])
         key = left * len(self.v.pieces) + right
-        slot = int(textvec.mix(np.array([key], _U))[0]) & (PAIRS - 1)
-        if self.pair_key[slot] != key:
+        if key not in self.near:
+            if len(self.near) >= PAIRS // 4:
+                self.near.clear()
             a, b = self.v.pieces[left], self.v.pieces[right]
-            self.pair_key[slot], self.pair_ok[slot] = key, self.merge(a + b) == [a, b]
-        return bool(self.pair_ok[slot])
+            self.near[key] = self.merge(a + b) == [a, b]
+        return self.near[key]
 
     def allowed_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """allowed() of many pairs of piece ids, through a direct-mapped table."""
@@ -163,25 +177,30 @@ class Codec:
         best = np.zeros((n, length + 1))
         for end in range(1, length + 1):
             best[:, end] = -np.inf
-            for width in range(min(self.longest, end), 0, -1):  # of equal sums, the longest last piece
-                h = sums[:, end] - sums[:, end - width] * power[width]
+            rows = np.arange(n)
+            for width in range(1, min(self.longest, end) + 1):
+                h = sums[rows, end] - sums[rows, end - width] * power[width]
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 known = self.keys[at] == h
-                piece = np.where(known, self.ids[at], UNKNOWN)
-                rows = np.flatnonzero(known)
-                if len(rows):
-                    rows = rows[self.allowed_all(last[rows, end - width], piece[rows])]
-                total = best[rows, end - width] + self.v.scores[piece[rows]]
+                piece = np.where(known, self.ids[at], -1)
                 if width == 1:
-                    odd = np.flatnonzero(~known)
-                    rows, total = np.concatenate([rows, odd]), np.concatenate([total, best[odd, end - 1] + self.worst])
-                better = total > best[rows, end]
-                rows = rows[better]
-                best[rows, end], last[rows, end], back[rows, end] = total[better], piece[rows], width
+                    odd = rows[piece < 0]
+                    best[odd, end], last[odd, end], back[odd, end] = best[odd, end - 1] + self.worst, UNKNOWN, 1
+                is_piece = np.flatnonzero(piece >= 0)
+                own, piece = rows[is_piece], piece[is_piece]
+                ok = self.allowed_all(last[own, end - width], piece)
+                own, piece = own[ok], piece[ok]
+                total = best[own, end - width] + self.v.scores[piece]
+                better = total >= best[own, end]  # of equal sums, the longest last piece
+                own = own[better]
+                best[own, end], last[own, end], back[own, end] = total[better], piece[better], width
+                rows = rows[known]  # what ends no piece is the end of no longer one either
+                if not len(rows):
+                    break
         return last, back
 
-    def _one(self, text: str) -> list[int]:
-        """viterbi() of a single unit, such as a long run without spaces."""
+    def _one(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """viterbi() of a single unit: (where each piece begins, its id or UNKNOWN), in time linear in the text."""
         n = len(text)
         last, back, best = [START] * (n + 1), [0] * (n + 1), [0.0] + [-np.inf] * n
         for end in range(1, n + 1):
@@ -192,41 +211,110 @@ class Codec:
                 total = best[end - width] + (self.worst if k is None else self.v.scores[k])
                 if total > best[end]:
                     best[end], last[end], back[end] = total, UNKNOWN if k is None else k, width
-        out: list[int] = []
+        at, out = [], []
         while n:
-            out[:0] = [last[n]] if last[n] >= 0 else [int(self.v.byte_id[b]) for b in text[n - 1].encode()]
+            out.append(last[n])
             n -= back[n]
-        return out
-
-    def _fresh(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """Ids of distinct units, given as bounds in an array of code points."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(start)
+            at.append(n)
+        return np.array(at[::-1], np.int64), np.array(out[::-1], np.int64)
+
+    def _alike(self, m: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(where each piece begins, its id or UNKNOWN) of equally long units, a row of code points each."""
+        last, back = self.viterbi(m.astype(_U))
+        at, rows, taken = np.full(len(m), m.shape[1]), np.arange(len(m)), []
+        while len(rows):
+            width = back[rows, at[rows]]
+            taken.append((rows, last[rows, at[rows]], at[rows] - width))
+            at[rows] -= width
+            rows = rows[at[rows] > 0]
+        who, piece, pos = (np.concatenate([x[k] for x in reversed(taken)]) for k in range(3))
+        order = np.lexsort((pos, who))
+        who, piece, pos = who[order], piece[order], pos[order]
+        cuts = np.searchsorted(who, np.arange(len(m) + 1))
+        return [(pos[i:j], piece[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _pieces(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(where each piece begins, its id or UNKNOWN) of units, given as bounds in an array of code points."""
+        out: list = [None] * len(start)
         size = end - start
         for length in np.unique(size):
             group = np.flatnonzero(size == length)
-            if length > 48 or len(group) < 8:
+            if len(group) < 8:
                 for i in group:
-                    out[i] = np.array(self._one("".join(map(chr, codes[start[i] : end[i]]))), np.int32)
+                    out[i] = self._one("".join(map(chr, codes[start[i] : end[i]])))
                 continue
             for i in range(0, len(group), 1 << 15):
                 part = group[i : i + (1 << 15)]
-                m = codes[start[part][:, None] + np.arange(length)]
-                last, back = self.viterbi(m.astype(_U))
-                at, rows, taken = np.full(len(part), length), np.arange(len(part)), []
-                while len(rows):
-                    taken.append((rows, last[rows, at[rows]], at[rows] - 1))
-                    at[rows] -= back[rows, at[rows]]
-                    rows = rows[at[rows] > 0]
-                who, piece, pos = (np.concatenate([x[k] for x in reversed(taken)]) for k in range(3))
-                order = np.lexsort((pos, who))
-                who, piece, pos = who[order], piece[order], pos[order]
-                cuts = np.searchsorted(who, np.arange(len(part) + 1))
-                for j, k in enumerate(part):
-                    ids = piece[cuts[j] : cuts[j + 1]]
-                    if (ids < 0).any():
-                        where = pos[cuts[j] : cuts[j + 1]]
-                        ids = np.concatenate([[p] if p >= 0 else self.v.byte_id[list(chr(m[j, q]).encode())] for p, q in zip(ids, where, strict=True)])
-                    out[k] = ids.astype(np.int32)
+                for k, got in zip(part, self._alike(codes[start[part][:, None] + np.arange(length)]), strict=True):
+                    out[k] = got
+        return out
+
+    def _long(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each piece begins, its id or UNKNOWN) of one long unit.
+
+        It is cut between characters that stand beside each other in no piece. Of BPE, a part that is still long goes in
+        windows that overlap: two neighbours are joined at a place where both begin a piece and BPE leaves the two pieces
+        there apart, so all adjacent pieces of the whole are such as BPE leaves apart, which only its own are. Without such a
+        place, and for other vocabularies, the part is encoded in one go.
+        """
+        pair = codes[:-1].astype(np.int64) << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+        apart = np.flatnonzero(self.beside[at] != pair) + 1
+        ahead = np.searchsorted(apart, apart + LONG // 2)  # from each cut, the next one that leaves half of LONG characters between
+        edge, k = [0], int(np.searchsorted(apart, LONG // 2))
+        while k < len(apart):
+            edge.append(int(apart[k]))
+            k = int(ahead[k])
+        edge.append(len(codes))
+        parts: list[tuple[int, int]] = []
+        runs: list[tuple[int, int]] = []  # of parts[], those that are windows of one part
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            first = len(parts)
+            if j - i > WINDOW and self.v.bpe:
+                begins = range(i, j - OVERLAP, WINDOW - OVERLAP)
+                parts += [(b, min(b + WINDOW, j)) for b in begins]
+            else:
+                parts.append((i, j))
+            if len(parts) > first + 1:
+                runs.append((first, len(parts)))
+        cut = np.array(parts)
+        got = self._pieces(codes, cut[:, 0], cut[:, 1])
+        got = [(a + at, piece) for (a, _), (at, piece) in zip(parts, got, strict=True)]
+        for first, stop in runs:
+            keep = [[0, len(x[0])] for x in got[first:stop]]
+            for k in range(first, stop - 1):
+                (a, left), (b, right) = got[k], got[k + 1]
+                for p in np.intersect1d(a, b)[::-1]:
+                    i, j = np.searchsorted(a, p), np.searchsorted(b, p)
+                    if i > keep[k - first][0] and left[i - 1] != UNKNOWN != right[j] and self.allowed(int(left[i - 1]), int(right[j])):
+                        keep[k - first][1], keep[k + 1 - first][0] = i, j
+                        break
+                else:
+                    at, piece = self._one("".join(map(chr, codes[parts[first][0] : parts[stop - 1][1]])))
+                    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    got[first:stop] = [(parts[first][0] + at, piece), *[none] * (stop - first - 1)]
+                    break
+            else:
+                got[first:stop] = [(at[i:j], piece[i:j]) for (at, piece), (i, j) in zip(got[first:stop], keep, strict=True)]
+        return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+
+    def _fresh(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Ids of distinct units, given as bounds in an array of code points."""
+        short = np.flatnonzero(end - start <= LONG)
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(start)
+        each = zip(short, self._pieces(codes, start[short], end[short]), strict=True)
+        for k, (at, piece) in [*each, *((k, self._long(codes[start[k] : end[k]])) for k in np.flatnonzero(end - start > LONG))]:
+            if (piece < 0).any():
+                known = piece >= 0
+                raw = [self.v.byte_id[list(chr(c).encode())] for c in codes[start[k] + at[~known]].tolist()]
+                size = np.ones(len(piece), np.int64)
+                size[~known] = [len(x) for x in raw]
+                ends = np.cumsum(size)
+                ids = np.empty(ends[-1], np.int64)
+                ids[(ends - size)[known]] = piece[known]
+                ids[ragged((ends - size)[~known], size[~known])] = np.concatenate(raw)
+                piece = ids
+            out[k] = piece.astype(np.int32)
         return out
 
     def encode(self, col: pa.Array) -> pa.ListArray:
