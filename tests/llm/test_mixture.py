@@ -255,3 +255,19 @@ def test_long_units_take_linear_time():
         codec.encode(pa.array([kinds[0](n)]))
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 1
+
+
+def test_copies_of_a_text_have_their_spans_once(spark):
+    """However many copies there are, one shard holds as many spans as for two."""
+    from verdex.llm import suffix_dedup
+    from verdex.llm.common import fresh_path
+
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(3009))
+    counts = []
+    for copies in (2, 600):
+        df = spark.createDataFrame([(i, text) for i in range(copies)], "doc_id long, text string").repartition(1 if copies == 2 else 4)
+        counts.append(suffix_dedup.spans_of(df.select("text"), fresh_path(spark, "spans"), 6).count())
+        out = suffix_dedup.remove_repeats(df, suffix_dedup.find_repeats(df)).collect()
+        assert all(x["begins"] == [0] and x["ends"] == [3009] and not x["kept"] for x in out)
+    assert counts[0] == counts[1] < 100

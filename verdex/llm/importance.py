@@ -115,13 +115,13 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.nd
 
     One number per bucket comes to the driver: `buckets` bounds them, whatever the texts are.
     """
-    b = F.broadcast  # one row
+    source, target = cut(source), cut(target)
+    sums = [int(x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) + buckets for x in (source, target)]
     every = source.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
     s, t = source.select("bucket", F.col("n").alias("s")), target.select("bucket", F.col("n").alias("t"))
     counts = every.join(s, "bucket", "left").join(t, "bucket", "left").na.fill(0)
-    counts = counts.crossJoin(b(source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_s")))).crossJoin(b(target.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_t"))))
-    double = lambda name, more: (F.col(name) + more).cast("double")
-    gain = F.floor(1000 * F.log(double("t", 1) * double("all_s", buckets) / (double("s", 1) * double("all_t", buckets))))
+    double = lambda name: (F.col(name) + 1).cast("double")
+    gain = F.floor(1000 * F.log(double("t") * F.lit(float(sums[0])) / (double("s") * F.lit(float(sums[1])))))
     out = np.zeros(buckets, np.int64)
     for r in counts.select("bucket", gain.alias("gain")).collect():
         out[r["bucket"]] = r["gain"]

@@ -14,6 +14,7 @@ share, again and again, down to single windows. Equal windows stay together, so
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,9 +37,10 @@ PART_BYTES = 2 << 20
 PLACES = 1 << 17
 
 
-def text_key(text: bytes) -> int:
-    """A text's name: 64 bits of a digest, as a signed number. Equal texts lose the same bytes."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def text_key(text: bytes) -> tuple[int, int]:
+    """A text's name: 128 bits of a digest, as two signed numbers. Equal texts have one name, and lose the same bytes."""
+    raw = hashlib.blake2b(text, digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 @dataclass
@@ -123,22 +125,26 @@ def _repeated(path: str):
     return run
 
 
-#: Rows of fragments: the range [low, high] of the anchor's places in their windows, the anchor's place in the content.
-FRAGMENTS = "shard int, anchor bigint, low int, high int, at int, content binary, keys array<bigint>, starts array<bigint>"
+#: Rows of fragments: the range [low, high] of the anchor's places in their windows, the anchor's place in the content, how
+#: often it occurs, and its distinct places: the two halves of the text's name, and where it starts there.
+FRAGMENTS = "shard int, anchor bigint, low int, high int, at int, content binary, n bigint, keys array<bigint>, more array<bigint>, starts array<bigint>"
+Place = tuple[int, int, int]
 
 
 def _batch(rows: list[tuple], shards: int) -> pa.RecordBatch:
-    """(anchor, low, high, at, content, keys, starts) as FRAGMENTS."""
-    anchor, low, high, at, content, keys, starts = zip(*rows, strict=True)
+    """(anchor, low, high, at, content, n, places) as FRAGMENTS."""
+    anchor, low, high, at, content, n, places = zip(*rows, strict=True)
     anchors, many = np.array(anchor, np.int64), pa.list_(pa.int64())
+    lists = [[[p[k] for p in x] for x in places] for k in range(3)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(_shard(anchors.view(_U), shards), pa.int32()), pa.array(anchors), *(pa.array(x, pa.int32()) for x in (low, high, at)), pa.array(content, pa.binary()), pa.array(keys, many), pa.array(starts, many)],
+        [pa.array(_shard(anchors.view(_U), shards), pa.int32()), pa.array(anchors), *(pa.array(x, pa.int32()) for x in (low, high, at)), pa.array(content, pa.binary()), pa.array(n, pa.int64()), *(pa.array(x, many) for x in lists)],
         names=[x.split()[0] for x in FRAGMENTS.split(", ")],
     )
 
 
 def _fragments(path: str, shards: int, hot: bool):
-    """The fragments whose anchor occurs again and is, or isn't, hot; equal ones of a slice as one row with all their places."""
+    """The fragments whose anchor occurs again and is, or isn't, hot; equal ones of a slice as one row with their distinct places:
+    copies of a text have one name, so however many there are, they add one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = files.Shards(path, "anchors", lambda data: (data[: len(data) // 9 * 8].view("<u8"), data[len(data) // 9 * 8 :].view(bool)))
@@ -156,17 +162,16 @@ def _fragments(path: str, shards: int, hot: bool):
                     again[part] = (have[at] == f.anchor[part]) & (hots[at] == hot)
             if not again.any():
                 continue
-            keys: dict[int, int] = {}
-            found: dict[tuple[int, bytes], tuple[int, list[int], list[int]]] = {}
+            keys: dict[int, tuple[int, int]] = {}
+            found: dict[tuple[int, bytes], tuple[int, Counter[Place]]] = {}
             raw, anchors = buf.tobytes(), f.anchor.view(np.int64)
             for i in np.flatnonzero(again).tolist():
                 row, start = int(f.row[i]), int(f.start[i])
                 if row not in keys:
                     keys[row] = text_key(raw[off[row] : off[row + 1]])
-                to = found.setdefault((int(anchors[i]), raw[start : start + int(f.count[i]) + WINDOW - 1]), (int(f.at[i]) - start, [], []))
-                to[1].append(keys[row])
-                to[2].append(start - int(off[row]))
-            yield _batch([(a, 0, WINDOW - GRAM, at, c, k, s) for (a, c), (at, k, s) in found.items()], shards)
+                to = found.setdefault((int(anchors[i]), raw[start : start + int(f.count[i]) + WINDOW - 1]), (int(f.at[i]) - start, Counter()))
+                to[1][*keys[row], start - int(off[row])] += 1
+            yield _batch([(a, 0, WINDOW - GRAM, at, c, x.total(), x) for (a, c), (at, x) in found.items()], shards)
 
     return run
 
@@ -185,14 +190,14 @@ def halves(low: int, high: int, at: int, content: bytes) -> Iterator[tuple[int,
 def _halved(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "content"):
-            found: dict[tuple[int, bytes], tuple[int, int, int, list[int], list[int]]] = {}
-            for _, _, low, high, at, content, keys, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found: dict[tuple[int, bytes], tuple[int, int, int, list[int], set[Place]]] = {}
+            for _, _, low, high, at, content, n, *places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for anchor, *place, part, first in halves(low, high, at, content):
-                    to = found.setdefault((anchor, part), (*place, [], []))
-                    to[3].extend(keys)
-                    to[4].extend(s + first for s in starts)
+                    to = found.setdefault((anchor, part), (*place, [], set()))
+                    to[3].append(n)
+                    to[4].update((k, m, s + first) for k, m, s in zip(*places, strict=True))
             if found:
-                yield _batch([(a, lo, hi, at, c, k, s) for (a, c), (lo, hi, at, k, s) in found.items()], shards)
+                yield _batch([(a, lo, hi, at, c, sum(n), x) for (a, c), (lo, hi, at, n, x) in found.items()], shards)
 
     return run
 
@@ -244,19 +249,22 @@ def repeated_windows(contents: Iterable[bytes], scratch: Scratch, window: int =
 
 
 class _Content:
-    """One distinct fragment and its places; `known`: places of it were told before, so it is repeated."""
+    """One distinct fragment, how often it occurs and its distinct places, a row each; `known`: places of it were told before."""
 
     def __init__(self, content: bytes):
-        self.content, self.keys, self.starts, self.n, self.known = content, [], [], 0, False
-
-    def add(self, keys: np.ndarray, starts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.starts.append(starts)
-        self.n += len(keys)
-
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        out = (np.concatenate(self.keys), np.concatenate(self.starts)) if self.keys else (np.zeros(0, np.int64),) * 2
-        self.keys, self.starts, self.n = [], [], 0
+        self.content, self.rows, self.held, self.n, self.known = content, [], 0, 0, False
+
+    def add(self, n: int, places: np.ndarray) -> None:
+        self.rows.append(places)
+        self.n += n
+        self.held += len(places)
+        if self.held > 2 * PLACES:
+            self.rows = [np.unique(np.concatenate(self.rows), axis=0)]
+            self.held = len(self.rows[0])
+
+    def places(self) -> np.ndarray:
+        out = np.unique(np.concatenate(self.rows), axis=0) if len(self.rows) > 1 else self.rows[0] if self.rows else np.zeros((0, 3), np.int64)
+        self.rows, self.held = [], 0
         return out
 
 
@@ -264,42 +272,44 @@ def _spans(shards: int, window: int = WINDOW):
     """Spans of repeated windows, by text key; rows come sorted by shard, anchor and content. A task holds a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def tell(marks: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> None:
+        def tell(marks: np.ndarray, places: np.ndarray) -> None:
             nonlocal size
+            keys, more, starts = places.T
             edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
             if len(edge) and len(keys):
                 a, b = edge[::2], edge[1::2] + window - 1
-                out.append((np.repeat(keys, len(a)), (starts[:, None] + a).ravel(), (starts[:, None] + b).ravel()))
+                out.append((np.repeat(keys, len(a)), np.repeat(more, len(a)), (starts[:, None] + a).ravel(), (starts[:, None] + b).ravel()))
                 size += len(keys) * len(a)
 
         def whole(c: _Content) -> None:
-            tell(np.ones(len(c.content) - window + 1, bool), *c.places())
+            tell(np.ones(len(c.content) - window + 1, bool), c.places())
 
         def batch() -> pa.RecordBatch:
             nonlocal size
-            cols = [pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in range(3)]
+            cols = [pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in range(4)]
             out.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([*cols, pa.array(_shard(cols[0].to_numpy().view(_U), shards), pa.int32())], names=["key", "begin", "end", "shard"])
+            return pa.RecordBatch.from_arrays([*cols, pa.array(_shard(cols[0].to_numpy().view(_U), shards), pa.int32())], names=["key", "more", "begin", "end", "shard"])
 
         def anchors() -> Iterator[list[_Content]]:
             """The distinct fragments of one anchor at a time, with their places."""
             anchor, held = None, []
             for b in batches:
-                at, texts, *lists = (b.column(b.schema.get_field_index(x)) for x in ("anchor", "content", "keys", "starts"))
-                lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in lists]
-                for i, (a, content) in enumerate(zip(at.to_pylist(), texts.to_pylist(), strict=True)):
+                at, texts, counts, *lists = (b.column(b.schema.get_field_index(x)) for x in ("anchor", "content", "n", "keys", "more", "starts"))
+                o, places = lists[0].offsets.to_numpy(), np.stack([c.flatten().to_numpy() for c in lists], 1)
+                o = o - o[0]
+                for i, (a, content, n) in enumerate(zip(at.to_pylist(), texts.to_pylist(), counts.to_pylist(), strict=True)):
                     if a != anchor:
                         if held:
                             yield held
                         anchor, held = a, []
                     if not held or held[-1].content != content:
                         held.append(_Content(content))
-                    held[-1].add(*(v[o[i] : o[i + 1]] for o, v in lists))
-                    if held[-1].n > PLACES:
+                    held[-1].add(n, places[o[i] : o[i + 1]])
+                    if held[-1].held > PLACES:
                         held[-1].known = True
                         whole(held[-1])
             if held:
@@ -308,7 +318,7 @@ def _spans(shards: int, window: int = WINDOW):
         def compare(part: list[_Content]) -> None:
             with Scratch() as scratch:
                 for marks, c in zip(repeated_windows((c.content for c in part), scratch), part, strict=True):
-                    tell(marks | (c.known or c.n > 1), *c.places())
+                    tell(marks | (c.known or c.n > 1), c.places())
 
         part, total = [], 0
         for held in anchors():
@@ -333,37 +343,38 @@ def _spans(shards: int, window: int = WINDOW):
 
 
 def _store(path: str):
-    """Writes each shard's spans, overlapping and touching ones as one: texts' keys, first span of each, begins, ends."""
+    """Writes each shard's spans, overlapping and touching ones as one: both halves of texts' names, first span of each, begins, ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[], [], [], []]
+        cols = [[], [], [], [], []]
         for b in batches:
-            for k in range(4):
+            for k in range(5):
                 cols[k].append(b.column(k).to_numpy())
         if not cols[0]:
             return
-        key, begin, end, of = (np.concatenate(c) for c in cols)
+        key, more, begin, end, of = (np.concatenate(c) for c in cols)
         for k in np.unique(of).tolist():
             part = np.flatnonzero(of == k)
-            part = part[np.lexsort((begin[part], key[part]))]
-            a, b, c = key[part], begin[part], end[part]
-            kinds, rank = np.unique(a, return_inverse=True)
+            part = part[np.lexsort((begin[part], more[part], key[part]))]
+            a, m, b, c = key[part], more[part], begin[part], end[part]
+            other = np.append(True, (a[1:] != a[:-1]) | (m[1:] != m[:-1]))
+            rank = np.cumsum(other) - 1
             wide = int(c.max()) + 2
             reach = np.maximum.accumulate(c + rank * wide)
             new = np.append(True, b[1:] + rank[1:] * wide > reach[:-1])
             start = np.flatnonzero(new)
-            first = np.searchsorted(rank[start], np.arange(len(kinds) + 1))
+            first = np.searchsorted(rank[start], np.arange(rank[-1] + 2))
             last = np.append(start[1:], len(a)) - 1
-            files.put(f"{path}/spans-{k:06d}", [np.array([len(kinds), len(start)]), kinds, first, b[start], reach[last] - rank[last] * wide])
+            files.put(f"{path}/spans-{k:06d}", [np.array([rank[-1] + 1, len(start)]), a[other], m[other], first, b[start], reach[last] - rank[last] * wide])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["shard"])
 
     return run
 
 
 def _parse_spans(data: np.ndarray) -> list[np.ndarray]:
-    """Texts' keys, first span of each, begins, ends."""
+    """Both halves of texts' names, first span of each, begins, ends."""
     data = data.view("<i8")
-    return np.split(data[2:], np.cumsum([data[0], data[0] + 1, data[1]])) if len(data) else [data] * 4
+    return np.split(data[2:], np.cumsum([data[0], data[0], data[0] + 1, data[1]])) if len(data) else [data] * 5
 
 
 @dataclass
@@ -376,11 +387,13 @@ class Repeats:
     def open(self) -> files.Shards:
         return files.Shards(self.path, "spans", _parse_spans)
 
-    def spans(self, known: files.Shards, key: int) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, known: files.Shards, name: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """(begins, ends) of a text's spans, in order."""
-        keys, first, begin, end = known[int(_shard(np.array([key], np.int64).view(_U), self.shards)[0])]
-        i = int(np.searchsorted(keys, key))
-        if i == len(keys) or keys[i] != key:
+        keys, more, first, begin, end = known[int(_shard(np.array(name[:1], np.int64).view(_U), self.shards)[0])]
+        i = int(np.searchsorted(keys, name[0]))
+        while i < len(keys) and keys[i] == name[0] and more[i] != name[1]:
+            i += 1
+        if i == len(keys) or keys[i] != name[0]:
             return begin[:0], end[:0]
         return np.asarray(begin[first[i] : first[i + 1]]), np.asarray(end[first[i] : first[i + 1]])
 
@@ -392,11 +405,17 @@ def find_repeats(docs: DataFrame) -> Repeats:
     read whole, and only `text` is read, so other columns can't clash. An empty table gives no spans. Files go to the shared
     folder; tasks map what they need of them.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "suffix-dedup")
+    path = fresh_path(docs.sparkSession, "suffix-dedup")
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(6, -(-size // SHARD_BYTES))
+    stored = spans_of(texts, path, shards).repartitionById(shards, F.col("shard")).mapInArrow(_store(path), "shard bigint")
+    files.tell(path, "spans", shards, (r["shard"] for r in stored.collect()))
+    return Repeats(path, shards)
+
+
+def spans_of(texts: DataFrame, path: str, shards: int) -> DataFrame:
+    """(key, more, begin, end, shard): spans of repeated windows by a text's name; copies of a text have theirs once."""
     own = F.col("shard")
     counted = texts.mapInArrow(_anchors(shards), "shard int, anchors binary, n binary").repartitionById(shards, own)
     told = counted.mapInArrow(_repeated(path), "shard bigint, hot bigint").collect()  # a row per shard
@@ -405,10 +424,8 @@ def find_repeats(docs: DataFrame) -> Repeats:
     dealt = texts.mapInArrow(_fragments(path, shards, False), FRAGMENTS)
     if hot:
         dealt = dealt.union(split_hot(texts.mapInArrow(_fragments(path, shards, True), FRAGMENTS), shards))
-    dealt = dealt.select("shard", "anchor", "content", "keys", "starts").repartitionById(shards, own)
-    spans = dealt.sortWithinPartitions("shard", "anchor", "content").mapInArrow(_spans(shards), "key bigint, begin bigint, end bigint, shard int")
-    files.tell(path, "spans", shards, (r["shard"] for r in spans.repartitionById(shards, own).mapInArrow(_store(path), "shard bigint").collect()))
-    return Repeats(path, shards)
+    dealt = dealt.select("shard", "anchor", "content", "n", "keys", "more", "starts").repartitionById(shards, own)
+    return dealt.sortWithinPartitions("shard", "anchor", "content").mapInArrow(_spans(shards), "key bigint, more bigint, begin bigint, end bigint, shard int")
 
 
 def remove_repeats(docs: DataFrame, repeats: Repeats) -> DataFrame:
