@@ -6,7 +6,12 @@ class centroid; gold is the label, the task vec_id mod 5. Systems: base (all dim
 
 from __future__ import annotations
 
-from verdex.plans.dialect import Spark, both
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdex.operators import evaluation
+from verdex.plans.dialect import Duck, Spark, both, doubles
+from verdex.plans.registry import query
 
 TAU = 0.05
 
@@ -30,6 +35,16 @@ r_{system} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, opt
 BINS = "bins AS (SELECT * FROM (VALUES " + ", ".join(f"({b}, cast({b / 10} as double), cast({(b + 1) / 10} as double))" for b in range(10)) + ") AS t(b, lo, hi))"
 
 
+def log(spark: SparkSession, sf_dir: str, system: str = "base") -> DataFrame:
+    """The prediction log of a system."""
+    return spark.sql(doubles(f"WITH {dots(Spark(sf_dir), system)} SELECT id, task, gold, pred, ok, conf FROM {system}"))
+
+
+def duck(sql: str, *systems: str) -> str:
+    """sql over the logs of the systems, for DuckDB."""
+    return doubles("WITH " + ", ".join(dots(Duck(), s) for s in systems) + sql)
+
+
 @both("pred_log")
 def pred_log(d: Spark) -> str:
     """PRJ-09, PRJ-14, DEC-01: prediction log; the first largest option wins."""
@@ -69,25 +84,6 @@ def policy_threshold(d: Spark) -> str:
 SELECT t, round(avg(CASE WHEN conf >= t THEN 1.0 ELSE 0.0 END), 9) AS coverage, round(1 - avg(CASE WHEN conf >= t THEN cast(ok as double) END), 9) AS error FROM base CROSS JOIN t GROUP BY t"""
 
 
-RC = """g AS (SELECT conf, count(*) AS g, sum(ok) AS okg FROM base GROUP BY conf),
-c AS (SELECT conf, g, okg, sum(g) OVER (ORDER BY conf DESC) - g AS k0, sum(okg) OVER (ORDER BY conf DESC) - okg AS ok0, sum(g) OVER () AS n FROM g)"""
-
-
-@both("risk_coverage")
-def risk_coverage(d: Spark) -> str:
-    """WIN-04: accuracy at each coverage; inside a group of equal confidence, the expected one over their order. AURC is the mean of 1 - accuracy."""
-    return f"""WITH {dots(d)}, {RC}, e AS (SELECT *, {d.explode(d.series('cast(1 as bigint)', 'cast(g as bigint)'))} AS j FROM c),
-a AS (SELECT k0 + j AS k, (ok0 + j * okg / g) / (k0 + j) AS acc, n FROM e)
-SELECT round(avg(1 - acc), 8) AS aurc, round(max(CASE WHEN k = greatest(1, floor(0.8 * n)) THEN acc END), 8) AS acc80, round(max(CASE WHEN k = greatest(1, floor(0.5 * n)) THEN acc END), 8) AS acc50 FROM a"""
-
-
-@both("coverage_at")
-def coverage_at(d: Spark) -> str:
-    """WIN-04: the largest coverage that a threshold can cut off with the target accuracy."""
-    return f"""WITH {dots(d)}, {RC}, t AS (SELECT * FROM (VALUES (cast(0.5 as double)), (cast(0.6 as double)), (cast(0.95 as double)), (cast(0.99 as double))) AS t(target))
-SELECT target, round(coalesce(max(CASE WHEN (ok0 + okg) / (k0 + g) >= target THEN (k0 + g) / n END), 0), 8) AS coverage FROM c CROSS JOIN t GROUP BY target"""
-
-
 @both("chance_level")
 def chance_level(d: Spark) -> str:
     """AGG-07: mean of 1 / options."""
@@ -114,13 +110,6 @@ def fit_subset(d: Spark) -> str:
     return f"WITH {dots(d)}, f AS (SELECT doc_id AS id, n_chars / 3.5 <= 512 AS fits FROM {d.t('documents')}) SELECT f.fits, count(*) AS n, round(avg(cast(ok as double)), 9) AS acc FROM base JOIN f ON base.id = f.id GROUP BY f.fits"
 
 
-@both("build_compare")
-def build_compare(d: Spark) -> str:
-    """JOIN-10, AGG-14: agreement and mean change of confidence of two builds, and the release gate."""
-    return f"""WITH {dots(d)}, {dots(d, 'variant')}, j AS (SELECT b.ok AS bok, v.ok AS vok, b.pred = v.pred AS same, abs(b.conf - v.conf) AS dc FROM base b JOIN variant v ON b.id = v.id)
-SELECT count(*) AS n, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 9) AS agree, round(avg(dc), 7) AS mean_change, avg(vok) >= avg(bok) - 0.01 AND avg(CASE WHEN same THEN 1.0 ELSE 0.0 END) >= 0.97 AS gate FROM j"""
-
-
 @both("flips_low_confidence")
 def flips_low_confidence(d: Spark) -> str:
     """AGG-15: agreement where the base is confident, and the share of flips where it isn't."""
@@ -181,3 +170,38 @@ SELECT len_k, depth, count(*) AS n, round(avg(cast(ok as double)), 9) AS acc, ro
 def task_rollup(d: Spark) -> str:
     """PRJ-15: subtasks under one key."""
     return f"SELECT CASE WHEN source LIKE 'src1%' THEN 'src1x' ELSE source END AS task, count(*) AS n FROM {d.t('documents')} GROUP BY CASE WHEN source LIKE 'src1%' THEN 'src1x' ELSE source END"
+
+
+#: The curve item by item: each item's accuracy is that of the items before its group and of its group's mean, as often as it stands in it.
+CURVE = """, o AS (SELECT conf, ok, row_number() OVER (ORDER BY conf DESC) AS k, count(*) OVER () AS n FROM base),
+w AS (SELECT k, n, min(k) OVER (PARTITION BY conf) - 1 AS k0, avg(ok) OVER (PARTITION BY conf) AS r, conf FROM o),
+a AS (SELECT k, n, conf, ((SELECT coalesce(sum(b.ok), 0) FROM base b WHERE b.conf > w.conf) + (k - k0) * r) / k AS acc FROM w)"""
+
+
+@query("risk_coverage", duck(CURVE + " SELECT round(avg(1 - acc), 8) AS aurc, round(max(acc) FILTER (k = greatest(1, round_even(0.8 * n, 0))), 8) AS acc80, round(max(acc) FILTER (k = greatest(1, round_even(0.5 * n, 0))), 8) AS acc50 FROM a", "base"))
+def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-04: accuracy at each coverage; inside a group of equal confidence, the expected one over their order. AURC is the mean of 1 - accuracy."""
+    out = evaluation.risk_coverage(log(spark, sf_dir))
+    return out.select(*(F.round(c, 8).alias(a) for c, a in (("aurc", "aurc"), ("acc_80", "acc80"), ("acc_50", "acc50"))))
+
+
+TARGETS = (0.5, 0.6, 0.95, 0.99)
+
+
+@query("coverage_at", duck(", t AS (SELECT unnest([" + ", ".join(map(str, TARGETS)) + "]) AS target), c AS (SELECT DISTINCT conf FROM base), e AS (SELECT c.conf, avg(b.ok) AS acc, count(*) / (SELECT count(*) FROM base) AS share FROM c JOIN base b ON b.conf >= c.conf GROUP BY c.conf) SELECT target, round(coalesce(max(share) FILTER (acc >= target), 0), 8) AS coverage FROM e, t GROUP BY target", "base"))
+def coverage_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-04: the largest coverage that a threshold can cut off with the target accuracy."""
+    return evaluation.coverage_at(log(spark, sf_dir), TARGETS).select("target", F.round("coverage", 8).alias("coverage"))
+
+
+#: Calibration as a loop over bins would give it, each bin by its own filter.
+_ECE = " + ".join(f"coalesce(abs(sum(ok) FILTER (conf > {b / 10} AND conf <= {(b + 1) / 10}) - sum(conf) FILTER (conf > {b / 10} AND conf <= {(b + 1) / 10})), 0)" for b in range(10))
+
+
+@query("build_compare", duck(f""", i AS (SELECT id FROM base INTERSECT SELECT id FROM variant), eb AS (SELECT avg(ok) AS acc, ({_ECE}) / count(*) AS e FROM base SEMI JOIN i USING (id)), ev AS (SELECT avg(ok) AS acc, ({_ECE}) / count(*) AS e FROM variant SEMI JOIN i USING (id)),
+j AS (SELECT count(*) AS n, avg((b.pred = v.pred)::int) AS agree, avg(abs(b.conf - v.conf)) AS dc FROM base b JOIN variant v ON b.id = v.id)
+SELECT n, round(agree, 9) AS agree, round(dc, 7) AS mean_change, round(ev.e, 7) AS ece, round(eb.e, 7) AS base_ece, ev.acc >= eb.acc - 0.01 AND ev.e <= eb.e + 0.01 AND agree >= 0.97 AS gate FROM j, eb, ev""", "base", "variant"))
+def build_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-10, AGG-14: agreement and mean change of confidence of two builds, and the release gate: accuracy, calibration, agreement."""
+    out = evaluation.compare_builds(log(spark, sf_dir), log(spark, sf_dir, "variant"))
+    return out.select("n", F.round("agree", 9).alias("agree"), F.round("mean_change", 7).alias("mean_change"), F.round("ece", 7).alias("ece"), F.round("base_ece", 7).alias("base_ece"), "gate")
