@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdex.operators import items as I
+from verdex.operators import scans
 
 #: Shares of the dev split in 1/10000, of generated items and of others.
 DEV_GEN, DEV_OTHER = 800, 400
@@ -58,26 +56,8 @@ def select(rows: DataFrame, excluded: DataFrame, caps: dict[str, int], reserved:
 
 
 def balanced(rows: DataFrame, key: str, order: str, label: str, slack: int = 5) -> DataFrame:
-    """WIN-09: rows (key, order, label yes or no) with `accepted`: a row of the class that leads by more than slack is not.
-
-    The decision depends on all before it, so a key's rows go through one task in order, which holds two counts and a batch.
-    """
-    schema = rows.schema.add("accepted", "boolean")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, count = object(), {}
-        for f in frames:
-            told = []
-            for k, x in zip(f[key], f[label], strict=True):
-                if k != at:
-                    at, count = k, {"yes": 0, "no": 0}
-                ok = x not in count or count[x] <= count["yes" if x == "no" else "no"] + slack
-                if ok and x in count:
-                    count[x] += 1
-                told.append(ok)
-            yield f.assign(accepted=told)
-
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    """WIN-09: rows (key, order, label yes or no) with `accepted`: a row of the class that leads by more than slack is not."""
+    return scans.balanced(rows, [key], order, label, slack)
 
 
 def fillers(targets: DataFrame, pool: DataFrame, n: int = 400, most: int = 100_000, seed: str = "17") -> DataFrame:

@@ -118,14 +118,6 @@ def debt_to_income(d: Spark) -> str:
     return "price / total <= 0.36 AND k >= 3 AND m <> 0 AS approved"
 
 
-@both("structuring_window")
-def structuring_window(d: Spark) -> str:
-    """FIN-05, WIN-05: three deposits in the band within 5 days of a deposit, per user."""
-    day = d.days("DATE '2024-01-01'", d.date("ts"))
-    return f"""WITH e AS (SELECT user_id, event_id, {day} AS day, CASE WHEN value BETWEEN 40 AND 60 THEN 1 ELSE 0 END AS in_band FROM {d.t('events')}),
-w AS (SELECT user_id, sum(in_band) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n FROM e) SELECT user_id, cast(max(n) as bigint) AS most, max(n) >= 3 AS flagged FROM w GROUP BY user_id"""
-
-
 @rule("liquidation")
 def liquidation(d: Spark) -> str:
     """FIN-06: liquidation prices of a leveraged long and short."""
@@ -180,10 +172,3 @@ def issuer_concentration(d: Spark) -> str:
 def lc_presentation(d: Spark) -> str:
     """TRD-10: documents by the earlier of shipment plus days and expiry."""
     return f"{d.add_days('d1', '(k + m)')} <= least({d.add_days('d2', '21')}, {d.add_days('d1', '90')}) AS compliant"
-
-
-@both("night_limit")
-def night_limit(d: Spark) -> str:
-    """TRD-15: running sum of transfers between 20:00 and 06:00 within the limit."""
-    return f"""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN hour(ts) >= 20 OR hour(ts) < 6 THEN value ELSE 0 END AS v FROM {d.t('events')})
-SELECT event_id, round(sum(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) <= 500 AS allowed FROM e"""
