@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdex.operators import decisions
+from verdex.operators import fitting
 from verdex.plans.cases import cases
 from verdex.plans.registry import query
 from verdex.sources.tables import table
-from verdex.streaming import jobs
+from verdex.streaming import jobs, sessions
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +50,23 @@ def session_requests(spark: SparkSession) -> DataFrame:
     return jobs.session_log(rows.repartition(3), lambda text, question: str(text.count(question)))
 
 
+@query(
+    "session_stream",
+    """SELECT CAST(conv_id AS VARCHAR) AS session, turn AS seq, CASE WHEN turn = first THEN 'create' WHEN role = 'assistant' THEN 'evaluate' ELSE 'append' END AS op, 200 AS status,
+sum(CASE WHEN turn = first OR role <> 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) OVER w AS chars,
+CASE WHEN turn <> first AND role = 'assistant' THEN CAST(sum(CASE WHEN turn = first OR role <> 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) OVER w AS VARCHAR) END AS answer
+FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+)
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-05: each conversation as a session's requests: its first turn creates it, an assistant's turn asks, others append."""
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first"))
+    rows = stream(spark, sf_dir, "conversations").join(first, "conv_id")
+    op = F.when(F.col("turn") == F.col("first"), "create").when(F.col("role") == "assistant", "evaluate").otherwise("append")
+    requests = rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), op.alias("op"), "text")
+    with sessions.rocksdb(spark):
+        return jobs.drain(spark, sessions.stored_sessions(requests, lambda text, question: str(len(text))), "append")
+
+
 @query("token_batches")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-07: greedy batches under a token budget (sequential: no SQL)."""
@@ -74,18 +90,13 @@ def pluggable_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("global_temperature")
 def global_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CAL-01: b and w of the temperature, single and by features, from a dev log of at most 2,000 items (numeric: no SQL).
+    """CAL-01: b and w of the temperature, single and by features, from a log of all embeddings (numeric: no SQL).
 
-    The log: embeddings' first four numbers as logits of four options, gold by label. It goes to one task, as a dev split does.
+    The log: embeddings' first four numbers as logits of four options, gold by label.
     """
-    e = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(2000)
-    log = e.select(
+    log = table(spark, sf_dir, "embeddings").select(
         F.transform(F.slice("embedding", 1, 4), lambda x: 3 * x.cast("double")).alias("logits"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i == F.col("label") % 4).cast("double")).alias("target"),
         (50 + F.col("vec_id") % 900).alias("n_tok"), F.lit(4).alias("n_opts"), F.when(F.col("label") % 2 == 0, "choice").otherwise("score").alias("qtype"), F.when(F.col("label") == 3, "hard").otherwise("easy").alias("difficulty"), F.lit("gen").alias("src"),
     )
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        told = [decisions.fit_temperature(rows, f) for f in (False, True)]
-        return pd.DataFrame([(("global", "features")[k], round(b, 6), [round(x, 6) for x in w]) for k, (b, w) in enumerate(told)], columns=["mode", "b", "w"])
-
-    return log.withColumn("split", F.lit(1)).groupBy("split").applyInPandas(fit, "mode string, b double, w array<double>").select("mode", "b", F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("w"))
+    told = [(mode, *fitting.fit_temperature(log, features)) for mode, features in (("global", False), ("features", True))]
+    return spark.createDataFrame([(mode, round(b, 6), ",".join(f"{x:.5f}" for x in w)) for mode, b, w in told], "mode string, b double, w string")

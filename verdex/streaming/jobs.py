@@ -145,13 +145,18 @@ def decide(items: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def drain(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result, which is written to the shared folder (or, on one machine, to a
-    temporary one): in complete mode what the last trigger leaves, else what all of them append."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdex-stream-")
+    """Run a stream over what is there and return its result, which is written to the shared folder: in complete mode what the
+    last trigger leaves, else what all of them append. On one machine that folder may be a temporary one; on a cluster, whose
+    executors would each write to a disk of their own, spark.checkpoint.dir must name it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="verdex-stream-")
     path = f"{base.rstrip('/')}/drained-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
     df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
