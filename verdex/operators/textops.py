@@ -85,12 +85,8 @@ def json_items(text: Column, key: str = "items") -> Column:
     return F.coalesce(F.from_json(F.get_json_object(outermost_json(text), f"$.{key}"), "array<string>"), F.array().cast("array<string>"))
 
 
-#: PRJ-28: lines of filler, taken in turn; {i} is a line's number.
-FILLER = ("Log {i}: queues were checked and the list was filed. ", "Minutes {i}: rooms and the calendar were talked over. ", "Notice {i}: the wiki was indexed again. ")
-
-
-def haystack(case: Column, lines: Column, depth: Column, filler: tuple[str, ...] = FILLER) -> Column:
-    """PRJ-28: a case between filler lines, behind the share `depth` of them."""
+def haystack(case: Column, lines: Column, depth: Column, filler: tuple[str, ...]) -> Column:
+    """PRJ-28: a case between filler lines, behind the share `depth` of them; filler: the lines, in turn, {i} for a line's number."""
     line = lambda i: F.get(F.array(*map(F.lit, filler)), i % len(filler))
     each = F.when(lines > 0, F.transform(F.sequence(F.lit(0), F.greatest(lines, F.lit(1)) - 1), lambda i: F.replace(line(i), F.lit("{i}"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
     at = F.floor(lines * depth).cast("int")

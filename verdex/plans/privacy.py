@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdex.functions import privacy as P
 from verdex.plans.cases import cases
@@ -12,11 +13,22 @@ from verdex.plans.registry import query
 from verdex.sources.tables import spread, table
 
 
-@both("pii_credentials")
-def pii_credentials(d: Spark) -> str:
+def _duck_counts(select: str) -> str:
+    """SQL text with one branch per pattern, for the other engine."""
+    return " UNION ALL ".join(select.format(name=k, n=f"len(regexp_extract_all(text, '{v}'))") for k, v in P.CREDENTIALS.items())
+
+
+def credential_counts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """PII-01, PII-09: rows with `pattern` and `n` for each pattern that a text matches: one scan, one array of counts per text."""
+    kept = [c for c in rows.columns if c != text]
+    each = F.array(*(F.struct(F.lit(k).alias("pattern"), F.regexp_count(text, F.lit(v)).cast("bigint").alias("n")) for k, v in P.CREDENTIALS.items()))
+    return rows.select(*kept, F.inline(each)).filter("n > 0")
+
+
+@query("pii_credentials", f"SELECT doc_id, pattern, n FROM ({_duck_counts("SELECT doc_id, '{name}' AS pattern, {n} AS n FROM documents")}) u WHERE n > 0")
+def pii_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PII-01, PII-09: credential and path matches per pattern and document; every match counts."""
-    parts = [f"SELECT doc_id, '{k}' AS pattern, {d.size(d.matches('text', v))} AS n FROM {d.t('documents')}" for k, v in P.CREDENTIALS.items()]
-    return f"SELECT doc_id, pattern, n FROM ({' UNION ALL '.join(parts)}) u WHERE n > 0"
+    return credential_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
@@ -39,11 +51,25 @@ def pii_consumer_email(d: Spark) -> str:
     return f"WITH {email_rows(d)} SELECT doc_id, count(*) AS n FROM e WHERE domain IN ({known}) GROUP BY doc_id"
 
 
-@both("pii_needles")
-def pii_needles(d: Spark) -> str:
-    """PII-08, SRC-13: non-overlapping occurrences of listed strings, by index only."""
-    parts = [f"SELECT {i} AS needle, cast(sum((length(text) - length(replace(text, '{n}', ''))) / {len(n)}) as bigint) AS n FROM {d.t('documents')}" for i, n in enumerate(("token = ", "Licensed under", "example.com"))]
-    return " UNION ALL ".join(parts)
+NEEDLES = ("token = ", "Licensed under", "example.com")
+
+
+def needle_counts(rows: DataFrame, needles: DataFrame, text: str = "text", most: int = 10_000) -> DataFrame:
+    """PII-08, SRC-13: (needle, n): non-overlapping occurrences of each listed string in all texts, by its number in the list.
+
+    needles: (number, needle), as read_needles() gives them; they are one array in each task, so over `most` is an error.
+    """
+    listed = needles.filter("needle <> ''").limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"over {most} needles")
+    each = F.array(*(F.struct(F.lit(r["number"]).cast("int").alias("needle"), F.regexp_count(text, F.lit("\\Q" + r["needle"].replace("\\E", "\\E\\\\E\\Q") + "\\E")).cast("bigint").alias("n")) for r in listed))
+    return rows.select(F.inline(each)).groupBy("needle").agg(F.sum("n").alias("n"))
+
+
+@query("pii_needles", " UNION ALL ".join(f"SELECT {i}::INT AS needle, sum((length(text) - length(replace(text, '{n}', ''))) // {len(n)})::BIGINT AS n FROM documents" for i, n in enumerate(NEEDLES)))
+def pii_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PII-08, SRC-13: occurrences of listed strings, by index only."""
+    return needle_counts(table(spark, sf_dir, "documents").select("text"), spark.createDataFrame(list(enumerate(NEEDLES)), "number int, needle string"))
 
 
 def _found(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -119,8 +145,11 @@ def ipv4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quads.select(P.ipv4_class(F.col("q")).alias("class")).filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("n"))
 
 
-@both("secret_files")
-def secret_files(d: Spark) -> str:
+@query("secret_files", f"""SELECT pattern, file, cast(n as bigint) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, file) AS rn
+FROM (SELECT pattern, file, sum(n) AS n FROM ({_duck_counts("SELECT '{name}' AS pattern, source AS file, {n} AS n FROM documents")}) u GROUP BY pattern, file) WHERE n > 0) r WHERE rn <= 4""")
+def secret_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-28: matches of each pattern by file, the four files with most of them. A file is a source's documents."""
-    parts = [f"SELECT '{k}' AS pattern, source AS file, sum({d.size(d.matches('text', v))}) AS n FROM {d.t('documents')} GROUP BY source" for k, v in P.CREDENTIALS.items()]
-    return f"""SELECT pattern, file, cast(n as bigint) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, file) AS rn FROM ({' UNION ALL '.join(parts)}) u WHERE n > 0) r WHERE rn <= 4"""
+    found = credential_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "text"))
+    counts = found.groupBy("pattern", "file").agg(F.sum("n").alias("n"))
+    best = Window.partitionBy("pattern").orderBy(F.desc("n"), "file")
+    return counts.withColumn("rn", F.row_number().over(best)).filter("rn <= 4").drop("rn")

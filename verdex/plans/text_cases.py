@@ -118,11 +118,12 @@ def option_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.get(X.option_codes(), (F.col("c_custkey") % len(X.CODES)).cast("int")).alias("code"))
 
 
+LINES = ("{i}: blue sky. ", "{i}: green grass. ")
 HAY = [(0, 0.5), (1, 0.0), (5, 0.5), (3, 1.0), (4, 0.25)]
 
 
 def _hay(n: int, depth: float) -> str:
-    parts = [X.FILLER[i % 3].replace("{i}", str(i)) for i in range(n)]
+    parts = [LINES[i % 2].replace("{i}", str(i)) for i in range(n)]
     k = int(n * depth)
     return "".join(parts[:k]) + "\n=== CASE FILE (relevant) ===\nthe case\n=== END OF CASE FILE ===\n" + "".join(parts[k:])
 
@@ -130,7 +131,7 @@ def _hay(n: int, depth: float) -> str:
 @cases("haystack", "n bigint, depth double, text varchar", [(n, d, _hay(n, d)) for n, d in HAY])
 def haystack(spark: SparkSession) -> DataFrame:
     """PRJ-28: a case inside numbered filler, at a depth."""
-    return spark.createDataFrame(HAY, "n bigint, depth double").select("n", "depth", X.haystack(F.lit("the case"), F.col("n").cast("int"), F.col("depth")).alias("text"))
+    return spark.createDataFrame(HAY, "n bigint, depth double").select("n", "depth", X.haystack(F.lit("the case"), F.col("n").cast("int"), F.col("depth"), LINES).alias("text"))
 
 
 _A, _B = "data:image/png;base64,AAAA==", "data:image/svg+xml;base64,Bb/+1"
