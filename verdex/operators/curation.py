@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdex.operators import items as I
-from verdex.operators import scans
+from verdex.operators import ranks, scans
 
 #: Shares of the dev split in 1/10000, of generated items and of others.
 DEV_GEN, DEV_OTHER = 800, 400
@@ -34,7 +34,7 @@ def select(rows: DataFrame, excluded: DataFrame, caps: dict[str, int], reserved:
     of a source and task before they meet.
     """
     src = F.split_part(F.when(F.coalesce("source", F.lit("")) != "", F.col("source")).otherwise("gen"), F.lit(":"), F.lit(1))
-    rows = rows.withColumn("src", src).join(F.broadcast(excluded.select("id").distinct().withColumn("_out", F.lit(True))), "id", "left")
+    rows = rows.withColumn("src", src).join(excluded.select("id").distinct().withColumn("_out", F.lit(True)), "id", "left")
     early = F.when(~F.coalesce("agree", F.lit(True)), "teacher_disagreed").when(F.col("_out"), exclusion_reason(F.col("id"), F.col("source"), reserved))
     rows = rows.withColumn("reason", early).drop("_out")
     capped = F.col("reason").isNull() & F.col("src").isin(*caps)
@@ -60,21 +60,35 @@ def balanced(rows: DataFrame, key: str, order: str, label: str, slack: int = 5)
     return scans.balanced(rows, [key], order, label, slack)
 
 
-def fillers(targets: DataFrame, pool: DataFrame, n: int = 400, most: int = 100_000, seed: str = "17") -> DataFrame:
+def fillers(targets: DataFrame, pool: DataFrame, n: int = 400, seed: str = "17") -> DataFrame:
     """JOIN-15: (target, filler, at) of up to n pool items for each target, in a seeded order, less those of its own topic.
 
-    targets and pool: (id, topic). The pool is the `most` items of least seeded hash, numbered; a target takes n in a row from
-    a place of its own, so pairs number n per target, and the two meet by number.
+    targets and pool: (id, topic). All of the pool stands in a circle by seeded hash, numbered from 0; a target takes n in a
+    row from a place of its own, so pairs number n per target, and the two meet by number in an equi-join. The numbers come
+    from counted cells, so no task orders the pool.
     """
-    drawn = pool.select("id", "topic").withColumn("h", F.sha1(F.concat(F.lit(seed), F.col("id").cast("string")))).orderBy("h", "id").limit(most)
-    drawn = drawn.select(F.col("id").alias("filler"), F.col("topic").alias("other"), (F.row_number().over(Window.orderBy("h", "id")) - 1).alias("number"))  # `most` rows
-    size = drawn.count()
+    numbered = ranks.positions(pool.select(F.col("id").alias("filler"), F.col("topic").alias("other"), F.xxhash64(F.lit(seed), F.col("id").cast("string")).alias("_h")), [], "_h", "filler")
+    circle = numbered.select("filler", "other", F.col("pos").alias("number"))
+    size = pool.count()
     if not size:
         return targets.select(F.col("id").alias("target"), F.col("id").alias("filler"), F.lit(0).alias("at")).limit(0)
     start = F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string")), F.lit(size))
     asked = targets.select(F.col("id").alias("target"), "topic", F.posexplode(F.sequence(F.lit(0), F.lit(min(n, size) - 1))).alias("at", "k"), start.alias("start"))
-    asked = asked.withColumn("number", ((F.col("start") + F.col("k")) % size).cast("int"))
-    return asked.join(F.broadcast(drawn), "number").filter(~F.col("topic").eqNullSafe(F.col("other")) & ~F.col("target").eqNullSafe(F.col("filler"))).select("target", "filler", "at")
+    asked = asked.withColumn("number", (F.col("start") + F.col("k")) % size)
+    return asked.join(circle, "number").filter(~F.col("topic").eqNullSafe(F.col("other")) & ~F.col("target").eqNullSafe(F.col("filler"))).select("target", "filler", "at")
+
+
+def first_of_each(rows: DataFrame, caps: dict[str, int], keys: tuple[str, ...] = ("file",), source: str = "src", order: tuple[str, ...] = ("ord", "id")) -> DataFrame:
+    """WIN-01: rows with `place`: of a source with a cap, the first so many rows of each key, numbered from 1; of a source
+    without one every row, and place is null. Only capped rows are ranked, and Spark keeps no more of them per task than the
+    largest cap, so an uncapped source may hold any share of the rows."""
+    capped = F.coalesce(F.col(source).isin(*caps), F.lit(False)) if caps else F.lit(False)
+    cap = F.lit(None).cast("int")
+    for name, n in caps.items():
+        cap = F.when(F.col(source) == name, n).otherwise(cap)
+    inside = Window.partitionBy(*keys, source).orderBy(*order)
+    first = rows.filter(capped).withColumn("place", F.row_number().over(inside)).filter(F.col("place") <= max(caps.values(), default=0)).filter(F.col("place") <= cap)
+    return first.unionByName(rows.filter(~capped).withColumn("place", F.lit(None).cast("int")))
 
 
 def dossiers(pairs: DataFrame, texts: DataFrame, budget: Column, seed: str = "17") -> DataFrame:

@@ -221,7 +221,7 @@ def release_record(items: DataFrame, writers: DataFrame, upstream: dict[str, str
     """
     generated = F.col("file").rlike("^(labeled|long_items)")
     base = F.when(F.col("file").startswith("long_items"), base_id(F.col("id"))).otherwise(F.col("id"))
-    joined = items.withColumn("_base", base).join(F.broadcast(writers.select(F.col("id").alias("_base"), "writer")), "_base", "left")
+    joined = items.withColumn("_base", base).join(writers.select(F.col("id").alias("_base"), "writer"), "_base", "left")
     o = joined.withColumn("options", options())
     known = F.create_map(*(F.lit(x) for pair in upstream.items() for x in pair)) if upstream else F.lit(None).cast("map<string,string>")
     six = lambda probs: F.transform(aligned(F.col("options"), probs), lambda x: F.round(x, 6))

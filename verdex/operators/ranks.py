@@ -48,7 +48,8 @@ def positions(df: DataFrame, keys: list[str], order: str, tie: str, cells: int =
     counts = df.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("of"))
     below = _below(counts, keys, "_cell", ["_n"])
-    out = df.join(F.broadcast(below.join(sizes, keys) if keys else below.crossJoin(sizes)), [*keys, "_cell"])
+    told = below.join(sizes, keys) if keys else F.broadcast(below.join(F.broadcast(sizes)))  # without keys a row per cell
+    out = df.join(told, [*keys, "_cell"])
     inside = Window.partitionBy(*keys, "_cell").orderBy(order, tie)
     return out.withColumn("pos", F.col("before__n") + F.row_number().over(inside) - 1).drop("_cell", "before__n")
 

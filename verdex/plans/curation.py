@@ -37,13 +37,6 @@ def split_assignment(d: Spark) -> str:
   WHEN bucket < CASE WHEN src = 'gen' THEN {DEV_GEN} ELSE {DEV_OTHER} END THEN 'validation' ELSE 'train' END AS split FROM item"""
 
 
-@both("quota_by_source")
-def quota_by_source(d: Spark) -> str:
-    """WIN-01: running count per file and source in input order; a capped source keeps its first rows. The two languages' files have a cap each."""
-    return f"""WITH {item(d)}, q AS (SELECT id, lang, src, row_number() OVER (PARTITION BY lang, src ORDER BY ord) AS rn FROM item)
-SELECT id, lang AS file, src, rn FROM q WHERE rn <= CASE src WHEN 'src0' THEN 10 WHEN 'src1' THEN 20 ELSE 1000000 END"""
-
-
 @both("dedup_first")
 def dedup_first(d: Spark) -> str:
     """WIN-02: the first copy of a text stays; a later copy with another answer marks the text as a conflict."""

@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from verdex.plans import contamination, curation, curation_cases, decision_cases, exact_cases, generated, item_cases, metrics, privacy, projections, relational, relations, rule_cases, rules, searches, sequences, streams, suites, text_cases  # noqa: F401
+    from verdex.plans import contamination, curation, curation_cases, decision_cases, exact_cases, generated, item_cases, metrics, privacy, projections, relational, relations, releases, rule_cases, rules, searches, sequences, streams, suites, text_cases  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
