@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op12_divergence": divergence.ORACLE, "op13_importance": importance.ORACLE}
+    return {"op5_chat_format": chat_format.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_sharding": sharding.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op12_divergence": divergence.ORACLE, "op13_importance": importance.ORACLE}

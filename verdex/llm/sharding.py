@@ -70,3 +70,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards, law `rows`."""
     out = interleave(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Ranks over whole sources and over all rows; crc32 goes byte by byte through a table made from the polynomial's rule.
+ORACLE = r"""
+WITH RECURSIVE steps(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+b AS (SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS o FROM b, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, doc_id, size, text_crc32) AS k, count(*) OVER (PARTITION BY source) AS total, count(*) OVER () AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1)::DOUBLE / (2 * total)::DOUBLE, ('0x' || substr(md5('42:' || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END || coalesce(source, '')), 1, 7))::BIGINT, source IS NULL, source, k) - 1 AS pos FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 16 // n)::INT AS shard, pos - ((pos * 16 // n) * n + 15) // 16 AS slot, NULL::INT AS grown_shard FROM p
+"""

@@ -141,14 +141,16 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the labelled rows to learn from: crc32(doc_id as text) mod 3 isn't 1, MAX_LABELLED of them at most.
 
     The chosen labels are MAX_LABELLED rows of two numbers, so they are broadcast; texts don't move. A null label is no
-    label; of a doc_id with several labels the highest counts.
+    label; of a doc_id with several labels the highest counts, and of one that several rows have, one row does.
     """
     chosen = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
         .filter(F.crc32(F.encode(F.col("_id").cast("string"), "UTF-8")) % 3 != 1)
         .orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    first = F.min_by("text", F.xxhash64("text"))  # of rows that repeat a doc_id, one, so the rows have the bound of the labels
+    return rows.groupBy("_id").agg(first.alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
 def _terms() -> dict[int, np.ndarray]:
