@@ -7,7 +7,7 @@ from verdex.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
+QUERIES, ORACLE, CASES = registry.queries(), registry.oracle_sql(), registry.cases()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,20 @@ def test_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, told.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_edge_rows(spark, duck, name):
+    run, expected = CASES[name]
+    df, told = run(spark, SF), duck.execute(expected)
+    columns = [c[0] for c in told.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rows(df.columns, df.collect()) == rows(columns, told.fetchall())
+
+
+def test_queries_read_the_tables(spark):
+    """No registered query runs on literal rows: cases are apart."""
+    assert not set(QUERIES) & set(CASES) and set(ORACLE) <= set(QUERIES)
+
+
 def test_all_have_an_expectation():
     assert set(QUERIES) - set(ORACLE) == {"pii_numbers", "pii_report", "ipv4_counts", "token_batches", "global_temperature"}
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdex.operators.calendar import business_index
+from verdex.operators.calendar import business_index, thirty_360
 
 # --- probability -----------------------------------------------------------------------------------------------------
 
@@ -178,3 +178,128 @@ def same_number(proposed: Column, gold: Column) -> Column:
     """JDG-02: whether a text is a number within 1e-6 of gold; null if it is none."""
     value = F.regexp_replace(F.trim(F.regexp_replace(proposed, "[,$]", "")), r"\.+$", "").try_cast("double")
     return F.abs(value - gold) < 1e-6
+
+
+# --- conditions, time, money and markets as columns; amounts are doubles, dates are dates ------------------------------
+
+
+def permitted(base: Column, exception: Column) -> Column:
+    """RUL-06: the base rule holds and no exception does; a null holds nothing."""
+    return F.coalesce(base, F.lit(False)) & ~F.coalesce(exception, F.lit(False))
+
+
+def tier(value: Column, cuts: tuple[float, ...], exempt: Column | None = None) -> Column:
+    """RUL-08: `tier0` to `tierN`: how many cuts lie strictly below the value; `exempt` where that holds."""
+    n = sum(((value > c).cast("int") for c in cuts), F.lit(0))
+    name = F.concat(F.lit("tier"), n.cast("string"))
+    return name if exempt is None else F.when(exempt, "exempt").otherwise(name)
+
+
+def risk_level(findings: list[Column], critical: Column) -> Column:
+    """RUL-09: 0, 1 or 2 for no, one or more findings, 3 for a critical one."""
+    n = sum((F.coalesce(x, F.lit(False)).cast("int") for x in findings), F.lit(0))
+    return F.when(critical, 3).otherwise(F.least(F.lit(2), n))
+
+
+def notice_in_time(given: Column, end: Column, days: Column | int) -> Column:
+    """TMP-03: notice is given so many days before the end, or earlier."""
+    return F.datediff(end, given) >= days
+
+
+def prorated_refund(paid: Column, start: Column, cancelled: Column, months: int = 12, fee: float = 25.0) -> Column:
+    """TMP-04: what is paid for months that haven't begun, less a fee; a month has 30 days, and a refund isn't negative."""
+    begun = F.ceil(F.abs(F.datediff(cancelled, start)) / 30.0)
+    return F.greatest(F.lit(0.0), paid * (months - begun) / months - fee)
+
+
+def shifted(minute: Column, minutes: Column) -> tuple[Column, Column]:
+    """TMP-05: (minute of the day, days on) of a local time after a shift by minutes, as between two zones."""
+    t = minute + minutes
+    day = F.floor(t / 1440.0)
+    return (t - day * 1440).cast("bigint"), day.cast("bigint")
+
+
+def late_fee(amount: Column, due: Column, paid: Column, weekly: float = 1.5, cap: float = 12.0) -> Column:
+    """TMP-06: percent for each week that has begun, up to a cap."""
+    return amount * F.least(F.ceil(F.greatest(F.datediff(paid, due), F.lit(0)) / 7.0) * weekly, F.lit(cap)) / 100
+
+
+def posterior(prior: Column, sensitivity: Column | float, false_positive: Column) -> Column:
+    """PRB-04: the probability of the condition after a positive test."""
+    hit = prior * sensitivity
+    return hit / (hit + (1 - prior) * false_positive)
+
+
+def count_classes(p: Column, q: Column) -> tuple[Column, Column, Column]:
+    """PRB-06: none, one or both of two independent events, to four places; the last is what the rounded others leave."""
+    none, one = F.round((1 - p) * (1 - q), 4), F.round(p * (1 - q) + q * (1 - p), 4)
+    return none, one, F.round(1 - none - one, 4)
+
+
+def instalment(principal: Column, yearly_percent: Column, months: Column) -> Column:
+    """FIN-01: the monthly instalment of an annuity; without interest, equal parts."""
+    i = yearly_percent / 1200.0
+    return F.when(i == 0, principal / months).otherwise(principal * i / (1 - F.pow(1 + i, -months)))
+
+
+def exchanged(amount: Column, fee: Column | float, mid: Column, spread: Column) -> Column:
+    """FIN-02: the fee first, then the rate with its spread."""
+    return (amount - fee) * mid * (1 - spread)
+
+
+def loan_approved(debt_share: Column, most: float, others: list[Column]) -> Column:
+    """FIN-03: the debt's share of the income is within the limit, and all other conditions hold."""
+    out = debt_share <= most
+    for x in others:
+        out = out & x
+    return F.coalesce(out, F.lit(False))
+
+
+def liquidation_price(entry: Column, leverage: Column, maintenance: float, side: str) -> Column:
+    """FIN-06: where an isolated position is closed: entry (1 - 1/leverage + rate) of a long, (1 + 1/leverage - rate) of a short."""
+    return entry * (1 - 1.0 / leverage + maintenance) if side == "long" else entry * (1 + 1.0 / leverage - maintenance)
+
+
+def pre_trade(restricted: Column, position: Column, quantity: Column, price: Column, position_limit: Column | float, notional_limit: Column | float) -> Column:
+    """FIN-07: the first check that an order fails: the restricted list, the position that it would make, its own notional."""
+    return F.when(restricted, "restricted").when(position + quantity > position_limit, "position").when(quantity * price > notional_limit, "notional").otherwise("accept")
+
+
+def net_pnl(buy: Column, sell: Column, quantity: Column, cost_bp: Column | float) -> Column:
+    """FIN-08: the gain less costs in basis points of both sides."""
+    return (sell - buy) * quantity - (quantity * buy + quantity * sell) * cost_bp / 10000
+
+
+def auto_exercised(kind: Column, settlement: Column, strike: Column) -> Column:
+    """FIN-10: an option (call or put) is a cent or more in the money at settlement, with room for rounding."""
+    return F.when(kind == "call", settlement - strike).otherwise(strike - settlement) >= 0.01 - 1e-9
+
+
+def margin_called(value: Column, debt: Column, maintenance: float) -> Column:
+    """TRD-01: the equity is strictly under the requirement."""
+    return value - debt < maintenance * value
+
+
+def within_band(price: Column, reference: Column, steps: tuple[tuple[float, float], ...], last: float) -> Column:
+    """TRD-04: the price is within a share of the reference, which the first step (below, share) that fits it gives, else
+    `last`; with room for rounding."""
+    share = F.lit(last)
+    for below, x in reversed(steps):
+        share = F.when(reference < below, x).otherwise(share)
+    return F.abs(price - reference) <= reference * share + 1e-9
+
+
+def accrued_interest(principal: Column, rate: Column | float, start: Column, end: Column, convention: str) -> Column:
+    """TRD-06: by act/360, act/365 or 30E/360."""
+    days = thirty_360(start, end) if convention == "30E/360" else F.datediff(end, start)
+    return principal * rate * days / (365 if convention == "act/365" else 360)
+
+
+def concentration_allowed(held: Column, bought: Column, total: Column, share: float) -> Column:
+    """TRD-07: what is held of an issuer after the purchase is at most a share of the total."""
+    return (held + bought) / total <= share + 1e-12
+
+
+def presented_in_time(presented: Column, shipped: Column, expiry: Column, days: Column | int) -> Column:
+    """TRD-10: documents come so many days after shipment at most, and before the credit ends."""
+    return presented <= F.least(F.date_add(shipped, days), expiry)

@@ -14,7 +14,7 @@ from verdex.operators.decisions import first_largest, total
 FEATURES = ("tokens", "options", "noul", "score")
 
 
-def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], size: int, steps: int = 60, tolerance: float = 1e-11) -> np.ndarray:
+def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], size: int, steps: int = 60, tolerance: float = 1e-9) -> np.ndarray:
     """The least point of a smooth function from (value, gradient, Hessian), by damped Newton steps from 0.
 
     A step that doesn't lower the value is taken again with more damping. Directions along which the function is flat stay 0.

@@ -25,9 +25,14 @@ def condition(c: Condition) -> Column:
     return F.coalesce(COMPARISONS[comparison](F.col(attribute), value), F.lit(False))
 
 
+def holding(conditions: Iterable[Column], k: int) -> Column:
+    """RUL-05: whether k of the conditions hold, given as columns; a null doesn't."""
+    return sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0)) >= k
+
+
 def at_least(conditions: Iterable[Condition], k: int) -> Column:
     """RUL-05: whether k of the conditions hold."""
-    return sum((condition(c).cast("int") for c in conditions), F.lit(0)) >= k
+    return holding(map(condition, conditions), k)
 
 
 def first_match(clauses: Iterable[tuple[list[Condition], str]], default: str) -> Column:

@@ -1,4 +1,4 @@
-"""Queries over literal rows, checked by expected rows that are written out beside them."""
+"""Operators over edge rows, checked by expected rows that are written out beside them: cases of the tests, not queries."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdex.plans.registry import query
+from verdex.plans.registry import case
 
 
 def literal(x: object) -> str:
@@ -32,14 +32,14 @@ def expected_sql(columns: str, rows: list[tuple]) -> str:
 
 
 def cases(name: str, columns: str, rows: list[tuple]) -> Callable[[Callable[[SparkSession], DataFrame]], Callable]:
-    """Register a query over literal rows with the rows that it must give."""
+    """Keep a case over literal rows with the rows that it must give."""
 
     def add(f: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(spark)
 
         run.__doc__ = f.__doc__
-        query(name, expected_sql(columns, rows))(run)
+        case(name, expected_sql(columns, rows))(run)
         return f
 
     return add
