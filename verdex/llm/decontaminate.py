@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -283,6 +284,13 @@ class Index:
         return out
 
 
+def _build(path: str, k: int, rows: pd.DataFrame, whole: Corpus | None) -> pd.DataFrame:
+    """Writes the file of one part of the items, in a task."""
+    rows = rows[rows["text"].notna()].sort_values(["item_id", "text"])
+    files.put(f"{path}/{k:06d}", [np.frombuffer(pickle.dumps(Index.build(list(zip(rows["item_id"].tolist(), rows["text"].tolist(), strict=True)), whole)), np.uint8)])
+    return pd.DataFrame({"part": [k]})
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits") -> DataFrame:
     """docs with a column of the benchmark items that each row's text contains: item_id, bm25, whole, question and answer overlap.
 
@@ -295,7 +303,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits") -> DataF
     with an item the one of the highest score is told (the first of equal ones). Test items may repeat: each has its hits.
 
     The index is cut into files of INDEX_BYTES of items, all with the statistics of the whole benchmark, so hits don't
-    depend on the cut. A task takes IN_HAND bytes of texts, which meet one file after another. There is no shuffle of texts.
+    depend on the cut; each is built in a task of its own, from one pass over the benchmark. A task takes IN_HAND bytes of texts, which meet one file after another. There is no shuffle of texts.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
@@ -303,18 +311,24 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits") -> DataF
     shards = max(1, -(-size // INDEX_BYTES))
     path = fresh_path(spark, "bm25")
     part = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int"))
+    every = spark.range(shards).select(F.lit(0).cast("bigint").alias("item_id"), F.lit(None).cast("string").alias("text"), F.col("id").cast("int").alias("part"))  # a part may be empty
+    grouped = part.unionByName(every).groupBy("part")
     if shards > 1:
         terms = cut(part.select("part", "text").mapInArrow(_terms, "part int, term bigint, n bigint"))
         total = terms.filter("term IS NULL").agg(F.count("*").alias("items"), F.avg("n").alias("length"), F.max("n").alias("longest")).first()
-        df = cut(terms.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")))
-    for k in range(shards):
-        rows = [(r["item_id"], r["text"]) for r in part.filter(F.col("part") == k).collect()]
-        whole = None
-        if shards > 1:
-            own = df.join(terms.filter(F.col("part") == k).select("term").distinct(), "term").toPandas()
+        df = terms.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+        own = terms.filter("term IS NOT NULL").select("part", "term").distinct().join(df, "term")
+        counts = (total["items"], total["length"] or 1.0, total["longest"] or 1)
+
+        def shard(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
             own = own.assign(term=own["term"].to_numpy(np.int64).view(np.uint64)).sort_values("term")
-            whole = Corpus(total["items"], total["length"] or 1.0, total["longest"] or 1, own["term"].to_numpy(), own["df"].to_numpy())
-        files.put(f"{path}/{k:06d}", [np.frombuffer(pickle.dumps(Index.build(rows, whole)), np.uint8)])
+            return _build(path, key[0], rows, Corpus(*counts, own["term"].to_numpy(), own["df"].to_numpy()))
+
+        built = grouped.cogroup(own.groupBy("part")).applyInPandas(shard, "part int")
+    else:
+        built = grouped.applyInPandas(lambda key, rows: _build(path, key[0], rows, None), "part int")
+    if built.count() != shards:
+        raise RuntimeError("a file of the index is missing")
     schema = T.StructType([*docs.drop(out).schema.fields, T.StructField(out, T._parse_datatype_string(HITS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
