@@ -48,7 +48,7 @@ def test_queries_read_the_tables(spark):
 
 
 def test_all_have_an_expectation():
-    assert set(QUERIES) - set(ORACLE) == {"pii_numbers", "pii_report", "ipv4_counts", "token_batches", "global_temperature"}
+    assert set(QUERIES) - set(ORACLE) == {"pii_numbers", "pii_report", "ipv4_counts", "token_batches", "global_temperature", "drop_list_union", "released_rows"}
 
 
 def test_entry(spark):

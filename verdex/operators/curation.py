@@ -105,3 +105,26 @@ def dossiers(pairs: DataFrame, texts: DataFrame, budget: Column, seed: str = "17
     empty = F.array().cast(packed.schema["docs"].dataType)
     out = own.select("target").join(packed, "target", "left").select(F.col("target").alias("id"), F.coalesce("docs", empty).alias("docs"))
     return out.withColumn("place", F.pmod(F.xxhash64(F.lit(f"{seed}:place"), F.col("id").cast("string")), F.size("docs") + 1).cast("int"))
+
+
+def keep_first(rows: DataFrame, key: Column, order: str, id: str, answer: str) -> DataFrame:
+    """WIN-02: (id, copies, conflict): of rows with one key the id of the first by order, how many there are, and whether their
+    answers differ (a null is an answer of its own). All of it is aggregates, which combine before rows meet, so a key with any
+    share of the rows, such as that of empty texts, is one row per task. Equal orders go to the smaller id."""
+    said = F.coalesce(F.concat(F.lit("="), F.col(answer).cast("string")), F.lit(""))
+    told = rows.groupBy(key.alias("_key")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(id).alias("i"))).alias("_first"), F.count("*").alias("copies"), (F.min(said) != F.max(said)).alias("conflict"))
+    return told.select(F.col("_first.i").alias(id), "copies", "conflict")
+
+
+def drop_list(*reports: DataFrame) -> DataFrame:
+    """JOIN-14, SET-01: (id, reports) of ids that some report names, each once, with how many do; a report may name one twice."""
+    out = None
+    for k, r in enumerate(reports):
+        one = r.select("id", F.lit(k).alias("report")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("reports"))
+
+
+def released(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose id isn't on the list; a null id is on none."""
+    return rows.join(dropped.select("id"), "id", "left_anti").select(rows.columns)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdex.operators import ranks
 
@@ -96,3 +97,34 @@ def coverage_at(log: DataFrame, targets: tuple[float, ...]) -> DataFrame:
     ends = by_confidence(log).select(((F.col("ok0") + F.col("ok")) / (F.col("k0") + F.col("g"))).alias("acc"), ((F.col("k0") + F.col("g")) / F.col("n")).alias("share"))
     best = ends.select(F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.when(F.col("acc") >= t, F.col("share")).otherwise(0.0).alias("share")) for t in targets))).alias("x"))
     return best.groupBy("x.target").agg(F.max("x.share").alias("coverage"))
+
+
+def summary(log: DataFrame, keys: tuple[str, ...] = ("system", "suite"), coverages: tuple[float, ...] = (0.8, 0.5), targets: tuple[float, ...] = (0.95, 0.99), thresholds: tuple[float, ...] = (0.9, 0.95)) -> DataFrame:
+    """AGG-22 with AGG-01, AGG-05, AGG-06, WIN-04: one row per key: n, acc, aurc, acc_<coverage>, coverage_<target>, ece,
+    decided_<threshold> and error_<threshold> (null where nothing is decided).
+
+    As risk_coverage() and ece() (with zero), for many systems and suites at once. Items meet as groups of equal confidence of a
+    key, and of those only the running sums need an order inside the key.
+    """
+    rows = log.filter("conf IS NOT NULL AND ok IS NOT NULL")
+    groups = rows.groupBy(*keys, "conf").agg(F.count("*").alias("g"), F.sum("ok").cast("bigint").alias("ok"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*keys)
+    zero = F.lit(0).cast("bigint")
+    groups = groups.select(*keys, "conf", "g", "ok", F.coalesce(F.sum("g").over(down), zero).alias("k0"), F.coalesce(F.sum("ok").over(down), zero).alias("ok0"), F.sum("g").over(own).alias("n"))
+    r = F.col("ok") / F.col("g")
+    area = F.col("g") * r + (F.col("ok0") - r * F.col("k0")) * (harmonic(F.col("k0") + F.col("g")) - harmonic(F.col("k0")))
+    end, acc = F.col("k0") + F.col("g"), (F.col("ok0") + F.col("ok")) / (F.col("k0") + F.col("g"))
+    name = lambda x: f"{round(100 * x)}"
+
+    def at(c: float) -> Column:
+        k = F.greatest(F.lit(1), F.bround(c * F.col("n"), 0).cast("bigint"))
+        return F.max(F.when((F.col("k0") < k) & (k <= end), (F.col("ok0") + (k - F.col("k0")) * r) / k)).alias(f"acc_{name(c)}")
+
+    decided = lambda t, x: F.sum(F.when(F.col("conf") >= t, F.col(x)).otherwise(zero))
+    curve = groups.groupBy(*keys).agg(
+        F.max("n").alias("n"), (F.sum("ok") / F.max("n")).alias("acc"), (1 - F.sum(area) / F.max("n")).alias("aurc"), *(at(c) for c in coverages),
+        *(F.max(F.when(acc >= t, end / F.col("n")).otherwise(0.0)).alias(f"coverage_{name(t)}") for t in targets),
+        *(x for t in thresholds for x in ((decided(t, "g") / F.max("n")).alias(f"decided_{name(t)}"), F.when(decided(t, "g") > 0, 1 - decided(t, "ok") / decided(t, "g")).alias(f"error_{name(t)}"))),
+    )
+    return curve.join(ece(log, keys, True).select(*keys, "ece"), list(keys))

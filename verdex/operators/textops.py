@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two-letter codes that the tokenizer splits, which therefore name no option.
@@ -113,3 +115,20 @@ def keep_apart(values: Column, tolerance: float = 0.004) -> Column:
     """SET-05: values in order, without those within the tolerance of one that was kept before."""
     add = lambda kept, v: F.when(F.exists(kept, lambda u: F.abs(v - u) <= tolerance), kept).otherwise(F.concat(kept, F.array(v)))
     return F.aggregate(values, F.array().cast("array<double>"), add)
+
+
+def truncated(df: DataFrame, state: str, tokens: Callable[[Column], Column], budget: int, tries: int = 4, marker: str = "\n[...]\n") -> DataFrame:
+    """PRJ-29: df with `state` cut until its tokens fit, and `fits`: whether they did within so many tries.
+
+    tokens: of a text, how many tokens its prompt has. A text that has too many keeps 0.9 x budget / tokens of its characters,
+    70 % of them from its head and 30 % from its tail, around the marker, and is looked at again. A null state fits as it is.
+    """
+    kept = df.columns
+    df = df.withColumn("_fits", F.lit(None).cast("boolean"))
+    for _ in range(tries):
+        df = df.withColumn("_n", tokens(F.col(state)))
+        fits = F.coalesce(F.col("_fits"), F.when(F.coalesce(F.col("_n") <= budget, F.lit(True)), True))
+        keep = F.floor(F.length(state) * budget / F.col("_n") * 0.9)
+        short = F.concat(F.left(F.col(state), F.floor(keep * 0.7).cast("int")), F.lit(marker), F.right(F.col(state), F.floor(keep * 0.3).cast("int")))
+        df = df.withColumns({"_fits": fits, state: F.when(fits, F.col(state)).otherwise(short)})
+    return df.select(*kept, F.coalesce("_fits", F.lit(False)).alias("fits"))

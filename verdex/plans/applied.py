@@ -25,13 +25,13 @@ def _choose(n: str, k: str) -> str:
 
 # --- probability -----------------------------------------------------------------------------------------------------
 
-_N, _B = "(20 + o_orderkey % 30)", "(o_custkey % 6)"
+_N, _B = "(21 + 2 * (o_orderkey % 15))", "(o_custkey % 6)"
 
 
 @query("acceptance_sampling", f"SELECT o_orderkey, round(1 - ({_choose(f'{_N} - {_B}', '5')}) / ({_choose(_N, '5')}) - CASE WHEN o_orderkey % 2 = 1 THEN {_B} * ({_choose(f'{_N} - {_B}', '4')}) / ({_choose(_N, '5')}) ELSE 0 END, 4) + 0.0 AS p FROM orders")
 def acceptance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRB-01: one or two bad ones at least in a sample of five."""
-    p = E.at_least(_int("o_orderkey", 30, 20), _int("o_custkey", 6), F.lit(5), _int("o_orderkey", 2, 1))
+    p = E.at_least(2 * _int("o_orderkey", 15) + 21, _int("o_custkey", 6), F.lit(5), _int("o_orderkey", 2, 1))
     return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p"))
 
 
@@ -289,3 +289,14 @@ def tournaments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = D.tournament(rows, limit=32)
     lost = F.size(F.filter("probs", lambda p: F.abs(p - D.LOST / (1 + 32 * D.LOST)) < 1e-12))
     return t.select("vec_id", D.first_largest(C("probs")).alias("best"), F.round(F.array_max("probs"), 7).alias("p"), lost.alias("lost"))
+
+
+_CUT = "CASE WHEN fits THEN s ELSE left(s, floor(floor(length(s) * 300 / n * 0.9) * 0.7)::INT) || chr(10) || '[...]' || chr(10) || right(s, floor(floor(length(s) * 300 / n * 0.9) * 0.3)::INT) END"
+_STEPS = ", ".join(f"n{k} AS (SELECT doc_id, s, fits, ceil(length(s) / 3.5::DOUBLE) + 40 AS n FROM c{k}), f{k} AS (SELECT doc_id, s, n, fits OR n <= 300 AS fits FROM n{k}), c{k + 1} AS (SELECT doc_id, {_CUT} AS s, fits FROM f{k})" for k in range(4))
+
+
+@query("head_tail_truncation", f"WITH c0 AS (SELECT doc_id, text AS s, FALSE AS fits FROM documents), {_STEPS} SELECT doc_id, s AS cut, fits FROM c4")
+def head_tail_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-29: texts cut to 300 tokens around a marker, looked at again up to four times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", C("text").alias("cut"))
+    return X.truncated(docs, "cut", lambda s: F.ceil(F.length(s) / 3.5) + 40, 300)

@@ -37,16 +37,6 @@ def split_assignment(d: Spark) -> str:
   WHEN bucket < CASE WHEN src = 'gen' THEN {DEV_GEN} ELSE {DEV_OTHER} END THEN 'validation' ELSE 'train' END AS split FROM item"""
 
 
-@both("dedup_first")
-def dedup_first(d: Spark) -> str:
-    """WIN-02: the first copy of a text stays; a later copy with another answer marks the text as a conflict."""
-    return f"""WITH {item(d)}, k AS (SELECT *, sha1(coalesce(state, '')) AS k FROM item),
-w AS (SELECT id, k, expected, row_number() OVER (PARTITION BY k ORDER BY ord) AS rn, count(*) OVER (PARTITION BY k) AS copies,
-  first_value(cast(expected as string)) OVER (PARTITION BY k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_expected FROM k),
-c AS (SELECT k, max(CASE WHEN coalesce(cast(expected as string), '') <> coalesce(first_expected, '') THEN 1 ELSE 0 END) AS conflict FROM w GROUP BY k)
-SELECT w.id, w.copies, c.conflict = 1 AS conflict FROM w JOIN c ON w.k = c.k WHERE rn = 1"""
-
-
 @both("conflict_ids")
 def conflict_ids(d: Spark) -> str:
     """WIN-02: texts whose copies have different answers leave altogether."""
@@ -101,14 +91,6 @@ def resume_pending(d: Spark) -> str:
 SELECT id FROM raw WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.id = raw.id) AND NOT EXISTS (SELECT 1 FROM failed WHERE failed.id = raw.id)"""
 
 
-@both("drop_list_union")
-def drop_list_union(d: Spark) -> str:
-    """JOIN-14, SET-01: ids to drop from several reports, each once, with the reports that name it."""
-    return f"""WITH r AS (SELECT doc_id AS id, 'pii' AS report FROM {d.t('documents')} WHERE {d.like('text', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]')}
-UNION SELECT doc_id, 'toxic' FROM {d.t('labels')} WHERE toxic = 1 UNION SELECT doc_id, 'secret' FROM {d.t('documents')} WHERE {d.like('text', 'token = ')})
-SELECT id, count(*) AS reports FROM r GROUP BY id"""
-
-
 @both("id_set_operations")
 def id_set_operations(d: Spark) -> str:
     """SET-01..03: union, intersection and difference of id sets."""

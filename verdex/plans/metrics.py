@@ -205,3 +205,20 @@ def build_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-10, AGG-14: agreement and mean change of confidence of two builds, and the release gate: accuracy, calibration, agreement."""
     out = evaluation.compare_builds(log(spark, sf_dir), log(spark, sf_dir, "variant"))
     return out.select("n", F.round("agree", 9).alias("agree"), F.round("mean_change", 7).alias("mean_change"), F.round("ece", 7).alias("ece"), F.round("base_ece", 7).alias("base_ece"), "gate")
+
+
+_SUM = """, l AS (SELECT 'base' AS system, task AS suite, ok, conf FROM base UNION ALL SELECT 'variant', task, ok, conf FROM variant),
+o AS (SELECT *, row_number() OVER (PARTITION BY system, suite ORDER BY conf DESC) AS k, count(*) OVER (PARTITION BY system, suite) AS n, avg(ok) OVER (PARTITION BY system, suite, conf) AS r FROM l),
+w AS (SELECT *, min(k) OVER (PARTITION BY system, suite, conf) - 1 AS k0, max(k) OVER (PARTITION BY system, suite, conf) AS k1 FROM o),
+a AS (SELECT *, (coalesce((SELECT sum(b.ok) FROM l b WHERE b.system = w.system AND b.suite = w.suite AND b.conf > w.conf), 0) + (k - k0) * r) / k AS acc FROM w)
+SELECT system, suite, max(n)::BIGINT AS n, round(avg(ok), 8) AS acc, round(avg(1 - acc), 8) AS aurc, round(max(acc) FILTER (k = greatest(1, round_even(0.8 * n, 0))), 8) AS acc_80, round(max(acc) FILTER (k = greatest(1, round_even(0.5 * n, 0))), 8) AS acc_50,
+round(coalesce(max(k1 / n) FILTER (k = k1 AND acc >= 0.95), 0), 8) AS coverage_95, round(avg((conf >= 0.9)::INT), 8) AS decided_90, round(1 - avg(ok) FILTER (conf >= 0.9), 8) AS error_90, round((""" + _ECE.replace("conf > 0.0 AND", "conf >= 0 AND") + ") / count(*), 6) AS ece FROM a GROUP BY system, suite"
+
+
+@query("system_summary", duck(_SUM, "base", "variant"))
+def system_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-22, WIN-04, AGG-05, AGG-06: systems by suites in one table: accuracy, risk against coverage, calibration, a policy."""
+    logs = [log(spark, sf_dir, s).select(F.lit(s).alias("system"), F.col("task").alias("suite"), "ok", "conf") for s in ("base", "variant")]
+    out = evaluation.summary(logs[0].unionByName(logs[1]))
+    eight = ("acc", "aurc", "acc_80", "acc_50", "coverage_95", "decided_90", "error_90")
+    return out.select("system", "suite", "n", *(F.round(c, 8).alias(c) for c in eight), F.round("ece", 6).alias("ece"))

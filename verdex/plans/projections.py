@@ -19,12 +19,6 @@ def label_slug(d: Spark) -> str:
     return f"SELECT p_partkey, {d.replace('lower(p_name)', '[^a-z0-9_]', '_')} AS slug FROM {d.t('part')}"
 
 
-@both("head_tail_truncation")
-def head_tail_truncation(d: Spark) -> str:
-    """PRJ-29: 70 % head and 30 % tail around a marker."""
-    return f"SELECT doc_id, CASE WHEN length(text) > 1000 THEN concat(left(text, 700), ' [...] ', right(text, 300)) ELSE text END AS cut FROM {d.t('documents')}"
-
-
 @both("rounding")
 def rounding(d: Spark) -> str:
     """PRJ-32: six places for probabilities, four for metrics."""
@@ -33,5 +27,5 @@ def rounding(d: Spark) -> str:
 
 @both("html_text")
 def html_text(d: Spark) -> str:
-    """SRC-08, SRC-11: pages' visible text, tags and scripts removed; the title apart."""
+    """Pages' visible text, tags and scripts removed; the title apart."""
     return f"SELECT page_id, length({d.replace(d.replace('html', '<(script|style)[^>]*>[^<]*</(script|style)>', ' '), '<[^>]*>', ' ')}) AS chars, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {d.t('pages')}"

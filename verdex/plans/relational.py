@@ -67,5 +67,5 @@ SELECT user_id, cast(sum(starts) as bigint) AS sessions, count(*) AS events FROM
 
 @both("session_state")
 def session_state(d: Spark) -> str:
-    """STM-05, WIN-08, DEC-08: the state that appending a session's texts leaves."""
+    """The state that appending a session's texts leaves."""
     return f"SELECT conv_id, cast(sum(length(text)) as bigint) AS state_chars, count(*) AS appends FROM {d.t('conversations')} GROUP BY conv_id"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdex.functions import privacy as P
 from verdex.operators import counters, curation
 from verdex.operators import items as I
 from verdex.plans.registry import query
@@ -128,3 +129,33 @@ CASE WHEN n % 4 = 2 AND lang = 'es' AND n % 7 > 0 THEN 'mass' END], lambda x: x
 def release_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-12: released records whose answer isn't an option, or whose mass isn't 1."""
     return I.violations(_release(spark, sf_dir))
+
+
+@query("dedup_first", "WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS k, toxic FROM documents LEFT JOIN labels USING (doc_id)) SELECT min(id) AS id, count(*) AS copies, count(DISTINCT toxic) + max((toxic IS NULL)::INT) > 1 AS conflict FROM d GROUP BY k")
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-02: the first copy of a text stays; copies with another answer mark the text as a conflict."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "doc_id").join(labels, "doc_id", "left")
+    return curation.keep_first(rows, F.sha1(F.coalesce("text", F.lit(""))), "id", "id", "toxic")
+
+
+def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The release's drop list: rows with a finding that drops them, rows with a benchmark item's first eight words, toxic rows."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    private = docs.select("id", F.explode(P.findings(F.col("text"))).alias("f")).filter("f.drop").select("id")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"))
+    return curation.drop_list(private, toxic, low)
+
+
+@query("drop_list_union")
+def drop_list_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-14, SET-01: ids to drop from three reports, each once, with how many name it (lookarounds in the findings: no SQL)."""
+    return _dropped(spark, sf_dir)
+
+
+@query("released_rows")
+def released_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10, JOIN-14: the documents that are left when the drop list has been applied (no SQL for the same reason)."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    return curation.released(rows, _dropped(spark, sf_dir))

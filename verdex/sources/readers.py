@@ -21,6 +21,21 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | T.Stru
     return rows.select(*(F.col(f"r.`{f.name}`") for f in kind.fields))
 
 
+def read_layered(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, key: str = "id") -> DataFrame:
+    """SRC-04: JSON lines of several paths (a list, or one text with commas between), of which a later one overrides an earlier
+    one: of each key the last line of the last path that has it. Bad lines are left out; a null key is a key."""
+    listed = [p for p in paths.split(",") if p] if isinstance(paths, str) else paths
+    out = None
+    for k, path in enumerate(listed):
+        one = read_jsonl(spark, path, schema, False).withColumn("_at", F.struct(F.lit(k).alias("path"), F.monotonically_increasing_id().alias("line")))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    columns = [c for c in out.columns if c != "_at"]
+    last = out.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("_at")).alias("_last"))
+    return last.select(*(F.col(f"_last.`{c}`").alias(c) for c in columns))
+
+
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """AGG-08: how many lines of a file aren't JSON objects."""
     return spark.read.text(path).filter(F.trim("value") != "").select(F.try_parse_json("value").isNull().alias("bad")).agg(F.count_if("bad").alias("invalid_json"))
