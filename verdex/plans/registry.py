@@ -40,7 +40,7 @@ def case(name: str, expected: str) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from verdex.plans import applied, contamination, curation, curation_cases, decision_cases, exact_cases, generated, item_cases, metrics, privacy, projections, relational, relations, releases, rule_cases, rules, searches, sequences, streams, suites, text_cases  # noqa: F401
+    from verdex.plans import applied, contamination, curation, curation_cases, decision_cases, exact_cases, generated, item_cases, logs, metrics, privacy, projections, relational, relations, releases, rule_cases, rules, searches, sequences, streams, suites, text_cases  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
