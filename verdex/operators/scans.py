@@ -23,6 +23,8 @@ def clamped_sum(df: DataFrame, keys: list[str], order: str, step: Column, low: i
     A row is a function x -> clamp(x + a, l, h), and such functions compose to one of the same form, so the scan is parallel:
     the order is cut into cells, each (key, cell) composes its rows, the cells' functions are run through in order (one short
     row per key and cell), and each cell starts from what it is told. A key with all rows is as many tasks as there are cells.
+    Rows of a key and cell meet by a window, which demands it: a repartition after the join of the starts is left out as
+    done already, and adaptive execution then reads that join's side by its writers, a cell in several tasks.
     """
     if cells is None:
         cells = max(1, min(MOST_CELLS, df.count() // CELL_ROWS))
@@ -48,7 +50,7 @@ def clamped_sum(df: DataFrame, keys: list[str], order: str, step: Column, low: i
 
     kinds = ", ".join(f"{n} string" for n in names.values())
     kinds = f"{kinds}, " if kinds else ""
-    dealt = lambda d: d.repartition(*of).sortWithinPartitions(*of, order)
+    dealt = lambda d: d.withColumn("_n", F.row_number().over(Window.partitionBy(*of).orderBy(order)))
     functions = dealt(rows.select(*of, order, "_step")).mapInPandas(compose, f"{kinds}_cell int, a bigint, l bigint, h bigint")
 
     def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
