@@ -70,3 +70,24 @@ def test_summary_of_keys(spark):
     assert (one["n"], one["acc"], one["acc_80"], one["acc_50"], one["decided_90"], one["error_90"], one["coverage_95"]) == (2, 0.5, 0.5, 1.0, 0.5, 0.0, 0.5)
     assert abs(one["aurc"] - 0.25) < 1e-12 and abs(one["ece"] - 0.05) < 1e-12
     assert got["s", "b"]["error_90"] is None and got["t", "a"]["error_90"] == 1.0
+
+
+def test_quota_numbers_every_row(spark):
+    """Rows of a source without a quota have their running count too, and none is cut; a null key is a key."""
+    rows = [(f"d{i}", ("en", "de", None)[i % 3], ("a", "b", "free", None)[i % 4], i // 2) for i in range(600)]
+    want, count = {}, {}
+    for id, file, src, ord in sorted(rows, key=lambda r: (r[3], r[0])):
+        n = count[file, src] = count.get((file, src), 0) + 1
+        if n <= {"a": 3, "b": 7}.get(src, n):
+            want[id] = n
+    df = spark.createDataFrame(rows, "id string, file string, src string, ord long").repartition(5)
+    got = curation.first_of_each(df, {"a": 3, "b": 7}).collect()
+    assert {r["id"]: r["place"] for r in got} == want and len(got) == len(want)
+    assert {r["id"]: r["place"] for r in curation.first_of_each(df.filter("src = 'free'"), {}).collect()} == {k: v for k, v in want.items() if int(k[1:]) % 4 == 2}
+
+
+def test_quota_cuts_no_source_without_one(spark):
+    """Items without a source (`gen`) have no quota in quota_by_source: each of them is there, with its number."""
+    got = registry.queries()["quota_by_source"](spark, SF).filter("src = 'gen'").collect()
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").filter("source = 'src19'").count()
+    assert sorted((r["file"], r["place"]) for r in got) == [(f, k + 1) for f in sorted({r["file"] for r in got}) for k in range(sum(r["file"] == f for r in got))]

@@ -78,17 +78,20 @@ def fillers(targets: DataFrame, pool: DataFrame, n: int = 400, seed: str = "17")
     return asked.join(circle, "number").filter(~F.col("topic").eqNullSafe(F.col("other")) & ~F.col("target").eqNullSafe(F.col("filler"))).select("target", "filler", "at")
 
 
-def first_of_each(rows: DataFrame, caps: dict[str, int], keys: tuple[str, ...] = ("file",), source: str = "src", order: tuple[str, ...] = ("ord", "id")) -> DataFrame:
-    """WIN-01: rows with `place`: of a source with a cap, the first so many rows of each key, numbered from 1; of a source
-    without one every row, and place is null. Only capped rows are ranked, and Spark keeps no more of them per task than the
-    largest cap, so an uncapped source may hold any share of the rows."""
+def first_of_each(rows: DataFrame, caps: dict[str, int], keys: tuple[str, ...] = ("file",), source: str = "src", order: tuple[str, str] = ("ord", "id")) -> DataFrame:
+    """WIN-01: rows with `place`, the running count from 1 in order of each key and source: of a source with a cap the first
+    so many rows, of a source without one every row. Of capped sources Spark keeps no more rows per task than the largest
+    cap; other rows are numbered by counted cells, so an uncapped source may hold any share of the rows. The order is a
+    number and its tie."""
     capped = F.coalesce(F.col(source).isin(*caps), F.lit(False)) if caps else F.lit(False)
     cap = F.lit(None).cast("int")
     for name, n in caps.items():
         cap = F.when(F.col(source) == name, n).otherwise(cap)
     inside = Window.partitionBy(*keys, source).orderBy(*order)
     first = rows.filter(capped).withColumn("place", F.row_number().over(inside)).filter(F.col("place") <= max(caps.values(), default=0)).filter(F.col("place") <= cap)
-    return first.unionByName(rows.filter(~capped).withColumn("place", F.lit(None).cast("int")))
+    others = rows.filter(~capped).withColumn("_of", F.struct(*keys, source))  # as one column, in which nulls are equal
+    others = ranks.positions(others, ["_of"], *order).withColumn("place", F.col("pos") + 1)
+    return first.withColumn("place", F.col("place").cast("bigint")).unionByName(others.select(*rows.columns, "place"))
 
 
 def dossiers(pairs: DataFrame, texts: DataFrame, budget: Column, seed: str = "17") -> DataFrame:

@@ -80,11 +80,11 @@ def selection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in counts().items() if k != "rows"], "reason string, n bigint")
 
 
-@query("quota_by_source", f"WITH {_ITEMS}, q AS (SELECT id, file, split_part(CASE WHEN source = '' THEN 'gen' ELSE source END, ':', 1) AS src, ord FROM i), r AS (SELECT *, row_number() OVER (PARTITION BY file, src ORDER BY ord) AS rn FROM q) SELECT id, file, src, CASE WHEN src IN ('src0', 'src1', 'gen') THEN rn END::INT AS place FROM r WHERE src NOT IN ('src0', 'src1', 'gen') OR rn <= CASE src WHEN 'src0' THEN 10 WHEN 'src1' THEN 20 ELSE 3 END")
+@query("quota_by_source", f"WITH {_ITEMS}, q AS (SELECT id, file, split_part(CASE WHEN source = '' THEN 'gen' ELSE source END, ':', 1) AS src, ord FROM i), r AS (SELECT *, row_number() OVER (PARTITION BY file, src ORDER BY ord) AS rn FROM q) SELECT id, file, src, rn AS place FROM r WHERE src NOT IN ('src0', 'src1') OR rn <= CASE src WHEN 'src0' THEN 10 ELSE 20 END")
 def quota_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-01: of a source with a quota the first rows of each file, of a source without one all rows."""
+    """WIN-01: the running count of each file and source in order; of a source with a quota its first rows, of one without all rows."""
     src = F.split_part(F.when(F.col("source") != "", F.col("source")).otherwise("gen"), F.lit(":"), F.lit(1))
-    return curation.first_of_each(items(spark, sf_dir).select("id", "file", src.alias("src"), "ord"), CAPS).select("id", "file", "src", "place")
+    return curation.first_of_each(items(spark, sf_dir).select("id", "file", src.alias("src"), "ord"), {"src0": 10, "src1": 20}).select("id", "file", "src", "place")
 
 
 @query(
