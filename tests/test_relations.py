@@ -90,3 +90,15 @@ def test_deadlines(spark):
     got = calendars.deadlines(df, spark.createDataFrame(off, "market string, day date"), "m", "start", F.col("n"))
     assert {x["id"]: x["due"] for x in got.collect()} == {i: due(m if m else "", d, n) for i, m, d, n in rows}
     assert got.count() == len(rows) and calendars.deadlines(df.limit(0), spark.createDataFrame(off, "market string, day date"), "m", "start", F.col("n")).count() == 0
+
+
+def test_many_narrow_clauses_take_few_passes(spark):
+    """Clauses of narrow ranges, most of them copies under other numbers, go to the cells that they reach, not to all cases in turn."""
+    width = [(c, float(c * 7919 % 1500), float(c * 7919 % 1500 + 12)) for c in range(1500)]
+    rows = [(c + 1500 * k, "x", op, v, None) for k in range(4) for c, lo, hi in width for op, v in ((">", lo), ("<=", hi))]
+    rows += [(9000, "x", "<>", 3.0, None), (9001, "s", "in", None, "a"), (9002, "x", ">", 9.0, None), (9002, "x", "<", 5.0, None)]
+    cases = [(i, None if i % 50 == 7 else i * 0.8, "ab"[i % 2]) for i in range(2000)]
+    want = {i: min((c for c, lo, hi in width if x is not None and lo < x <= hi), default=9000 if x not in (None, 3.0) else 9001 if s == "a" else None) for i, x, s in cases}
+    got = rulebooks.first_clauses(spark.createDataFrame(cases, "id long, x double, s string"), spark.createDataFrame(rows, rulebooks.CONDITIONS), 64, 2)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow run") <= 2
+    assert {r["id"]: r["first_clause"] for r in got.collect()} == want

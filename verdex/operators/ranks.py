@@ -22,10 +22,10 @@ def cut(df: DataFrame, order: str, cells: int = CELLS) -> Column:
     bounds = sorted(set(df.agg(F.percentile_approx(order, [k / cells for k in range(1, cells)], 10 * cells)).first()[0] or []))
     if not bounds:
         return F.lit(0)
-    return F.when(F.col(order).isNull(), -1).otherwise(_bucket(F.col(order), bounds))
+    return F.when(F.col(order).isNull(), -1).otherwise(bucket(F.col(order), bounds))
 
 
-def _bucket(x: Column, bounds: list) -> Column:
+def bucket(x: Column, bounds: list) -> Column:
     """How many bounds are below x: a search in a sorted literal array by halves."""
     array = F.array(*(F.lit(b) for b in bounds))
     steps = len(bounds).bit_length()
