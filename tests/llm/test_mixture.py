@@ -176,6 +176,41 @@ def test_divergence(spark, docs, empty):
     assert sorted(tuple(r) for r in divergence.divergence(few).collect()) == [("fr", "x", "pair", "y", 0, 1), ("fr", "y", "pair", "x", 0, 1)]  # no kept term
 
 
+def most_rows(df):
+    """The largest number of rows that an operator of the executed plan gave."""
+    def walk(node):
+        inner = [getattr(node, x)() for x in ("executedPlan", "plan") if x in dir(node)] or [node.children().apply(i) for i in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows")
+        return max([rows.get().value() if rows.isDefined() else 0, *map(walk, inner)])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_divergence_makes_no_row_for_a_term_that_a_group_lacks(spark):
+    # 30 sources with 100 terms of their own each and 5 that all have: by groups and terms that's 91,350 rows, by pairs 2.6 million
+    word = lambda s, k: "w" + "".join(chr(97 + int(c)) for c in f"{s:02}{k:03}")
+    data = [(d, " ".join([*(word(s, k) for k in range(100)), *(word(99, k) for k in range(5)), *["more"] * s]), "en", f"s{s:02}") for s in range(30) for d in range(3)]
+    got = divergence.divergence(spark.createDataFrame(data, SCHEMA))
+    assert most_rows(got) < 10_000
+    assert sorted(tuple(r) for r in got.collect()) == brute_divergence(data, 3, 1, 200)
+
+
+def test_divergence_with_groups_that_are_not_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(divergence, "FEW", 0)
+    assert sorted(tuple(r) for r in divergence.divergence(docs, 1, 2, 5).collect()) == brute_divergence(rows(), 1, 2, 5)
+
+
+def test_terms_are_cut_at_ascii_alone():
+    texts = ["É\u00a0b É", "Aa aA é12x\x00y\u2028x[Z`z{~\x7f", "", " 12 ", "x\u3000X K\u212a İI"]
+    batch = pa.RecordBatch.from_pydict({"lang": ["de", "en", "en", "en", "de"], "source": ["x", "y", "y", "z", "x"], "text": texts})
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    want = Counter((a, b, t) for a, b, x in zip(*batch.to_pydict().values(), strict=True) for t in term.findall(x.translate(UP)))
+    (got,) = divergence._count([batch])
+    assert {(r["lang"], r["source"], r["term"]): r["n"] for r in got.to_pylist()} == want
+    assert [x.num_rows for x in divergence._count([batch.slice(2, 2)])] == [0]
+
+
 def test_share_is_exact(spark):
     data = [(0, 0, 1), (10**10 * 3 + 7, 10**11, 12345), (9 * 10**9 - 1, 10**10, 3), (9 * 10**9, 10**10, 3), (5, 7, 2)]
     df = spark.createDataFrame(data, "n long, total long, v long").select("n", "total", "v", divergence.share(F.col("n"), F.col("total"), F.col("v"), 1).alias("p"))
